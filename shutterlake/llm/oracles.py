@@ -92,4 +92,14 @@ from r
 """
 
 
-SQL = {"op3_url_filter": url_filter_sql(), "op4_quality_rules": quality_sql()}
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as h from pages),
+d as (select page_id, octet_length(encode(h))::bigint as payload_bytes, sha256(h) as payload_digest from p),
+f as (select *, min(page_id) over (partition by payload_digest) as first_id from d)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+from f
+"""
+
+SQL = {"op3_url_filter": url_filter_sql(), "op4_quality_rules": quality_sql(), "op7_warc": WARC_SQL}
