@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import pii, quality_rules, sentencepiece_codec, token_output, url_filter, warc
+from shutterlake.llm import minhash_dedup, pii, quality_rules, sentencepiece_codec, token_output, url_filter, warc
 from shutterlake.session import table
 
 
@@ -33,6 +33,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -42,7 +46,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op3_url_filter, op4_quality_rules, op5_sentencepiece, op7_warc, op10_pii)}
+    return {f.__name__: f for f in (op1_token_output, op3_url_filter, op4_quality_rules, op5_sentencepiece, op6_minhash_dedup, op7_warc, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
