@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import minhash_dedup, pii, quality_rules, sentencepiece_codec, token_output, url_filter, warc
+from shutterlake.llm import decontaminate, minhash_dedup, pii, quality_rules, sentencepiece_codec, token_output, url_filter, warc
 from shutterlake.session import table
 
 
@@ -41,12 +41,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.where("leaked").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op3_url_filter, op4_quality_rules, op5_sentencepiece, op6_minhash_dedup, op7_warc, op10_pii)}
+    return {f.__name__: f for f in (op1_token_output, op3_url_filter, op4_quality_rules, op5_sentencepiece, op6_minhash_dedup, op7_warc, op8_decontaminate, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
