@@ -1,11 +1,471 @@
-"""All queries of the engine's own operators, with the SQL that gives the same rows."""
+"""Queries of the engine's operators over the standard tables, each beside the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shutterlake.functions import jsonops
+from shutterlake.operators import relational, scoring, sessions, statistics, vectors
+from shutterlake.session import table
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _queries[f.__name__] = f
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+def micros(ts: str = "ts"):
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+US = "epoch_us(ts)"
+
+# --- vectors ---------------------------------------------------------------
+
+COS = "round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6)"
+
+
+@query(f"select vec_id, score, rank::int as rank from (select e.vec_id, {COS} as score, row_number() over (order by {COS} desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id = 0) q) where rank <= 10")
+def vector_topk(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return vectors.top_k(rows, rows.where("vec_id = 0"), 10).select("vec_id", "score", "rank")
+
+
+@query(f"select query_id, vec_id, score, rank::int as rank from (select q.vec_id as query_id, e.vec_id, {COS} as score, row_number() over (partition by q.vec_id order by {COS} desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id < 20) q) where rank <= 5")
+def vector_topk_batch(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return vectors.top_k(rows, rows.where("vec_id < 20"), 5)
+
+
+@query(f"select vec_id, score, rank::int as rank from (select e.vec_id, {COS} as score, row_number() over (order by {COS} desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id = 0) q where e.label = 1) where rank <= 5")
+def vector_topk_filtered(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return vectors.top_k(rows, rows.where("vec_id = 0"), 5, keep=F.col("label") == 1).select("vec_id", "score", "rank")
+
+
+@query(f"""
+with h as (select e.label, {COS} as score, row_number() over (order by {COS} desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id = 0) q),
+f as (select label, min(rank) as rank from h where rank <= 12 group by label)
+select label as algorithm_id, rank::int as rank, place::int as place, params from (
+  select label, rank, row_number() over (order by rank) as place, '{{"label":' || label || '}}' as params from f where label % 3 < 2 and label % 7 <> 6
+) where place <= 3""")
+def gene_retrieval(spark, sf):
+    """Nearest photos' parameter sets of one agent, or of none."""
+    rows = table(spark, sf, "embeddings")
+    hits = vectors.top_k(rows, rows.where("vec_id = 0"), 12).join(rows.select("vec_id", F.col("label").alias("algorithm_id")), "vec_id")
+    items = rows.select(F.col("label").alias("algorithm_id")).distinct().select(
+        "algorithm_id", F.when(F.col("algorithm_id") % 3 == 0, "microcontrast").when(F.col("algorithm_id") % 3 == 2, "cleanup").alias("agent"),
+        F.when(F.col("algorithm_id") % 7 == 6, "broken").otherwise(F.concat(F.lit('{"label":'), F.col("algorithm_id").cast("string"), F.lit("}"))).alias("params"),
+    )
+    return vectors.retrieve(hits, items, item_col="algorithm_id", agent_col="agent", agent="microcontrast", k=3).select("algorithm_id", "rank", "place", "params")
+
+
+@query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as first from embeddings")
+def vector_normalise(spark, sf):
+    e = F.col("embedding")
+    return table(spark, sf, "embeddings").select("vec_id", F.round(vectors.norm(e), 6).alias("norm"), F.round(vectors.normalised(e)[0], 6).alias("first"))
+
+
+PAIR = "from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 and a.vec_id % 2 = 0"
+
+
+def _pairs(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    a = rows.where("vec_id % 2 = 0").select(F.col("vec_id").alias("pair"), F.col("embedding").alias("a"))
+    b = rows.where("vec_id % 2 = 1").select((F.col("vec_id") - 1).alias("pair"), F.col("embedding").alias("b"))
+    m = statistics.pair_metrics(F.col("a"), F.col("b"))
+    return a.join(b, "pair").select("pair", *[c.alias(k) for k, c in m.items()])
+
+
+_PAIR_SQL = f"""
+with u as (select a.vec_id as pair, unnest(a.embedding)::double as x, unnest(b.embedding)::double as y {PAIR}),
+m as (select pair, avg((x - y) * (x - y)) as mse, avg(abs(x - y)) as mae, avg(x) as ma, avg(y) as mb, avg(x * x) - avg(x) * avg(x) as va, avg(y * y) - avg(y) * avg(y) as vb, avg(x * y) - avg(x) * avg(y) as cov from u group by pair),
+r as (select pair, mse, mae, 20 * log10(1 / sqrt(mse)) as psnr, (2 * ma * mb + 0.0001) * (2 * cov + 0.0009) / ((ma * ma + mb * mb + 0.0001) * (va + vb + 0.0009)) as ssim from m)
+"""
+
+
+@query(_PAIR_SQL + "select pair, round(mse, 6) as mse, round(mae, 6) as mae, round(psnr, 4) as psnr, round(ssim, 5) as ssim from r")
+def pair_metrics(spark, sf):
+    return _pairs(spark, sf).select("pair", F.round("mse", 6).alias("mse"), F.round("mae", 6).alias("mae"), F.round("psnr", 4).alias("psnr"), F.round("ssim", 5).alias("ssim"))
+
+
+@query(_PAIR_SQL + "select round(avg(psnr), 4) as psnr_mean, round(avg(ssim), 5) as ssim_mean, count(*)::bigint as n from r")
+def evaluate_pairs(spark, sf):
+    return _pairs(spark, sf).agg(F.round(F.avg("psnr"), 4).alias("psnr_mean"), F.round(F.avg("ssim"), 5).alias("ssim_mean"), F.count(F.lit(1)).alias("n"))
+
+
+# --- ids and JSON -----------------------------------------------------------
+
+
+@query("select doc_id, sha1('doc|' || text) as id, ('0x' || sha1('doc|' || text)[1:16])::ubigint::varchar as id_u64 from documents")
+def stable_id(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", jsonops.stable_id("doc", F.col("text")).alias("id"))
+    return d.select("doc_id", "id", jsonops.u64(F.col("id")).cast("string").alias("id_u64"))
+
+
+@query("select event_id, 'k' as token, json_extract(props, '$.k')::double as value from events where json_extract(props, '$.k') is not null")
+def token_flatten(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.explode(jsonops.json_tokens("props")).alias("t")).select("event_id", "t.token", "t.value")
+
+
+@query("""
+with t as (select user_id, event_type as token, sum(value) as v from events group by all),
+b as (select user_id, ('0x' || sha1(token)[1:8])::ubigint::bigint % 1024 as bucket, sum(v) as s from t group by all)
+select user_id, bucket, round(s / sqrt(sum(s * s) over (partition by user_id)), 6) as value from b""")
+def feature_hash(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", F.col("event_type").alias("token"), "value")
+    return jsonops.hash_features(rows, "user_id").select("user_id", "bucket", F.round("value", 6).alias("value"))
+
+
+@query()
+def canonical_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", jsonops.canonical_json("props").alias("canonical"))
+
+
+@query()
+def stage_seeds(spark, sf):
+    return table(spark, sf, "events").select("event_id", jsonops.stage_seed(F.when(F.col("event_id") % 5 > 0, F.col("event_id")), F.col("event_type")).alias("seed"))
+
+
+@query("""
+select user_id, count(*)::bigint as n_stages,
+  coalesce(string_agg(event_type, ',' order by event_id) filter (where value > 50), '') as applied,
+  coalesce(string_agg(event_type, ',' order by event_id) filter (where value <= 10), '') as skipped,
+  coalesce(string_agg(event_type, ',' order by event_id) filter (where event_id % 7 = 0 and event_id % 14 <> 0), '') as errored
+from events where event_id % 50 = 0 or event_id % 7 = 0 group by user_id""")
+def report_roundtrip(spark, sf):
+    """Stage reports written as JSON, read again, and their lists of names."""
+    stage = F.struct(
+        "event_id", F.col("event_type").alias("name"), (F.col("value") > 50).alias("applied"), (F.col("value") <= 10).alias("skipped"),
+        F.when(F.col("event_id") % 14 == 0, "").when(F.col("event_id") % 7 == 0, "late").alias("error"), F.col("value").alias("duration_ms"),
+    )
+    rows = table(spark, sf, "events").where("event_id % 50 = 0 or event_id % 7 = 0").groupBy("user_id").agg(F.sort_array(F.collect_list(stage)).alias("s"))
+    read = rows.select("user_id", jsonops.from_report(jsonops.to_report(F.col("s"))).alias("s"))
+    return read.select("user_id", F.size("s").cast("long").alias("n_stages"), *[F.array_join(f(F.col("s")), ",").alias(f.__name__) for f in (jsonops.applied, jsonops.skipped, jsonops.errored)])
+
+
+# --- sessions ----------------------------------------------------------------
+
+BURST = f"""
+with c as (select *, {US} as us, case when {US} - lag({US}) over (partition by user_id order by ts, event_id) > 7200000000 then 1 else 0 end as cut from events),
+b as (select *, sum(cut) over (partition by user_id order by us, event_id rows unbounded preceding)::int as burst from c)
+"""
+
+
+def _bursts(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value", micros().alias("us"), (F.get_json_object("props", "$.k").cast("double") / 30).alias("ev"), (F.col("value") / 100).alias("brightness"))
+    return sessions.bursts(rows, group="user_id", ts_us="us", order="event_id", gap_s=7200)
+
+
+@query(BURST + "select user_id, burst, count(*)::bigint as n, min(us)::bigint as start_us, max(us)::bigint as end_us from b group by all")
+def burst_sessions(spark, sf):
+    return _bursts(spark, sf).groupBy("user_id", "burst").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+
+
+@query(BURST + """, g as (select user_id, burst, count(*)::bigint as n, count(json_extract(props, '$.k')) as ne, max(json_extract(props, '$.k')::double / 30) - min(json_extract(props, '$.k')::double / 30) as e,
+  max(value / 100) - min(value / 100) as v, count(value) as nv from b group by all)
+select user_id, burst, n, case when n = 1 then 'single' when ne = n and e >= 1 then 'exposure' when nv = n and v >= 0.18 then 'brightness' else 'none' end as reason,
+  case when n > 1 and not (ne = n and e >= 1) and nv = n and v >= 0.18 then 0.6 else 1.0 end::double as confidence from g""")
+def bracket_classify(spark, sf):
+    return sessions.classify(_bursts(spark, sf), keys=["user_id", "burst"], ev="ev", brightness="brightness")
+
+
+@query(BURST + """, r as (select user_id, burst, event_id, row_number() over (partition by user_id, burst order by json_extract(props, '$.k')::double / 30, event_id) - 1 as i, count(*) over (partition by user_id, burst) as n from b)
+select user_id, burst, event_id as reference from r where i = n // 2""")
+def bracket_reference(spark, sf):
+    return _bursts(spark, sf).groupBy("user_id", "burst").agg(sessions.middle(F.col("ev"), F.col("event_id"), F.col("event_id")).alias("reference"))
+
+
+@query()
+def bracket_stateful(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type", micros().alias("us"))
+    return sessions.stateful_brackets(rows, group="user_id", ts_us="us", ev="event_type", item="event_id", tolerance_s=3600)
+
+
+@query()
+def greedy_scan(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_id", "value", micros().alias("us"))
+    return sessions.greedy_runs(rows, group="user_id", ts_us="us", item="event_id", value="value", near_s=3600, far_s=14400)
+
+
+@query(f"select a.user_id, a.event_id as a, b.event_id as b, abs(epoch_us(a.ts) - epoch_us(b.ts))::bigint as apart_us from events a join events b on a.user_id = b.user_id and a.event_id < b.event_id and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000")
+def same_scene_pairs(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_id", micros().alias("us"))
+    return sessions.near_pairs(rows, group="user_id", ts_us="us", item="event_id", within_s=600)
+
+
+@query()
+def nms_fold(spark, sf):
+    """Boxes of an order's lines; the largest drop those that overlap them."""
+    box = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("box"), (F.col("l_partkey") % 40).alias("x"), (F.col("l_suppkey") % 40).alias("y"), (F.col("l_quantity") + 10).cast("long").alias("w"), (F.col("l_quantity") * 2 + 5).cast("long").alias("h"))
+    return sessions.greedy_boxes(box, group="photo", item="box")
+
+
+# --- records -----------------------------------------------------------------
+
+
+@query("select o_orderkey, o_orderstatus, o_orderdate from orders order by o_orderdate desc, o_orderkey limit 50")
+def jobs_list_recent(spark, sf):
+    return relational.list_recent(table(spark, sf, "orders"), "o_orderdate", "o_orderkey", 50).select("o_orderkey", "o_orderstatus", "o_orderdate")
+
+
+@query("select o_orderkey, o_custkey, o_orderstatus from orders where o_orderkey = 7")
+def job_lookup(spark, sf):
+    return relational.lookup(table(spark, sf, "orders"), "o_orderkey", 7).select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+UPDATES = "select l_orderkey as k, case when max(l_returnflag) = 'R' then 'R' end as s, case when max(l_quantity) > 40 then round(sum(l_extendedprice), 2) end as p from lineitem where l_linenumber <= 3 group by 1"
+
+
+@query(f"select o_orderkey, coalesce(s, o_orderstatus) as o_orderstatus, coalesce(p, o_totalprice) as o_totalprice from orders left join ({UPDATES}) on k = o_orderkey")
+def job_partial_update(spark, sf):
+    lines = table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    updates = lines.agg(F.when(F.max("l_returnflag") == "R", "R").alias("o_orderstatus"), F.when(F.max("l_quantity") > 40, F.round(F.sum("l_extendedprice"), 2)).alias("o_totalprice"))
+    return relational.partial_update(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), updates, "o_orderkey", ["o_orderstatus", "o_totalprice"])
+
+
+@query("select doc_id, source from documents where doc_id % 3 = 0 union all select doc_id, 'new' from labels where doc_id not in (select doc_id from documents where doc_id % 3 = 0)")
+def insert_if_absent(spark, sf):
+    old = table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", "source")
+    return relational.insert_if_absent(old, table(spark, sf, "labels").select("doc_id", F.lit("new").alias("source")), "doc_id")
+
+
+@query("with r as (select o_custkey, o_orderkey, o_orderdate, 0 as f from orders where o_orderkey % 2 = 0 union all select o_custkey, o_orderkey, o_orderdate, 1 from orders where o_orderkey % 2 = 1) select o_custkey, o_orderkey, o_orderdate from r qualify row_number() over (partition by o_custkey order by o_orderdate desc, f desc, o_orderkey) = 1")
+def upsert_latest(spark, sf):
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    # One row a key and date on each side, the least order: the latest is then unique.
+    side = lambda k: rows.where(f"o_orderkey % 2 = {k}").groupBy("o_custkey", "o_orderdate").agg(F.min("o_orderkey").alias("o_orderkey")).select("o_custkey", "o_orderkey", "o_orderdate")
+    return relational.upsert(side(0), side(1), "o_custkey", "o_orderdate")
+
+
+@query("select c_custkey, c_mktsegment from customer where c_acctbal >= 0 and c_mktsegment = 'BUILDING'")
+def active_filter(spark, sf):
+    rows = table(spark, sf, "customer").withColumn("revoked", F.when(F.col("c_acctbal") < 0, F.col("c_acctbal")))
+    return relational.active(rows, "revoked", "c_mktsegment", "BUILDING").select("c_custkey", "c_mktsegment")
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def skip_existing(spark, sf):
+    return relational.without_existing(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id").select("doc_id")
+
+
+@query("select source, count(*)::bigint as n, grouping(source)::int as is_total from documents group by rollup(source)")
+def category_stats(spark, sf):
+    return relational.count_with_total(table(spark, sf, "documents"), "source")
+
+
+@query("select o_orderstatus as outcome, count(*)::bigint as n from orders group by 1")
+def outcome_counts(spark, sf):
+    return relational.count_by(table(spark, sf, "orders").withColumnRenamed("o_orderstatus", "outcome"), "outcome")
+
+
+@query("select u.conv_id, u.turn as user_turn, a.turn as answer_turn from conversations u join conversations a using (conv_id) where u.role = 'user' and a.role = 'assistant'")
+def one_to_many_pairs(spark, sf):
+    rows = table(spark, sf, "conversations")
+    asked = rows.where("role = 'user'").select("conv_id", F.col("turn").alias("user_turn"))
+    return relational.one_to_many(asked, rows.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answer_turn")), ["conv_id"])
+
+
+@query("select c_custkey, o_orderkey from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'F'")
+def left_competitors(spark, sf):
+    orders = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return table(spark, sf, "customer").select("c_custkey").join(orders, "c_custkey", "left")
+
+
+@query("select 'supplier' as source, 0 as source_rank, s_name as name, s_acctbal as balance from supplier union all select 'customer', 1, c_name, c_acctbal from customer")
+def union_report(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    c = table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    return relational.union_sources([("supplier", s), ("customer", c)]).select("source", "source_rank", "name", "balance")
+
+
+@query("select conv_id, turn, i::int as i, n::bigint as n, (5 + floor(90 * i / n))::int as progress_pct from (select conv_id, turn, row_number() over (partition by conv_id order by turn) as i, count(*) over (partition by conv_id) as n from conversations)")
+def running_progress(spark, sf):
+    return relational.progress(table(spark, sf, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+# --- scores --------------------------------------------------------------------
+
+_SCORES = """
+with s as (select user_id, (['exposure','white_balance','sharpness','color_richness','vertical_alignment','halo','sky_quality','noise','composition'])[event_id % 9 + 1] as category, avg(value) as a from events group by all),
+t as (select user_id, category, least(10, a / 10) as score, category <> 'sky_quality' or user_id % 2 = 0 as applicable from s),
+w(category, weight) as (values ('exposure',1.3),('white_balance',1.2),('sharpness',1.2),('color_richness',1.0),('vertical_alignment',0.9),('halo',1.1),('sky_quality',0.9),('noise',0.8),('composition',0.8)),
+o as (select user_id, coalesce(sum(score * weight) filter (where applicable) / sum(weight) filter (where applicable), 0) as overall from t join w using (category) group by 1)
+"""
+
+
+def _scores(spark, sf):
+    names = F.array(*[F.lit(k) for k in ("exposure", "white_balance", "sharpness", "color_richness", "vertical_alignment", "halo", "sky_quality", "noise", "composition")])
+    rows = table(spark, sf, "events").groupBy("user_id", F.get(names, (F.col("event_id") % 9).cast("int")).alias("category")).agg(F.least(F.lit(10.0), F.avg("value") / 10).alias("score"))
+    return rows.withColumn("applicable", (F.col("category") != "sky_quality") | (F.col("user_id") % 2 == 0))
+
+
+@query(_SCORES + "select user_id, round_even(overall, 2) as overall, case when overall >= 9.3 then 'S' when overall >= 8.5 then 'A' when overall >= 7.5 then 'B' when overall >= 6.5 then 'C' else 'D' end as grade from o")
+def weighted_scorecard(spark, sf):
+    return scoring.scorecard(_scores(spark, sf), "user_id").select("user_id", "overall", "grade")
+
+
+@query(_SCORES + ", r as (select user_id, category, row_number() over (partition by user_id order by score, category) as i from t where applicable and score < 8) select user_id, coalesce(string_agg(category, ',' order by i) filter (where i <= 3), '') as weak from o left join r using (user_id) group by user_id")
+def weak_top3(spark, sf):
+    return scoring.scorecard(_scores(spark, sf), "user_id").select("user_id", "weak")
+
+
+@query("select o_orderkey, a + 0.5 < b as rolled_back from (select o_orderkey, o_orderkey % 100 / 10.0 as b, o_custkey % 100 / 10.0 as a from orders)")
+def rollback(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", scoring.rolled_back(F.col("o_orderkey") % 100 / 10.0, F.col("o_custkey") % 100 / 10.0).alias("rolled_back"))
+
+
+@query("""
+with m as (select user_id, avg((value >= 99)::int) as blown, avg((value <= 1)::int) as crushed, (quantile_cont(value, 0.99) - quantile_cont(value, 0.01)) * 2.55 as span from events group by 1)
+select user_id, round(least(10, greatest(0, 0.4 * greatest(0, 10 - 60 * greatest(0, blown - 0.005)) + 0.3 * greatest(0, 10 - 35 * greatest(0, crushed - 0.02)) + 0.3 * case when span >= 200 then 10 when span >= 160 then 7 else 5.5 end)), 6) as score from m""")
+def exposure_score(spark, sf):
+    share = lambda c: F.avg(c.cast("int"))
+    m = table(spark, sf, "events").groupBy("user_id").agg(share(F.col("value") >= 99).alias("b"), share(F.col("value") <= 1).alias("c"), ((F.percentile("value", 0.99) - F.percentile("value", 0.01)) * 2.55).alias("s"))
+    return m.select("user_id", F.round(scoring.exposure_score(F.col("b"), F.col("c"), F.col("s")), 6).alias("score"))
+
+
+@query("""
+with x as (select event_type, user_id from events where user_id % 3 > 0 group by all), n as (select event_type, count(*) as n from x group by 1),
+p as (select a.event_type as a, b.event_type as b, count(*) as k from x a join x b using (user_id) where a.event_type < b.event_type group by all)
+select p.a, p.b, k::bigint as n_both, (na.n + nb.n - k)::bigint as n_either, round(k / (na.n + nb.n - k), 6) as iou from p join n na on na.event_type = p.a join n nb on nb.event_type = p.b""")
+def pairwise_iou(spark, sf):
+    return scoring.set_iou(table(spark, sf, "events").where("user_id % 3 > 0"), "event_type", "user_id").withColumn("iou", F.round("iou", 6))
+
+
+_MASKS = """
+with c as (select p_partkey, (['wall','floor','ceiling','window','door','opening','crown','baseboard','casing','light'])[p_partkey % 10 + 1] as class, p_size / 50.0 as share, p_retailprice % 1000 / 1000 as m from part),
+r(class, low, high) as (values ('wall',0.2,0.75),('floor',0.03,0.4),('ceiling',0.02,0.3),('window',0.0,0.4),('door',0.0,0.3),('opening',0.0,0.4),('crown',0.0,0.05),('baseboard',0.0,0.05),('casing',0.0,0.08),('light',0.0,0.1)),
+s as (select p_partkey, c.class, m, case when share < low then share / low when share > high then greatest(0, 1 - (share - high) / high) else 1.0 end::double as coverage_sanity from c join r using (class))
+"""
+
+
+def _masks(spark, sf):
+    names = F.array(*[F.lit(k) for k in scoring.COVERAGE])
+    rows = table(spark, sf, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % 10).cast("int")).alias("class"), (F.col("p_size") / 50.0).alias("share"), (F.col("p_retailprice") % 1000 / 1000).alias("m"))
+    return rows.withColumn("coverage_sanity", scoring.coverage_score(F.col("class"), F.col("share")))
+
+
+@query(_MASKS + "select p_partkey, class, round(coverage_sanity, 6) as score from s")
+def coverage_score(spark, sf):
+    return _masks(spark, sf).select("p_partkey", "class", F.round("coverage_sanity", 6).alias("score"))
+
+
+@query(_MASKS + """, w(class, weight) as (values ('wall',1.5),('floor',1.2),('ceiling',1.0),('window',1.3),('door',1.0),('opening',1.3),('crown',0.5),('baseboard',0.5),('casing',0.7),('light',0.3)),
+o as (select p_partkey % 97 as photo, greatest(0, sum((0.2 * coverage_sanity + 0.8 * m) * weight) / greatest(1, sum(weight))) as overall from s join w using (class) group by 1)
+select photo, round(overall, 6) as overall, case when overall >= 0.85 then 'pass' when overall >= 0.65 then 'review' else 'fail' end as verdict from o""")
+def mask_verdict(spark, sf):
+    rows = _masks(spark, sf).withColumns({k: F.col("m") for k in scoring.MASK_METRICS if k != "coverage_sanity"}).withColumn("photo", F.col("p_partkey") % 97)
+    return scoring.mask_report(rows, "photo").withColumn("overall", F.round("overall", 6))
+
+
+@query("""
+with r as (select p_partkey, 0.55 * (p_size / 50.0 * 0.3 + (p_partkey % 100) / 100.0 * 0.25 + (p_partkey % 37) / 36.0 * 0.45) + 0.45 * (0.9 * 0.15 + 1.0 * 0.1 + (p_partkey % 11) / 10.0 * 0.2 + 0.7 * 0.2 + (p_partkey % 13) / 12.0 * 0.35) as o from part)
+select p_partkey, round(o, 6) as overall, case when o >= 0.78 then 'pass' when o >= 0.55 then 'review' else 'fail' end as verdict from r""")
+def director_review(spark, sf):
+    k = F.col("p_partkey")
+    rows = table(spark, sf, "part").select(
+        "p_partkey", (F.col("p_size") / 50.0).alias("halo_window_corners"), (k % 100 / 100.0).alias("ceiling_neutrality"), (k % 37 / 36.0).alias("move_in_feel"), F.lit(0.9).alias("verticals"),
+        F.lit(1.0).alias("lens_residual"), (k % 11 / 10.0).alias("sharpness_uniformity"), F.lit(0.7).alias("shadow_noise"), (k % 13 / 12.0).alias("consistency"),
+    )
+    return scoring.review(rows).select("p_partkey", F.round("overall", 6).alias("overall"), "verdict")
+
+
+@query("""
+with m as (select p_partkey as k, p_size * 6 as blur, p_partkey % 25 as hi, p_partkey % 31 as lo, p_partkey % 256 as luma from part)
+select k as p_partkey, greatest(case when blur < 60 then 3 when blur < 150 then 2 else 0 end, case when hi > 18 then 3 when hi > 8 then 2 else 0 end, case when lo > 25 then 3 when lo > 12 then 2 else 0 end, case when luma < 35 then 3 when luma < 60 then 2 when luma > 220 then 2 else 0 end) as severity from m""")
+def preflight_rules(spark, sf):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select("p_partkey", scoring.preflight(F.col("p_size") * 6, k % 25, k % 31, k % 256).alias("severity"))
+
+
+@query("""
+with f as (select l_partkey, var_pop(l_quantity) as s, count(*) * 100000.0 as px, avg(l_quantity) * 4 as m, avg((l_discount >= 0.09)::int) as b, avg((l_tax >= 0.07)::int) as e from lineitem group by 1),
+r as (select l_partkey, round(s * least(1.0, px / (1920 * 1080)) * greatest(1 - abs(m - 130) / 130, 0.1) * (1 + least(b * 12, 1.5)) * (1 + least(e * 8, 1.5)), 4) as score from f)
+select l_partkey, score, row_number() over (order by score desc, l_partkey)::int as place from r order by score desc, l_partkey limit 3""")
+def hero_rank(spark, sf):
+    f = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.var_pop("l_quantity").alias("s"), (F.count(F.lit(1)) * 100000.0).alias("px"), (F.avg("l_quantity") * 4).alias("m"), F.avg((F.col("l_discount") >= 0.09).cast("int")).alias("b"), F.avg((F.col("l_tax") >= 0.07).cast("int")).alias("e"))
+    scored = f.select("l_partkey", F.round(scoring.hero_score(F.col("s"), F.col("px"), F.col("m"), F.col("b"), F.col("e")), 4).alias("score"))
+    return scoring.ranked(scored, "score", "l_partkey", 3)
+
+
+_STATUS = "([200, 404, 429, 500, 408, 503])[(event_id * 7 % 6)::int + 1]"
+
+
+@query(f"""
+with a as (select user_id, row_number() over (partition by user_id order by event_id) as i, {_STATUS} as status from events),
+o as (select *, case when status between 200 and 299 then 'delivered' when status between 400 and 499 and status not in (408, 429) then 'gave_up' else 'retry' end as o from a where i <= 6),
+g as (select user_id, min(i) filter (where o <> 'retry') as e, max(i) as last, arg_min(o, i) filter (where o <> 'retry') as out from o group by 1)
+select user_id, coalesce(out, case when last >= 6 then 'exhausted' else 'pending' end) as outcome, coalesce(e, last)::int as attempts from g""")
+def webhook_outcome(spark, sf):
+    from pyspark.sql import Window
+
+    codes = F.array(*[F.lit(c) for c in (200, 404, 429, 500, 408, 503)])
+    rows = table(spark, sf, "events").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("i"), F.get(codes, (F.col("event_id") * 7 % 6).cast("int")).alias("status"))
+    return scoring.final_outcome(rows, "user_id", "i", "status")
+
+
+# --- statistics ------------------------------------------------------------------
+
+
+@query("with m as (select event_type, median(value) as m from events group by 1) select event_type, round(any_value(m), 6) as median, round(median(abs(value - m)), 6) as mad from events join m using (event_type) group by 1")
+def noise_mad(spark, sf):
+    return statistics.median_deviation(table(spark, sf, "events"), ["event_type"], "value").select("event_type", F.round("median", 6).alias("median"), F.round("mad", 6).alias("mad"))
+
+
+@query("with a as (select user_id, degrees(atan2(avg(sin(radians(hour(ts) * 15.0))), avg(cos(radians(hour(ts) * 15.0))))) as d from events group by 1) select user_id, round(case when d < 0 then d + 360 else d end, 4) as hue from a")
+def circular_hue(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.round(statistics.circular_mean(F.hour("ts") * 15.0), 4).alias("hue"))
+
+
+@query("select event_id, round((value - avg(value) over w) / (stddev_pop(value) over w + 1e-6), 5) as z from events window w as (partition by date_trunc('hour', ts))")
+def block_zscore(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "value", F.date_trunc("hour", "ts").alias("block"))
+    return statistics.z_scores(rows, ["block"], "value").select("event_id", F.round("z", 5).alias("z"))
+
+
+@query("select bin, n::bigint as n, round(n / sum(n) over (), 6) as share from (select least(floor(value / 3.125), 31)::int as bin, count(*) as n from events where value between 0 and 100 group by 1)")
+def histogram32(spark, sf):
+    return statistics.histogram(table(spark, sf, "events"), "value", 0.0, 100.0, 32).withColumn("share", F.round("share", 6))
+
+
+@query("with g as (select user_id, median(value) as v from events group by 1 having count(*) >= 5) select round(median(v), 6) as anchor, count(*)::bigint as samples from g")
+def anchor_fit(spark, sf):
+    return statistics.anchor(table(spark, sf, "events").select("user_id", "value"), ["user_id"], ["value"], 5).select(F.round("value_anchor", 6).alias("anchor"), "samples")
+
+
+@query("with g as (select user_id, median(value) as v, count(*) as n from events group by 1), a as (select median(v) as a from g where n >= 5) select user_id, round(case when n < 10 then 0 else least(14, greatest(-14, (a - v) * 0.6)) end, 6) as shift from g, a")
+def anchor_apply(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "value")
+    target = statistics.anchor(rows, ["user_id"], ["value"], 5)
+    own = rows.groupBy("user_id").agg(statistics.median("value").alias("v"), F.count(F.lit(1)).alias("n"))
+    return own.join(F.broadcast(target), F.lit(True)).select("user_id", F.round(F.when(F.col("n") < 10, 0.0).otherwise(statistics.anchor_shift(F.col("v"), F.col("value_anchor"))), 6).alias("shift"))
+
+
+@query("with r as (select user_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as i, greatest(1, count(*) over (partition by user_id) // 24) as step from events) select user_id, event_id from r where i % step = 0 and i / step < 24")
+def systematic_sample(spark, sf):
+    return statistics.systematic_sample(table(spark, sf, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@query("with g as (select l_returnflag, avg(l_quantity) as m, stddev_pop(l_quantity) + 1e-6 as s from lineitem group by 1) select l_orderkey, l_linenumber, round(case when l.l_returnflag = 'N' then l_quantity else (l_quantity - g.m) * (r.s / g.s) + r.m end, 5) as matched from lineitem l join g using (l_returnflag), (select * from g where l_returnflag = 'N') r")
+def lab_match(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return statistics.match_moments(rows, "l_returnflag", "l_quantity", "N").select("l_orderkey", "l_linenumber", F.round("matched", 5).alias("matched"))
