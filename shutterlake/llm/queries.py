@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import decontaminate, license_scan, minhash_dedup, pii, quality_rules, sentencepiece_codec, token_output, url_filter, warc
+from shutterlake.llm import decontaminate, license_scan, minhash_dedup, pii, quality_rules, sentencepiece_codec, suffix_dedup, token_output, url_filter, warc
 from shutterlake.session import table
 
 
@@ -50,12 +50,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("leaked").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_output, op2_license_scan, op3_url_filter, op4_quality_rules, op5_sentencepiece, op6_minhash_dedup, op7_warc, op8_decontaminate, op10_pii)}
+    return {f.__name__: f for f in (op1_token_output, op2_license_scan, op3_url_filter, op4_quality_rules, op5_sentencepiece, op6_minhash_dedup, op7_warc, op8_decontaminate, op9_suffix_dedup, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
