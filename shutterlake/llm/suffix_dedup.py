@@ -302,13 +302,12 @@ def repeated_starts(contexts: list[bytes], docs: np.ndarray, length: int) -> lis
     text[ends] = 0
     order = suffix_array(text)
     owner = np.repeat(np.arange(len(contexts)), sizes + 1)
-    # Bytes alone don't tell a part's end from a zero byte: strings are compared only where they fit.
-    _, common = permuted_prefixes(np.concatenate([data, np.zeros(length + 8, np.uint8)]), order, length)
     fits = np.arange(len(data)) + length <= ends[owner]
     chosen = order[fits[order]]
     if not len(chosen):
         return [np.zeros(0, np.int64)] * len(contexts)
-    # Suffixes too short to hold a string never stand between two that share one.
+    # Bytes alone don't tell a part's end from a zero byte: only suffixes that hold a string are compared.
+    _, common = permuted_prefixes(np.concatenate([data, np.zeros(length + 8, np.uint8)]), chosen, length)
     new = common[chosen] < length
     new[0] = True
     run = np.flatnonzero(new)

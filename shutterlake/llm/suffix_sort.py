@@ -172,13 +172,12 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
 
 def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix, in text order: its predecessor in sorted order (-1: none) and their common prefix, up to ``most``.
+    """For each suffix, in text order: its predecessor in ``order`` (-1: none) and their common prefix, up to ``most``.
 
-    ``t``: bytes of the text followed by ``most`` + 8 others.
+    ``t``: bytes of the text followed by ``most`` + 8 others.  ``order`` may leave suffixes out.
     """
-    n = len(order)
-    before = np.empty(n, np.int64)
-    before[order[0]] = -1
+    n = len(t) - most - 8
+    before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     words = np.ascontiguousarray(np.lib.stride_tricks.as_strided(t, (len(t) - 7, 8), (1, 1))).view("<u8").ravel()
     common = np.zeros(n, np.int64)
