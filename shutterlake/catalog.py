@@ -469,3 +469,80 @@ def systematic_sample(spark, sf):
 def lab_match(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
     return statistics.match_moments(rows, "l_returnflag", "l_quantity", "N").select("l_orderkey", "l_linenumber", F.round("matched", 5).alias("matched"))
+
+
+# --- pixels ----------------------------------------------------------------------
+
+PIXELS = """
+with px as (
+  select p_partkey as photo_id, y, x, (x * 11 + y * 7 + p_partkey * 13) % 256 as b, (x * 5 + y * 17 + p_size * 3) % 256 as g, (x * y + p_partkey * 29) % (p_size * 5 + 6) as r
+  from part, range(16) t(y), range(16) u(x) where p_partkey <= 60
+), l as (select *, 0.114::double * b + 0.587::double * g + 0.299::double * r as luma from px)
+"""
+
+
+def _pixels(spark, sf):
+    rows = table(spark, sf, "part").where("p_partkey <= 60").select("p_partkey", "p_size")
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    x, y, k, s = (F.col(c) for c in ("x", "y", "p_partkey", "p_size"))
+    return rows.select(k.alias("photo_id"), "y", "x", ((x * 11 + y * 7 + k * 13) % 256).alias("b"), ((x * 5 + y * 17 + s * 3) % 256).alias("g"), ((x * y + k * 29) % (s * 5 + 6)).alias("r"))
+
+
+@query(PIXELS + """, m as (select photo_id, avg((round_even(luma, 0) >= 250)::int) as blown, avg((round_even(luma, 0) <= 5)::int) as crushed, quantile_cont(round_even(luma, 0), 0.99) - quantile_cont(round_even(luma, 0), 0.01) as span from l group by 1)
+select photo_id, round(blown, 6) as blown, round(crushed, 6) as crushed, round(span, 4) as span, round(least(10, greatest(0, 0.4 * greatest(0, 10 - 60 * greatest(0, blown - 0.005)) + 0.3 * greatest(0, 10 - 35 * greatest(0, crushed - 0.02)) + 0.3 * case when span >= 200 then 10 when span >= 160 then 7 else 5.5 end)), 6) as score from m""")
+def image_exposure(spark, sf):
+    from shutterlake.operators import pixels
+
+    return pixels.exposure(_pixels(spark, sf)).select("photo_id", F.round("blown", 6).alias("blown"), F.round("crushed", 6).alias("crushed"), F.round("span", 4).alias("span"), F.round("score", 6).alias("score"))
+
+
+@query(PIXELS + ", m as (select photo_id, avg(b) as b, avg(g) as g, avg(r) as r from px group by 1), c as (select photo_id, sqrt(power(b / ((b + g + r) / 3) - 1, 2) + power(g / ((b + g + r) / 3) - 1, 2) + power(r / ((b + g + r) / 3) - 1, 2)) as k from m) select photo_id, round(k, 6) as cast, round(least(10, greatest(0, 10 - 70 * k)), 5) as score from c")
+def image_cast(spark, sf):
+    from shutterlake.operators import pixels
+
+    return pixels.colour_cast(_pixels(spark, sf)).select("photo_id", F.round("cast", 6).alias("cast"), F.round("score", 5).alias("score"))
+
+
+@query(PIXELS + "select photo_id, round(median(luma), 4) as median, round(quantile_cont(luma, 0.9) - quantile_cont(luma, 0.1), 4) as spread from l group by 1")
+def image_tonal(spark, sf):
+    from shutterlake.operators import pixels
+
+    return pixels.tonal(_pixels(spark, sf)).select("photo_id", F.round("median", 4).alias("median"), F.round("spread", 4).alias("spread"))
+
+
+@query(PIXELS + "select photo_id, count(*)::bigint as area, min(x)::int as x0, min(y)::int as y0, max(x)::int as x1, max(y)::int as y1 from px where g >= 230 group by 1")
+def image_boxes(spark, sf):
+    from shutterlake.operators import pixels
+
+    return pixels.bounding_boxes(_pixels(spark, sf), F.col("g") >= 230)
+
+
+@query(PIXELS + "select photo_id, round(count(*) filter (where b >= 128 and g >= 128) / count(*), 6) as iou from px where b >= 128 or g >= 128 group by 1")
+def image_mask_iou(spark, sf):
+    from shutterlake.operators import pixels
+
+    rows = _pixels(spark, sf)
+    keys = ["photo_id", "y", "x"]
+    return pixels.mask_overlap(rows.where("b >= 128").select(keys), rows.where("g >= 128").select(keys)).withColumn("iou", F.round("iou", 6))
+
+
+@query()
+def image_scores(spark, sf):
+    """Scores of generated photos by the NumPy kernels."""
+    import pandas as pd
+
+    from shutterlake.functions import imaging
+
+    def score(batches):
+        import numpy as np
+
+        for batch in batches:
+            rows = []
+            for k, size in zip(batch["p_partkey"], batch["p_size"], strict=True):
+                y, x = np.mgrid[0:96, 0:128]
+                image = np.stack([(x * 2 + k) % 256, (y * 2 + size) % 256, (x + y + k) % 256], -1).astype(np.uint8)
+                rows.append((k, *[round(f(image)["score"], 4) for f in (imaging.exposure, imaging.colour_cast, imaging.sharpness, imaging.noise, imaging.composition)]))
+            yield pd.DataFrame(rows, columns=["photo_id", "exposure", "white_balance", "sharpness", "noise", "composition"])
+
+    rows = table(spark, sf, "part").where("p_partkey <= 60").select("p_partkey", "p_size")
+    return rows.mapInPandas(score, "photo_id long, exposure double, white_balance double, sharpness double, noise double, composition double")
