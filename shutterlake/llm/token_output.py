@@ -90,6 +90,13 @@ class EliasFano:
         return high | (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+#: Letters below this are letters in every version of Unicode's tables.
+LATIN_END = "\u0250"
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: The byte-level alphabet: visible bytes stand for themselves, the others follow from 256 on in order.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - _PLAIN))}
+
+
 class CachedEncoder:
     """The tokenizers library, asked once for each distinct stretch between single spaces.
 
@@ -99,7 +106,8 @@ class CachedEncoder:
     """
 
     INNER_SPACE = re.compile(r"\s \s")
-    LIMIT = 500_000
+    LIMIT = 700_000
+    MARKS = ",.;:!?"
 
     def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -110,20 +118,52 @@ class CachedEncoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.marks = dict(zip(self.MARKS + "\n", self._whole([*self.MARKS, "\n"]), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _stretches(self, words: set[str], space: str) -> list[tuple[str, bytes]]:
+        """Ids of each word after ``space``. Latin letters alone are one token to the pre-tokenizer, so the library's model gets them directly."""
+        letters = [w for w in words if w.isalpha() and max(w) < LATIN_END]
+        rest = list(words.difference(letters))
+        tokenize, table, dtype = self.library.model.tokenize, BYTE_LETTERS, self.dtype
+        made = [np.array([t.id for t in tokenize((space + w).encode().decode("latin-1").translate(table))], dtype).tobytes() for w in letters]
+        return [*zip(letters, made, strict=True), *zip(rest, self._whole([space + w for w in rest]), strict=True)]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Ids of stretches, each after a space.
+
+        A line break between two other characters is a token's worth of its own
+        to the pre-tokenizer, and so is one of ``,.;:!?`` at the end of letters.
+        Stretches are taken apart there first, as their parts are far fewer.
+        """
+        lines = {w: w.split("\n") for w in missing if "\n" in w}
+        lines = {w: parts for w, parts in lines.items() if not any(p == "" or p != p.strip() for p in parts)}
+        words = {parts[0] for parts in lines.values()} | missing.difference(lines)
+        ended = {w: (w[:-1], w[-1]) for w in words if len(w) > 1 and w[-1] in self.MARKS and w[-2].isalpha()}
+        bare = ({a for a, _ in ended.values()} | words.difference(ended)).difference(self.known)
+        heads = {p for parts in lines.values() for p in parts[1:]}
+        cut = {p: (p[:-1], p[-1]) for p in heads if len(p) > 1 and p[-1] in self.MARKS and p[-2].isalpha()}
+        begin = ({a for a, _ in cut.values()} | heads.difference(cut)).difference(self.heads)
+        self.known.update(self._stretches(bare, " "))
+        self.heads.update(self._stretches(begin, ""))
+        marks = self.marks
+        self.known.update((w, self.known[a] + marks[m]) for w, (a, m) in ended.items())
+        self.heads.update((w, self.heads[a] + marks[m]) for w, (a, m) in cut.items())
+        for w, (first, *rest) in lines.items():
+            self.known[w] = self.known[first] + b"".join(marks["\n"] + self.heads[p] for p in rest)
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as bytes, in order."""
         cut = [None if self.INNER_SPACE.search(t) else t.split(" ") for t in texts]
         first = [c[0] for c in cut if c]
         missing = {w for c in cut if c for w in c[1:]}.difference(self.known)
-        if len(self.known) + len(missing) > self.LIMIT:
-            self.known = {}
+        if len(self.known) + len(self.heads) + len(missing) > self.LIMIT:
+            self.known, self.heads = {}, {}
             missing = {w for c in cut if c for w in c[1:]}
-        new = list(missing)
-        self.known.update(zip(new, self._whole([f" {w}" for w in new]), strict=True))
+        self._learn(missing)
         firsts = iter(self._whole(first))
         known = self.known
         for t, c in zip(texts, cut, strict=True):
