@@ -142,7 +142,7 @@ def test_samples_agree_as_often_as_sets_are_alike():
     b = np.unique(np.concatenate([a[:220], r.integers(0, 1 << 62, 60).astype(np.uint64)]))
     wa, wb = np.ones(len(a), np.float32), np.ones(len(b), np.float32)
     wa[:50], wb[np.isin(b, a[:50])] = 3, 2
-    drawn = minhash_dedup.samples(np.concatenate([a, b]), np.concatenate([wa, wb]), np.array([0, len(a)]), 3000)
+    drawn = minhash_dedup.samples(np.concatenate([a, b]), np.concatenate([wa, wb]), np.array([0, len(a)]), 3000)[0]
     assert abs((drawn[0] == drawn[1]).mean() - minhash_dedup.jaccard((a, wa), (b, wb))) < 0.04
 
 
