@@ -171,6 +171,20 @@ def test_checksums_and_context():
     assert pii.redact("a@b.cc x", pii.find_spans("a@b.cc x")) == "<EMAIL> x"
 
 
+def test_account_numbers_end_where_their_country_says():
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for account in (german, german.replace(" ", ""), british):
+        for after in ("", " BIC COBADEFF", " EUR 20", " 20", ", EUR", f" {british}", " SEPA DE00 1234 5678 9012 345"):
+            text = f"IBAN {account}{after}"
+            found = [(a, b) for a, k, b, _ in pii.find_spans(text) if pii.KINDS[k] == "iban"]
+            assert found[0] == (5, 5 + len(account)) and len(found) == (2 if british in after else 1)
+            assert account not in pii.redact(text, pii.find_spans(text))
+    # An unknown country: the longest stretch up to the end of a word.
+    unknown = next(f"ZZ{n:02} 1234 5678 9012 345" for n in range(2, 99) if pii.mod97(f"ZZ{n:02}123456789012345"))
+    assert (0, len(unknown)) in [(a, b) for a, _, b, _ in pii.find_spans(f"{unknown} bank")]
+    assert pii.find_spans("DE89 3704 0044 0532 0130 01 EUR 20") == []
+
+
 def test_block_max_wand_is_exhaustive():
     r = random.Random(2)
     vocabulary_ = [f"w{k}" for k in range(60)]
