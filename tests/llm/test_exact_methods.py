@@ -247,3 +247,21 @@ def test_license_wording():
     assert found("He had a license to drive.") == []
     for name, text in license_scan.TEMPLATES:
         assert found(f"Intro line\n{text}\nlast line")[0] == name
+
+
+def test_license_notices_without_their_first_words():
+    scanner = license_scan.scanner(license_scan.LicenseParams())
+    found = lambda t: [f[2] for f in scanner.scan(t)]
+    for name, text in license_scan.TEMPLATES:
+        words = license_scan.wording(text)
+        for lost in range(1, int(scanner.p.max_missing * len(words)) + 1):
+            if not license_scan.telling(words) & set(words[:lost]):
+                assert scanner.compare(["x", "foobar", *words[lost:], "y"], words) == [(2, len(words) - lost + 2, lost, 0)], (name, lost)
+    gpl = dict(license_scan.TEMPLATES)["GPL-3.0-or-later"]
+    assert found(gpl.replace("This program", "Foobar")) == ["GPL-3.0-or-later"]
+    # Neither prose around a notice nor other notices beside it hide it.
+    prose = "the river was wide and nobody knew how deep it might be at the other side of town " * 9
+    assert found(f"All rights reserved. {prose[:700]}") == ["Proprietary"]
+    assert found(f"{prose[:690]} all rights reserved {prose[:690]}") == ["Proprietary"]
+    short = [(n, t) for n, t in license_scan.TEMPLATES if len(t) < 100]
+    assert sorted(found(" ".join(t for _, t in short))) == sorted(n for n, _ in short)
