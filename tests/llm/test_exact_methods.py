@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -265,3 +266,20 @@ def test_license_notices_without_their_first_words():
     assert found(f"{prose[:690]} all rights reserved {prose[:690]}") == ["Proprietary"]
     short = [(n, t) for n, t in license_scan.TEMPLATES if len(t) < 100]
     assert sorted(found(" ".join(t for _, t in short))) == sorted(n for n, _ in short)
+
+
+def test_license_notices_across_lines():
+    scanner = license_scan.scanner(license_scan.LicenseParams())
+    found = lambda t: [f[2] for f in scanner.scan(t)]
+    for name, text in license_scan.TEMPLATES:
+        for width in (24, 40, 72):
+            for mark in ("", " * ", "# ", "// ", "        "):
+                wrapped = "\n".join(mark + line for line in textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False))
+                (got,) = scanner.scan(f"int x;\n{wrapped}\n\nint y;\n")
+                assert (got[2], got[4], got[5]) == (name, 0, 0), (name, width, mark)
+        paragraphs = text.replace(": ", ":\n\n").replace(". ", ".\n\n") if len(text) > 300 else text
+        assert found(f"Intro line\n\n{paragraphs}\n\nlast line") == [name]
+    assert found("This is free and unencumbered software released into\nthe public domain.") == ["Unlicense"]
+    assert found("This is free and unencumbered software released into the public\ndomain.") == ["Unlicense"]
+    mit = license_scan.TEMPLATES[2][1]
+    assert found("a word\n" * 400 + mit + "\nmore words" * 400 + "\n" + mit) == ["MIT", "MIT"]
