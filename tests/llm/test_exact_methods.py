@@ -147,6 +147,21 @@ def test_samples_agree_as_often_as_sets_are_alike():
     assert abs((drawn[0] == drawn[1]).mean() - minhash_dedup.jaccard((a, wa), (b, wb))) < 0.04
 
 
+def test_pairs_alike_through_a_frequent_passage_share_a_bucket():
+    r, p = np.random.default_rng(7), minhash_dedup.NearDupParams()
+    sets = []
+    for _ in range(200):
+        keys = r.integers(0, 1 << 62, 1132).astype(np.uint64)
+        frequent, ours = keys[:900], keys[900:]
+        for rest in (ours[:20], ours):
+            both = np.concatenate([frequent, rest])
+            order = np.argsort(both)
+            sets.append((both[order], np.ones(len(both), np.float32), np.isin(both, frequent)[order]))
+    assert minhash_dedup.jaccard(sets[0], sets[1]) > p.similarity
+    signed = minhash_dedup.signatures(sets, p)
+    assert sum(not set(a) & set(b) for a, b in zip(signed[::2], signed[1::2], strict=True)) <= 1
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
