@@ -482,7 +482,7 @@ with px as (
 
 
 def _pixels(spark, sf):
-    rows = table(spark, sf, "part").where("p_partkey <= 60").select("p_partkey", "p_size")
+    rows = table(spark, sf, "part").select("p_partkey", "p_size")
     rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(15))))
     x, y, k, s = (F.col(c) for c in ("x", "y", "p_partkey", "p_size"))
     return rows.select(k.alias("photo_id"), "y", "x", ((x * 11 + y * 7 + k * 13) % 256).alias("b"), ((x * 5 + y * 17 + s * 3) % 256).alias("g"), ((x * y + k * 29) % (s * 5 + 6)).alias("r"))
@@ -544,5 +544,5 @@ def image_scores(spark, sf):
                 rows.append((k, *[round(f(image)["score"], 4) for f in (imaging.exposure, imaging.colour_cast, imaging.sharpness, imaging.noise, imaging.composition)]))
             yield pd.DataFrame(rows, columns=["photo_id", "exposure", "white_balance", "sharpness", "noise", "composition"])
 
-    rows = table(spark, sf, "part").where("p_partkey <= 60").select("p_partkey", "p_size")
+    rows = table(spark, sf, "part").select("p_partkey", "p_size")
     return rows.mapInPandas(score, "photo_id long, exposure double, white_balance double, sharpness double, noise double, composition double")
