@@ -158,7 +158,7 @@ def report_roundtrip(spark, sf):
         "event_id", F.col("event_type").alias("name"), (F.col("value") > 50).alias("applied"), (F.col("value") <= 10).alias("skipped"),
         F.when(F.col("event_id") % 14 == 0, "").when(F.col("event_id") % 7 == 0, "late").alias("error"), F.col("value").alias("duration_ms"),
     )
-    rows = table(spark, sf, "events").where("event_id % 50 = 0 or event_id % 7 = 0").groupBy("user_id").agg(F.sort_array(F.collect_list(stage)).alias("s"))
+    rows = table(spark, sf, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(stage)).alias("s"))
     read = rows.select("user_id", jsonops.from_report(jsonops.to_report(F.col("s"))).alias("s"))
     return read.select("user_id", F.size("s").cast("long").alias("n_stages"), *[F.array_join(f(F.col("s")), ",").alias(f.__name__) for f in (jsonops.applied, jsonops.skipped, jsonops.errored)])
 
@@ -238,14 +238,14 @@ UPDATES = "select l_orderkey as k, case when max(l_returnflag) = 'R' then 'R' en
 
 @query(f"select o_orderkey, coalesce(s, o_orderstatus) as o_orderstatus, coalesce(p, o_totalprice) as o_totalprice from orders left join ({UPDATES}) on k = o_orderkey")
 def job_partial_update(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
     updates = lines.agg(F.when(F.max("l_returnflag") == "R", "R").alias("o_orderstatus"), F.when(F.max("l_quantity") > 40, F.round(F.sum("l_extendedprice"), 2)).alias("o_totalprice"))
     return relational.partial_update(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), updates, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
 @query("select doc_id, source from documents where doc_id % 3 = 0 union all select doc_id, 'new' from labels where doc_id not in (select doc_id from documents where doc_id % 3 = 0)")
 def insert_if_absent(spark, sf):
-    old = table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", "source")
+    old = table(spark, sf, "documents").select("doc_id", "source")
     return relational.insert_if_absent(old, table(spark, sf, "labels").select("doc_id", F.lit("new").alias("source")), "doc_id")
 
 
@@ -348,7 +348,7 @@ with x as (select event_type, user_id from events where user_id % 3 > 0 group by
 p as (select a.event_type as a, b.event_type as b, count(*) as k from x a join x b using (user_id) where a.event_type < b.event_type group by all)
 select p.a, p.b, k::bigint as n_both, (na.n + nb.n - k)::bigint as n_either, round(k / (na.n + nb.n - k), 6) as iou from p join n na on na.event_type = p.a join n nb on nb.event_type = p.b""")
 def pairwise_iou(spark, sf):
-    return scoring.set_iou(table(spark, sf, "events").where("user_id % 3 > 0"), "event_type", "user_id").withColumn("iou", F.round("iou", 6))
+    return scoring.set_iou(table(spark, sf, "events"), "event_type", "user_id").withColumn("iou", F.round("iou", 6))
 
 
 _MASKS = """
