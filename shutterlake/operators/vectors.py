@@ -32,16 +32,17 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", keep: Column | None = None, rounded: int = 6) -> DataFrame:
     """``query_id, id_col, score, rank``: the k nearest rows of each query by cosine, ties by id.
 
-    The query set is bounded (checked) and broadcast; ranks are cut within each
-    partition before any shuffle.
+    Up to ``MAX_QUERIES`` queries are broadcast; a larger set meets the rows block
+    by block, partition against partition.  Ranks are cut within each partition
+    before any shuffle.
     """
     if k <= 0:
         return vectors.limit(0).select(F.col(id_col).alias("query_id"), id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search them in blocks")
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_query"))
     rows = vectors if keep is None else vectors.where(keep)
-    scored = rows.join(F.broadcast(asked), F.lit(True)).select("query_id", id_col, F.round(cosine(F.col(vec_col), F.col("_query")), rounded).alias("score"))
+    small = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
+    pairs = rows.join(F.broadcast(asked), F.lit(True)) if small else rows.hint("shuffle_replicate_nl").crossJoin(asked)
+    scored = pairs.select("query_id", id_col, F.round(cosine(F.col(vec_col), F.col("_query")), rounded).alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 

@@ -69,3 +69,14 @@ def test_reports_read_what_is_there(spark):
     text = spark.createDataFrame([('{"stages":[{"name":"x","applied":true},null,{"error":"e"}]}',), ("{",), (None,)], "t string")
     got = [r["s"] for r in text.select(jsonops.from_report(F.col("t")).alias("s")).collect()]
     assert [s["name"] for s in got[0]] == ["x", ""] and got[0][1]["error"] == "e" and not got[0][0]["skipped"] and got[1] == [] and got[2] == []
+
+
+def test_any_number_of_queries_is_searched(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5 + 1), float(i % 3)], i % 2) for i in range(60)], "vec_id long, embedding array<float>, label int").repartition(3)
+    asked = rows.where("vec_id % 4 = 0")
+    want = values(vectors.top_k(rows, asked, 5, keep=F.col("label") == 1))
+    assert len(want) == 15 * 5
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 4)
+    got = vectors.top_k(rows, asked, 5, keep=F.col("label") == 1)
+    assert values(got) == want
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
