@@ -162,6 +162,76 @@ def test_pairs_alike_through_a_frequent_passage_share_a_bucket():
     assert sum(not set(a) & set(b) for a, b in zip(signed[::2], signed[1::2], strict=True)) <= 1
 
 
+def classes_of(n, links):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(x) for x in range(n)]
+
+
+def families(seed, n, words=80):
+    """Copies of two bases with up to seven other words each, and passages that unlike texts share."""
+    r = random.Random(seed)
+    vocabulary_ = [f"w{k}" for k in range(400)]
+    base = [[r.choice(vocabulary_) for _ in range(words)] for _ in range(2)]
+    passage = [r.choice(vocabulary_) for _ in range(30)]
+    texts = []
+    for i in range(n):
+        made = list(base[i % 2]) if i % 5 else [r.choice(vocabulary_) for _ in range(r.randrange(4, 60))] + passage
+        for _ in range(r.randrange(8) if i % 5 else 0):
+            made[r.randrange(len(made))] = r.choice(vocabulary_)
+        texts.append(" ".join(made * (2 if i % 7 == 0 else 1)))
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_links_of_a_cell_join_what_all_pairs_join(seed):
+    p = minhash_dedup.NearDupParams()
+    keys = np.unique(np.concatenate([minhash_dedup.counted([t])[0] for t in families(seed, 4)]))[:150]
+    common = (keys, np.full(len(keys), 0.9, np.float32))
+    for n in (2, 3, 5, 60):
+        sets = [s[:2] for s in minhash_dedup.multisets(families(seed, n), common, p)]
+        for similarity in (0.5, 0.8):
+            want = [(a, b) for b in range(n) for a in range(b) if minhash_dedup.jaccard(sets[a], sets[b]) >= similarity]
+            got = minhash_dedup.cell_links(sets, similarity)
+            assert classes_of(n, got) == classes_of(n, want)
+            assert {(min(x), max(x)) for x in got} <= set(want)
+
+
+def test_a_bucket_of_many_blocks_gives_the_same_classes(spark, docs):
+    frame = docs(list(enumerate(families(3, 160))))
+    whole = {r["doc_id"]: r["class_id"] for r in minhash_dedup.classes(frame).collect()}
+    small = minhash_dedup.NearDupParams(cell_bytes=6000)
+    assert {r["doc_id"]: r["class_id"] for r in minhash_dedup.classes(frame, small).collect()} == whole
+    assert len(set(whole.values())) < 140
+
+
+def test_shingles_do_not_depend_on_the_block():
+    texts = ["", " ", "a b", "Ünï  cödé\u2003words\x1c here and there", "x" * 700_000 + " y z w v u", None, "one two three four five six one two three four five six"]
+    whole = minhash_dedup.counted(texts)
+    for i, t in enumerate(texts):
+        keys, counts, _ = minhash_dedup.counted([t])
+        assert keys.tolist() == whole[0][whole[2][i] : whole[2][i + 1]].tolist() and counts.tolist() == whole[1][whole[2][i] : whole[2][i + 1]].tolist()
+        words = (t or "").lower().split()
+        grams = [tuple(words[k : k + 5]) for k in range(max(len(words) - 4, min(len(words), 1)))]
+        assert len(keys) == len(set(grams)) and counts.sum() == len(grams)
+
+
+def test_frequent_shingles_are_counted_exactly(spark, docs):
+    texts = families(9, 120)
+    p = minhash_dedup.NearDupParams()
+    sets = [set(minhash_dedup.counted([t])[0].tolist()) for t in texts]
+    want = {k for k in set().union(*sets) if sum(k in s for s in sets) > p.common * len(sets)}
+    for parts in (1, 7):
+        assert set(minhash_dedup.common_shingles(docs(list(enumerate(texts)), parts).select("text"), p)[0].tolist()) == want
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
