@@ -26,7 +26,10 @@ BAR = "▁"
 class MergeCodec:
     """The pieces of a merge-type model with byte fallback, an identity normaliser and a leading space."""
 
-    LIMIT = 400_000
+    #: Characters of the stretches whose ids are kept (each counts 30 more), and the longest that is kept.
+    LIMIT, LONGEST = 16_000_000, 64
+    #: Borders of two pieces that are kept with their verdict.
+    BORDERS = 2_000_000
     UNITS = re.compile(f"{BAR}+[^{BAR}]*")
 
     def __init__(self, path: str):
@@ -50,6 +53,8 @@ class MergeCodec:
             raise ValueError("two pieces of this model have one score")
         self._build(single, merged, ahocorasick.Automaton())
         self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.held = 0
+        self.borders: dict[int, bool] = {}
 
     def _build(self, single: list[str], merged: list[str], automaton) -> None:
         """Ranks: characters first, then pieces from the first merge to the last."""
@@ -71,7 +76,7 @@ class MergeCodec:
                     break
         for p, r in rank.items():
             if r in reachable:
-                automaton.add_word(p, r)
+                automaton.add_word(p, (len(p) - 1, r))
                 self.shorter[r] = next((rank[p[:k]] for k in range(len(p) - 1, 0, -1) if rank.get(p[:k], -1) in reachable), -1)
         automaton.make_automaton()
         self.automaton = automaton
@@ -105,27 +110,37 @@ class MergeCodec:
 
     def ranks(self, text: str) -> list[int]:
         """Ranks of the pieces of a stretch of known characters."""
-        n, size, shorter, fits = len(text), self.size, self.shorter, self.fits
+        n, size, shorter, borders = len(text), self.size, self.shorter, self.borders
         longest = [0] * n
-        for end, r in self.automaton.iter(text):
-            at = end + 1 - size[r]
-            if size[r] > size[longest[at]] or longest[at] < 0 or end == at:
-                longest[at] = r
-        failed, out, at = 0, [], 0
-        token = longest[0] if n else -1
-        while at < n:
+        # Matches come by their ends, so the longest from a place comes last.
+        for end, (back, r) in self.automaton.iter(text):
+            longest[end - back] = r
+        if n == 0 or size[longest[0]] == n:
+            return longest[:1]
+        if len(borders) > self.BORDERS:
+            borders.clear()
+        failed, out, at = bytearray((n >> 3) + 1), [], 0
+        token, pieces = longest[0], len(size)
+        while True:
             end = at + size[token]
-            if not failed >> end & 1 and (not out or fits(out[-1], token)):
+            good = not failed[end >> 3] >> (end & 7) & 1
+            if good and out:
+                border = out[-1] * pieces + token
+                good = borders.get(border)
+                if good is None:
+                    good = borders[border] = self.fits(out[-1], token)
+            if good:
                 out.append(token)
+                if end == n:
+                    return out
                 at = end
-                token = longest[at] if at < n else -1
+                token = longest[at]
             elif shorter[token] >= 0:
                 token = shorter[token]
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 token = out.pop()
                 at -= size[token]
-        return out
 
     def _run(self, n: int) -> list[int]:
         """Ids of a run of bars.  Their pieces share one score, so the leftmost pair goes first; runs are short and their ids are kept."""
@@ -152,6 +167,8 @@ class MergeCodec:
         return [self.id_of[p] for p, ok in zip(parts, alive, strict=True) if ok]
 
     def _stretch(self, text: str) -> list[int]:
+        if not self.unknown.search(text):
+            return [self.ids[r] for r in self.ranks(text)]
         out, at = [], 0
         for m in self.unknown.finditer(text):
             out += [self.ids[r] for r in self.ranks(text[at : m.start()])]
@@ -178,14 +195,19 @@ class MergeCodec:
         text = BAR + text.replace(" ", BAR)
         keys = [u[1:] for u in self.UNITS.findall(text)] if BAR * 2 in text else text[1:].split(BAR)
         missing = set(keys).difference(self.known)
-        if len(self.known) + len(missing) > self.LIMIT:
-            self.known = {}
+        if self.held > self.LIMIT:
+            self.known, self.held = {}, 0
             missing = set(keys)
+        known, long = self.known, {}
         for k in missing:
             ids = self.unit(BAR + k)
-            self.known[k] = (" ".join(map(str, ids)), tuple(ids))
-        known = self.known
-        return [known[k] for k in keys]
+            made = " ".join(map(str, ids)), tuple(ids)
+            if len(k) > self.LONGEST:
+                long[k] = made
+            else:
+                known[k] = made
+                self.held += len(k) + 30
+        return [long[k] if k in long else known[k] for k in keys] if long else [known[k] for k in keys]
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(ids for _, ids in self.units(text)))
