@@ -8,7 +8,8 @@ by shuffling them, so shards of *contexts* are sorted that hold every candidate:
    least hash.  Equal strings have equal anchors at equal offsets.  A scan writes
    each partition's texts to a file of its own, with the places of anchors, and
    asks about every anchor: its hash, a hash of its context (all bytes that
-   strings around it can take), its document.  Requests are packed by hash.
+   strings around it can take), its document.  Equal contexts of one frame are
+   asked about once, for the least document; requests are packed by hash.
 2. Anchors of one document alone need nothing.  A context that an earlier
    document has too is repeated whole.  What is left is the first document of
    each context of an anchor that has several: its bytes are asked for.
@@ -18,7 +19,11 @@ by shuffling them, so shards of *contexts* are sorted that hold every candidate:
 4. Each scan partition's file is read again with the answers to its questions.
 
 Text is never shuffled; a request is 12 bytes for about every 14 bytes of text,
-an answer two bits.  A hot anchor's requests are small and lie beside others'.
+an answer two bits.  Buckets follow the bytes of all texts, so a bucket's size does
+not grow with the input; a context that very many documents share is asked about
+once a frame.  Contexts are told apart by 96 bits of hash: among n of them two that
+differ are taken for one with a probability below n * n / 2**97.  An anchor that very
+many documents have among *different* bytes brings all its contexts to one bucket.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ from shutterlake.llm.suffix_sort import permuted_prefixes, suffix_array
 
 ANCHOR = 24
 FRAME = 4_000_000
+#: Bytes of text that a bucket of requests stands for.
+BUCKET = 16_000_000
 NONE, WHOLE, ASK = 0, 1, 2
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
@@ -89,8 +96,10 @@ def anchors(data: np.ndarray, length: int) -> np.ndarray:
 class Frame:
     """Some documents' bytes one after the other, with their anchors."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, places: np.ndarray, owner: np.ndarray, length: int):
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, places: np.ndarray, owner: np.ndarray, length: int, again: np.ndarray | None = None):
         self.ids, self.sizes, self.data, self.places, self.owner, self.length = ids, sizes, data, places, owner, length
+        #: Two rows: anchors whose context another anchor of the frame has, and that anchor, of the least document.
+        self.again = np.zeros((2, 0), np.int64) if again is None else again
         self.starts = np.cumsum(sizes) - sizes
         self.reach = length - ANCHOR
 
@@ -109,22 +118,36 @@ class Frame:
         return cls(names, sizes, np.frombuffer(b"".join(texts), np.uint8), np.concatenate(none + places), np.concatenate(none + owner), length)
 
     def to_bytes(self) -> bytes:
-        parts = [x.tobytes() for x in (self.ids, self.sizes, self.data)] + [zlib.compress(np.diff(self.places, prepend=0).astype("<u4").tobytes(), 1), np.bincount(self.owner, minlength=len(self.ids)).astype("<u4").tobytes()]
+        parts = [x.tobytes() for x in (self.ids, self.sizes, self.data)] + [zlib.compress(np.diff(self.places, prepend=0).astype("<u4").tobytes(), 1), np.bincount(self.owner, minlength=len(self.ids)).astype("<u4").tobytes(), zlib.compress(self.again.astype("<u4").tobytes(), 1)]
         parts[2] = zlib.compress(parts[2], 3)
-        return struct.pack("<5Q", *map(len, parts)) + b"".join(parts)
+        return struct.pack("<6Q", *map(len, parts)) + b"".join(parts)
 
     @classmethod
     def from_file(cls, f, length: int) -> Frame | None:
-        head = f.read(40)
+        head = f.read(48)
         if not head:
             return None
-        parts = [f.read(n) for n in struct.unpack("<5Q", head)]
+        parts = [f.read(n) for n in struct.unpack("<6Q", head)]
         counts = np.frombuffer(parts[4], "<u4")
         return cls(
             np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1], np.int64), np.frombuffer(zlib.decompress(parts[2]), np.uint8),
             np.cumsum(np.frombuffer(zlib.decompress(parts[3]), "<u4").astype(np.int64)), np.repeat(np.arange(len(counts)), counts), length,
+            np.frombuffer(zlib.decompress(parts[5]), "<u4").astype(np.int64).reshape(2, -1),
         )
 
+    def asked(self) -> np.ndarray:
+        """Numbers of the anchors that are asked about."""
+        return np.delete(np.arange(len(self.places)), self.again[0])
+
+    def unite(self, h: np.ndarray, c: np.ndarray) -> None:
+        """Finds the anchors that need not be asked about, from their hashes and their contexts'."""
+        doc = self.ids[self.owner]
+        order = np.lexsort((doc, mix(h ^ (c * U(0x9E3779B97F4A7C15)))))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order[1:]] != h[order[:-1]]) | (c[order[1:]] != c[order[:-1]])
+        first = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+        self.again = np.stack([order[~new], first[~new]])
+
     def bounds(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First byte and end of the contexts of the anchors numbered ``at``."""
         p, k = self.places[at], self.owner[at]
@@ -151,7 +174,7 @@ class Frame:
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> U(48)) % U(buckets)).astype(np.int64)
+    return ((h >> U(40)) % U(buckets)).astype(np.int64)
 
 
 def _groups(buckets: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -220,9 +243,11 @@ def scan(rows: DataFrame, folder: str, length: int, buckets: int) -> DataFrame:
                     size += len(t)
                     if size >= FRAME or k == len(texts) - 1:
                         one = Frame.of(ids[start : k + 1], texts[start : k + 1], length)
-                        out.write(one.to_bytes())
                         h, c = one.keys()
-                        asked = one.ids[one.owner]
+                        one.unite(h, c)
+                        out.write(one.to_bytes())
+                        at = one.asked()
+                        h, c, asked = h[at], c[at], one.ids[one.owner[at]]
                         made = [(shard, frame, b, NONE, _pack(_low48(h[g]), _low48(c[g]), _runs(asked[g]))) for b, g in _groups(_bucket(h, buckets))]
                         yield from _table(made).to_batches()
                         start, size, frame = k + 1, 0, frame + 1
@@ -272,10 +297,10 @@ def ask_contexts(path: str, answers: list[tuple], length: int, buckets: int) ->
         while (frame := Frame.from_file(f, length)) is not None:
             wanted = by_frame.get(number)
             if wanted:
-                h = _anchor_hashes(frame)
-                members = dict(_groups(_bucket(h, buckets)))
+                asked = frame.asked()
+                members = dict(_groups(_bucket(_anchor_hashes(frame)[asked], buckets)))
                 for _, _, bucket, _, payload in wanted:
-                    at = members[bucket][np.frombuffer(zlib.decompress(payload), np.uint8) == ASK]
+                    at = asked[members[bucket]][np.frombuffer(zlib.decompress(payload), np.uint8) == ASK]
                     if len(at):
                         low, high = frame.bounds(at)
                         text = frame.data.tobytes()
@@ -291,7 +316,6 @@ def _anchor_hashes(frame: Frame) -> np.ndarray:
 
 
 
-
 def repeated_starts(contexts: list[bytes], docs: np.ndarray, length: int) -> list[np.ndarray]:
     """For each context, the offsets of strings that a context of a smaller document has too."""
     sizes = np.array([len(c) for c in contexts], np.int64)
@@ -350,21 +374,30 @@ def apply_answers(path: str, answers: list[tuple], length: int, buckets: int):
         while (frame := Frame.from_file(f, length)) is not None:
             change = np.zeros(len(frame.data) + 1, np.int64)
             got = by_frame.get(number, [])
+            code, mask = np.zeros(len(frame.places), np.uint8), np.zeros(len(frame.places), U)
             if got:
-                members = dict(_groups(_bucket(_anchor_hashes(frame), buckets)))
-                codes = {m[2]: np.frombuffer(zlib.decompress(m[4]), np.uint8) for m in got if m[3] == 0}
-                for bucket, code in codes.items():
-                    low, high = frame.bounds(members[bucket][code == WHOLE])
-                    np.add.at(change, low, 1)
-                    np.add.at(change, high, -1)
-                for m in got:
-                    if m[3] == 1:
-                        masks = np.frombuffer(zlib.decompress(m[4]), np.uint64)
-                        low, _ = frame.bounds(members[m[2]][codes[m[2]] == ASK])
-                        for k in range(length - ANCHOR + 1):
-                            hit = low[(masks >> U(k)) & U(1) == 1] + k
-                            np.add.at(change, hit, 1)
-                            np.add.at(change, hit + length, -1)
+                asked = frame.asked()
+                members = dict(_groups(_bucket(_anchor_hashes(frame)[asked], buckets)))
+                for m in sorted(got, key=lambda m: m[3]):
+                    at = asked[members[m[2]]]
+                    if m[3] == 0:
+                        code[at] = np.frombuffer(zlib.decompress(m[4]), np.uint8)
+                    else:
+                        mask[at[code[at] == ASK]] = np.frombuffer(zlib.decompress(m[4]), U)
+            if frame.again.size:
+                at, first = frame.again
+                later = frame.ids[frame.owner[at]] > frame.ids[frame.owner[first]]
+                code[at] = np.where(later, WHOLE, code[first])
+                mask[at] = mask[first]
+            low, high = frame.bounds(np.flatnonzero(code == WHOLE))
+            np.add.at(change, low, 1)
+            np.add.at(change, high, -1)
+            some = np.flatnonzero((code == ASK) & (mask != 0))
+            low, mask = frame.bounds(some)[0], mask[some]
+            for k in range(length - ANCHOR + 1 if len(some) else 0):
+                hit = low[(mask >> U(k)) & U(1) == 1] + k
+                np.add.at(change, hit, 1)
+                np.add.at(change, hit + length, -1)
             yield frame, np.cumsum(change[:-1]) > 0
             number += 1
 
@@ -406,7 +439,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, *, id_col: str = "doc_id",
         raise ValueError(f"length must be from {2 * ANCHOR} to {ANCHOR + 63}")
     spark = docs.sparkSession
     folder = store.new_folder(spark, "bytes")
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("double")).alias("n")).first()["n"] or 0
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / BUCKET))
     answers = _answers(docs, folder, length, buckets, id_col, text_col)
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts]
 

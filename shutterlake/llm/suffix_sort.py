@@ -1,4 +1,7 @@
-"""Suffix arrays by induced sorting, with NumPy doing a bucket's work at a time.
+"""Suffix arrays by induced sorting.
+
+Over few values NumPy does a bucket's work at a time; over many (the strings of
+names, whose buckets hold a few suffixes each) suffixes are induced one by one.
 
 Suffixes are classified as smaller (S) or larger (L) than their right neighbour.
 Leftmost S suffixes (LMS) split the text into substrings; one induced pass sorts
@@ -45,7 +48,7 @@ class _Buckets:
             self.parts[self.t[part[0]]].append(part)
 
 
-def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+def _induce_in_batches(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes in order, from LMS suffixes given in order within each first value."""
     none = np.zeros(0, np.int64)
     seeds = _Buckets(t, sigma)
@@ -94,6 +97,46 @@ def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.n
     return np.concatenate(out)[::-1]
 
 
+def _induce_one_by_one(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """The same over values whose buckets are small."""
+    n = len(t)
+    counts = np.bincount(t, minlength=sigma)
+    tails = np.cumsum(counts)
+    order = np.full(n, -1, np.int64)
+    keys = t[lms]
+    by_value = np.argsort(keys, kind="stable")
+    keys = keys[by_value]
+    order[tails[keys] - np.searchsorted(keys, keys, "right") + np.arange(len(keys))] = lms[by_value]
+    out, head, tail = order.tolist(), (tails - counts).tolist(), tails.tolist()
+    # The list is filled ahead of its reader.  A bucket of -1: the suffix belongs to the other pass.
+    bucket = np.where(is_s, -1, t).tolist()
+    for at in out:
+        if at > 0:
+            c = bucket[at - 1]
+            if c >= 0:
+                out[head[c]] = at - 1
+                head[c] += 1
+    bucket = np.where(is_s & (t > 0), t, -1).tolist()
+    for at in reversed(out):
+        if at > 0:
+            c = bucket[at - 1]
+            if c >= 0:
+                tail[c] -= 1
+                out[tail[c]] = at - 1
+    # Part ends are told apart by their places.
+    ends = np.flatnonzero(t == 0)
+    return np.concatenate([ends, np.array(out[len(ends) :], np.int64)])
+
+
+#: Suffixes that a bucket must have on average for batches to pay.
+BATCH = 64
+
+
+def induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """All suffixes in order, from LMS suffixes given in order within each first value."""
+    return (_induce_one_by_one if len(t) < BATCH * sigma else _induce_in_batches)(t, is_s, lms, sigma)
+
+
 def _named(t: np.ndarray, ordered: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """A name for each LMS substring in ``ordered``: equal substrings, equal names; part ends are all distinct."""
     n = len(t)
@@ -115,26 +158,6 @@ def _named(t: np.ndarray, ordered: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of suffixes of a string over many names: ranks of twice the length in each round."""
-    n = len(names)
-    rank, k = names.astype(np.int64), 1
-    while True:
-        nxt = np.full(n, -1, np.int64)
-        nxt[: n - k] = rank[k:] if k < n else nxt[:0]
-        order = np.lexsort((nxt, rank))
-        new = np.concatenate([[0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(nxt[order]) != 0))])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        k *= 2
-
-
-#: Above so many values a bucket holds too little for a batch; ranks are doubled instead.
-MOST_BUCKETS = 2048
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Suffixes of ``t`` (integers, 0 at the end of each part) in order."""
     t = np.asarray(t)
@@ -144,14 +167,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if t[-1] != 0:
         raise ValueError("the last value must end a part")
     sigma = int(t.max()) + 1
-    if sigma > MOST_BUCKETS:
-        # Part ends first, each by itself; then all other values.
-        ends = t == 0
-        distinct = np.where(ends, np.cumsum(ends) - 1, t + int(ends.sum()))
-        return _by_doubling(np.unique(distinct, return_inverse=True)[1])
     is_s = classify(t)
-    lms = np.flatnonzero(is_s & ~np.concatenate([[True], is_s[:-1]]))
-    lms = np.union1d(lms, np.flatnonzero(t == 0))
+    lms = np.flatnonzero((is_s & ~np.concatenate([[True], is_s[:-1]])) | (t == 0))
     mark = np.zeros(n, bool)
     mark[lms] = True
     first = induce(t, is_s, lms, sigma)
@@ -161,13 +178,9 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         at = np.empty(n, np.int64)
         at[ordered] = names
         reduced = at[lms]
-        if names[-1] + 2 <= MOST_BUCKETS:
-            # Names of part ends are the least; they stay ends one level up.
-            ends = t[lms] == 0
-            reduced = np.where(ends, 0, reduced - int(ends.sum()) + 1)
-            ordered = lms[suffix_array(reduced)]
-        else:
-            ordered = lms[_by_doubling(reduced)]
+        # Names of part ends are the least; they stay ends one level up.
+        ends = t[lms] == 0
+        ordered = lms[suffix_array(np.where(ends, 0, reduced - int(ends.sum()) + 1))]
     return induce(t, is_s, ordered, sigma)
 
 
