@@ -17,6 +17,7 @@ passages at once.
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -44,8 +45,8 @@ class DecontaminationParams:
     k1: float = 1.2
     b: float = 0.75
     block: int = 64
-    #: Characters of test items in one index; more items make more indexes, searched one after the other.
-    index_chars: int = 32_000_000
+    #: Characters of test items in one index; more items make more indexes, searched one after the other, with the same statistics.
+    index_chars: int = 8_000_000
 
 
 def words(text: str) -> list[str]:
@@ -70,94 +71,158 @@ def grams(tokens: list[str], size: int) -> set[tuple[str, ...]]:
     return {tuple(tokens[k : k + size]) for k in range(max(1, len(tokens) - size + 1))}
 
 
+def cut(text: str, size: int) -> list[Counter]:
+    """The words of an item's segments: as few as hold ``size`` words at most, of one length."""
+    tokens = words(text)
+    parts = max(1, math.ceil(len(tokens) / size))
+    step = math.ceil(len(tokens) / parts)
+    return [Counter(tokens[k * step : (k + 1) * step]) for k in range(parts) if tokens[k * step : (k + 1) * step]]
+
+
+class Statistics:
+    """Number, mean length and document frequencies of the segments of all items, however many indexes these make."""
+
+    def __init__(self, texts, p: DecontaminationParams):
+        self.n = total = 0
+        self.found: Counter = Counter()
+        for text in texts:
+            for c in cut(text, p.segment):
+                self.n += 1
+                total += c.total()
+                self.found.update(c.keys())
+        self.mean = total / max(1, self.n)
+
+    def idf(self, word: str) -> float:
+        d = self.found[word]
+        return math.log(1 + (self.n - d + 0.5) / (d + 0.5))
+
+
+class _Made:
+    """A sequence of what a function gives for each place."""
+
+    def __init__(self, make, n: int):
+        self.make, self.n = make, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int):
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        return self.make(i)
+
+
 class Index:
-    """Segments of test items with their impacts; lists in order of segments, in blocks with their maxima."""
+    """Segments of test items with their impacts: lists in order of segments, one after the other in flat arrays, in blocks with their maxima.
 
-    def __init__(self, items: list[tuple], p: DecontaminationParams):
+    About 10 bytes for each character of the items; shingles are made when an item is verified.
+    """
+
+    def __init__(self, items: list[tuple], p: DecontaminationParams, statistics: Statistics | None = None):
         self.p = p
         self.items = items
-        self.questions, self.answers = [], []
-        segments: list[tuple[int, Counter]] = []
+        known = statistics or Statistics((text for _, text in items), p)
+        names: dict[str, int] = {}
+        self.item_of = array("i")
+        term, segment, impact, essential = array("i"), array("i"), array("d"), array("b")
+        rest = array("d")
         for i, (_, text) in enumerate(items):
-            q, a = question_and_answer(text)
-            if len(words(a)) < p.answer_words:
-                q, a = text, ""
-            self.questions.append(grams(words(q), p.shingle))
-            self.answers.append(grams(words(a), p.shingle))
-            tokens = words(text)
-            parts = max(1, math.ceil(len(tokens) / p.segment))
-            size = math.ceil(len(tokens) / parts)
-            segments += [(i, Counter(tokens[k * size : (k + 1) * size])) for k in range(parts) if tokens[k * size : (k + 1) * size]]
-        self.item_of = [i for i, _ in segments]
-        n = len(segments)
-        found = Counter(w for _, c in segments for w in c)
-        self.term = {w: t for t, w in enumerate(sorted(found))}
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in found.items()}
-        mean = sum(c.total() for _, c in segments) / max(1, n)
-        self.lists: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        essential: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        self.rest = np.zeros(n)
-        for s, (_, c) in enumerate(segments):
-            norm = p.k1 * (1 - p.b + p.b * c.total() / mean)
-            impact = {w: idf[w] * f * (p.k1 + 1) / (f + norm) for w, f in c.items()}
-            own = sum(impact.values())
-            left = p.threshold / 2
-            for w in sorted(c, key=lambda w: (impact[w], w)):
-                x = impact[w] / own
-                self.lists[self.term[w]].append((s, x))
-                if x < left:
-                    left -= x
-                    self.rest[s] += x
-                else:
-                    left = 0
-                    essential[self.term[w]].append((s, x))
-        self.blocks = [[max(x for _, x in one[k : k + p.block]) for k in range(0, len(one), p.block)] for one in self.lists]
-        self.starts = np.cumsum([0] + [len(one) for one in essential])
-        self.segments = np.array([s for one in essential for s, _ in one], np.int64)
-        self.impacts = np.array([x for one in essential for _, x in one])
+            for c in cut(text, p.segment):
+                norm = p.k1 * (1 - p.b + p.b * c.total() / known.mean)
+                gains = {w: known.idf(w) * f * (p.k1 + 1) / (f + norm) for w, f in c.items()}
+                own = sum(gains.values())
+                left, spared = p.threshold / 2, 0.0
+                for w in sorted(c, key=lambda w: (gains[w], w)):
+                    x = gains[w] / own
+                    term.append(names.setdefault(w, len(names)))
+                    segment.append(len(self.item_of))
+                    impact.append(x)
+                    essential.append(x >= left)
+                    if x < left:
+                        left -= x
+                        spared += x
+                    else:
+                        left = 0
+                rest.append(spared)
+                self.item_of.append(i)
+        self.term = names
+        self.rest = np.array(rest)
+        term, segment, impact = np.array(term), np.array(segment), np.array(impact)
+        order = np.lexsort((segment, term))
+        needed = order[np.array(essential, bool)[order]]
+        bounds = np.arange(len(names) + 1)
+        self.starts, self.segments, self.impacts = np.searchsorted(term[needed], bounds), segment[needed], impact[needed]
+        begins = np.searchsorted(term[order], bounds)
+        self.begins, self.at, self.gain = array("q", begins.tolist()), array("i", segment[order].tolist()), array("d", impact[order].tolist())
+        # A list's blocks begin anew with it, so their places follow from its own.
+        blocks = -(-np.diff(begins) // p.block)
+        self.first_block = array("q", np.concatenate([[0], np.cumsum(blocks)]).tolist())
+        cuts = np.concatenate([np.arange(a, b, p.block) for a, b in zip(begins[:-1], begins[1:], strict=True)] or [np.zeros(0, np.int64)])
+        self.block_max = array("d", np.maximum.reduceat(impact[order], cuts).tolist() if len(cuts) else [])
+        self.list_max = array("d", np.maximum.reduceat(impact[order], begins[:-1]).tolist() if len(names) else [])
+
+    @property
+    def lists(self) -> _Made:
+        """(segment, impact) of each term."""
+        return _Made(lambda t: [(self.at[k], self.gain[k]) for k in range(self.begins[t], self.begins[t + 1])], len(self.term))
+
+    def parts(self, i: int) -> tuple[set, set]:
+        """Shingles of an item's question and answer."""
+        text = self.items[i][1]
+        q, a = question_and_answer(text)
+        if len(words(a)) < self.p.answer_words:
+            q, a = text, ""
+        return grams(words(q), self.p.shingle), grams(words(a), self.p.shingle)
+
+    @property
+    def questions(self) -> _Made:
+        return _Made(lambda i: self.parts(i)[0], len(self.items))
+
+    @property
+    def answers(self) -> _Made:
+        return _Made(lambda i: self.parts(i)[1], len(self.items))
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """All segments of at least the threshold and their scores, by block-max WAND over the terms' lists."""
         need = self.p.threshold - 1e-9
-        size = self.p.block
-        cursors = [[self.lists[t], self.blocks[t], max(self.blocks[t]), 0] for t in terms if self.lists[t]]
+        size, at, gain, maxima = self.p.block, self.at, self.gain, self.block_max
+        # A cursor: its segment, its place, its list's begin and end, the list's maximum and first block.
+        cursors = [[at[a], a, a, b, self.list_max[t], self.first_block[t]] for t in terms for a, b in ((self.begins[t], self.begins[t + 1]),) if b > a]
         found = []
         while cursors:
-            cursors.sort(key=lambda c: c[0][c[3]][0])
+            cursors.sort()
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += c[2]
+                bound += c[4]
                 if bound >= need:
                     pivot = k
                     break
             if pivot < 0:
                 break
-            target = cursors[pivot][0][cursors[pivot][3]][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0][cursors[pivot + 1][3]][0] == target:
+            target = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == target:
                 pivot += 1
             # The blocks that would hold the target bound its score more closely than whole lists do.
-            near, after = 0.0, cursors[pivot + 1][0][cursors[pivot + 1][3]][0] if pivot + 1 < len(cursors) else math.inf
-            for one, blocks, _, at in cursors[: pivot + 1]:
-                k = at // size
-                while k < len(blocks) - 1 and one[(k + 1) * size - 1][0] < target:
+            near, after = 0.0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else math.inf
+            for _, place, begin, end, _, block in cursors[: pivot + 1]:
+                k = (place - begin) // size
+                while (last := min(end, begin + (k + 1) * size) - 1) < end - 1 and at[last] < target:
                     k += 1
-                near += blocks[k]
-                after = min(after, one[min(len(one), (k + 1) * size) - 1][0] + 1)
+                near += maxima[block + k]
+                after = min(after, at[last] + 1)
+            to = target + 1
             if near < need:
-                to = max(target + 1, after) if after != math.inf else target + 1
-                move = cursors[: pivot + 1]
+                to = max(to, after) if after != math.inf else to
+            elif cursors[0][0] == target:
+                score = sum(gain[c[1]] for c in cursors[: pivot + 1])
+                if score >= need:
+                    found.append((target, score))
             else:
-                if cursors[0][0][cursors[0][3]][0] == target:
-                    score = sum(c[0][c[3]][1] for c in cursors[: pivot + 1])
-                    if score >= need:
-                        found.append((target, score))
-                    to = target + 1
-                else:
-                    to = target
-                move = cursors[: pivot + 1]
-            for c in move:
-                c[3] = bisect_left(c[0], (to, -1.0), c[3])
-            cursors = [c for c in cursors if c[3] < len(c[0])]
+                to = target
+            for c in cursors[: pivot + 1]:
+                c[1] = bisect_left(at, to, c[1], c[3])
+                c[0] = at[c[1]] if c[1] < c[3] else -1
+            cursors = [c for c in cursors if c[0] >= 0]
         return found
 
     def passages(self, ids: np.ndarray, starts: np.ndarray, doc_of: np.ndarray) -> list[tuple[int, int]]:
@@ -183,20 +248,24 @@ class Index:
 
 
 class _Terms(dict):
-    """Term ids of words as they stand in texts, kept up to a bound."""
+    """Term ids of words as they stand in texts; kept up to a bound of characters (each word counts 60 more), long ones not at all."""
 
-    LIMIT = 500_000
+    LIMIT, LONGEST = 40_000_000, 64
 
     def __init__(self, index: Index):
         super().__init__()
-        self.term = index.term
+        self.term, self.held = index.term, 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
         w = word.strip(PUNCTUATION)
         # Words of punctuation alone are no words: they take no place in a passage.
-        self[word] = value = self.term.get(w, -1) if w else -2
+        value = self.term.get(w, -1) if w else -2
+        if len(word) <= self.LONGEST:
+            if self.held > self.LIMIT:
+                self.clear()
+                self.held = 0
+            self[word] = value
+            self.held += len(word) + 60
         return value
 
 
@@ -218,13 +287,14 @@ def matches(index: Index, terms: _Terms, texts: list[str | None]) -> list[list[t
     for doc, best in hits.items():
         own = words(texts[doc])
         have = grams(own, index.p.shingle)
-        shorter = {n: grams(own, n) for i in best for g in (index.questions[i], index.answers[i]) for n in {len(x) for x in g} if n != index.p.shingle}
+        parts = {i: index.parts(i) for i in best}
+        shorter = {n: grams(own, n) for both in parts.values() for g in both for n in {len(x) for x in g} if n != index.p.shingle}
 
         def found(wanted, have=have, shorter=shorter):
             return sum(g in (have if len(g) == index.p.shingle else shorter[len(g)]) for g in wanted)
 
         for i, score in sorted(best.items()):
-            q, a = index.questions[i], index.answers[i]
+            q, a = parts[i]
             x, y = found(q), found(a)
             out[doc].append((i, round(score, 6), x / len(q), y / len(a) if a else 1.0, (x + y) / (len(q) + len(a))))
     return out
@@ -235,13 +305,21 @@ def verified(match: tuple, p: DecontaminationParams) -> bool:
 
 
 def indexes(items: DataFrame, p: DecontaminationParams, id_col: str, text_col: str):
-    """Indexes of all items that have a word, each over a bounded number of characters."""
+    """Indexes of all items that have a word, each over a bounded number of characters; a pass over all items gives their common statistics."""
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike(r"\S")).distinct()
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     blocks = max(1, math.ceil(total / p.index_chars))
+
+    def block(k):
+        found = [(r["id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()]
+        return sorted((x for x in found if words(x[1])), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+    if blocks == 1:
+        yield Index(block(0), p)
+        return
+    known = Statistics((r["text"] for k in range(blocks) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).select("text").collect()), p)
     for k in range(blocks):
-        block = [(r["id"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()]
-        yield Index(sorted((x for x in block if words(x[1])), key=lambda x: (x[0] is None, x[0] or 0, x[1])), p)
+        yield Index(block(k), p, known)
 
 
 #: A worker's term ids for the index it used last.
