@@ -10,6 +10,7 @@ about ``2 + l`` bits.  Every 64th one of the unary part is sampled, and
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -83,11 +84,24 @@ class EliasFano:
         ones = np.flatnonzero(np.unpackbits(self.high[byte : (end >> 3) + 1], bitorder="little")[at & 7 :])
         return (at + int(ones[rank]) - i) << self.low_bits | self._low(i)
 
+    def block(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, from the samples around them; nothing else is decoded."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.zeros(0, np.int64)
+        first, last = i // SAMPLE, (j - 1) // SAMPLE + 1
+        at = int(self.samples[first])
+        end = int(self.samples[last]) if last < len(self.samples) else len(self.high) * 8
+        bits = np.unpackbits(self.high[at >> 3 : (end + 7) >> 3], bitorder="little")[at & 7 :]
+        ones = np.flatnonzero(bits)[i - first * SAMPLE : j - first * SAMPLE] + at
+        high = (ones - np.arange(i, j)) << self.low_bits
+        at, end = i * self.low_bits, j * self.low_bits
+        low = np.unpackbits(self.low[at >> 3 : (end + 7) >> 3], bitorder="little")[at & 7 : (at & 7) + end - at]
+        return high | (low.reshape(j - i, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1, dtype=np.int64)
+
     def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
-        high = (ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low_bits)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
-        return high | (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return self.block(0, self.n).astype(np.uint64)
 
 
 #: Letters below this are letters in every version of Unicode's tables.
@@ -102,11 +116,13 @@ class CachedEncoder:
 
     The pre-tokenizer cuts before a space that is the first or the last character
     of a run of white space, so a text is the join of its stretches' ids unless
-    a space stands inside a run; such a text goes to the library whole.
+    a space stands inside a run; such a text goes to the library whole, and so
+    does every text if the file describes another kind of tokenizer.
     """
 
     INNER_SPACE = re.compile(r"\s \s")
-    LIMIT = 700_000
+    #: Characters of the stretches whose ids are kept (each counts 30 more), and the longest that is kept.
+    LIMIT, LONGEST = 30_000_000, 64
     MARKS = ",.;:!?"
 
     def __init__(self, path: str, special_as_text: bool = False):
@@ -119,6 +135,16 @@ class CachedEncoder:
         self.dtype = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
+        self.held = 0
+        made = json.loads(self.library.to_str())
+        cut, model = made["pre_tokenizer"] or {}, made["model"]
+        #: Stretches can be encoded apart: byte letters, the usual pattern, no text added or changed, merges alone.
+        self.parts = (
+            (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True) and made["normalizer"] is None and model["type"] == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+            and all(chr(x) in model["vocab"] for x in BYTE_LETTERS.values()) and all(" " not in t["content"] and not t["lstrip"] and not t["rstrip"] for t in made["added_tokens"])
+            and not any(t["normalized"] or t["single_word"] for t in made["added_tokens"])
+        )
         self.marks = dict(zip(self.MARKS + "\n", self._whole([*self.MARKS, "\n"]), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -157,15 +183,21 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as bytes, in order."""
-        cut = [None if self.INNER_SPACE.search(t) else t.split(" ") for t in texts]
+        cut = [t.split(" ") if self.parts and not self.INNER_SPACE.search(t) else None for t in texts]
         first = [c[0] for c in cut if c]
-        missing = {w for c in cut if c for w in c[1:]}.difference(self.known)
-        if len(self.known) + len(self.heads) + len(missing) > self.LIMIT:
-            self.known, self.heads = {}, {}
-            missing = {w for c in cut if c for w in c[1:]}
+        words = {w for c in cut if c for w in c[1:]}
+        # Long stretches are asked for each time they come: what is kept has a bound in bytes.
+        long = {w for w in words if len(w) > self.LONGEST}
+        long = dict(zip(long, self._whole([" " + w for w in long]), strict=True))
+        missing = words.difference(self.known, long)
+        if self.held + sum(map(len, missing)) + 30 * len(missing) > self.LIMIT:
+            self.known, self.heads, self.held = {}, {}, 0
+            missing = words.difference(long)
+        before = len(self.heads)
         self._learn(missing)
+        self.held += sum(map(len, missing)) + 30 * (len(missing) + len(self.heads) - before)
         firsts = iter(self._whole(first))
-        known = self.known
+        known = self.known if not long else {**{w: self.known[w] for w in words.difference(long)}, **long}
         for t, c in zip(texts, cut, strict=True):
             yield self._whole([t])[0] if c is None else next(firsts) + b"".join([known[w] for w in c[1:]])
 
@@ -193,6 +225,8 @@ def pieces(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+#: Documents whose boundaries are decoded at once.
+DOCUMENTS = 4096
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 RESULT = "start long, n_tokens long, ids_crc32 long, id_first long, id_last long"
 
@@ -238,8 +272,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     return sorted(ordered.mapInArrow(write, MANIFEST).collect())
 
 
-def read_index(path: str) -> tuple[int, EliasFano, np.ndarray, int]:
-    """Bytes of an id, ends, document ids that aren't null, and how many null ones come first."""
+def read_index(path: str) -> tuple[int, EliasFano, EliasFano, int, int]:
+    """Bytes of an id, ends, document ids that aren't null, what is to be added to these, and how many null ones come first."""
     with store.reading(f"{path}.idx") as f:
         data = f.read()
     if data[: len(MAGIC)] != MAGIC:
@@ -247,12 +281,12 @@ def read_index(path: str) -> tuple[int, EliasFano, np.ndarray, int]:
     width, nulls, base = struct.unpack_from("<BQq", data, len(MAGIC))
     ends, at = EliasFano.from_bytes(data, len(MAGIC) + struct.calcsize("<BQq"))
     names, _ = EliasFano.from_bytes(data, at)
-    return width, ends, names.values().astype(np.int64) + base, nulls
+    return width, ends, names, base, nulls
 
 
 def read_document(path: str, i: int) -> np.ndarray:
     """The ids of the i-th document of a shard, by two selects and one seek."""
-    width, ends, _, _ = read_index(path)
+    width, ends, *_ = read_index(path)
     start = ends.select(i - 1) if i else 0
     with store.reading(f"{path}.ids") as f:
         f.seek(start * width)
@@ -265,24 +299,27 @@ def read_shards(spark, manifest: list, *, id_col: str = "doc_id", step: int = 4_
     def read(batches):
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist(), strict=True):
-                width, ends, names, nulls = read_index(path)
-                stops = ends.values().astype(np.int64)
-                starts = np.concatenate([[0], stops[:-1]])
-                sums, firsts, lasts = [], [], []
+                width, ends, names, base, nulls = read_index(path)
                 with store.reading(f"{path}.ids") as f:
-                    i = 0
-                    while i < len(stops):
-                        j = max(i + 1, int(np.searchsorted(stops, starts[i] + step)))
-                        block = np.frombuffer(f.read(int(stops[j - 1] - starts[i]) * width), f"<u{width}").astype("<u4")
-                        for a, b in zip(starts[i:j] - starts[i], stops[i:j] - starts[i], strict=True):
-                            sums.append(zlib.crc32(block[a:b]))
-                            firsts.append(int(block[a]))
-                            lasts.append(int(block[b - 1]))
-                        i = j
-                yield pa.RecordBatch.from_pydict({
-                    id_col: pa.array([None] * nulls + names.tolist(), pa.int64()), "start": pa.array(starts + first), "n_tokens": pa.array(stops - starts),
-                    "ids_crc32": pa.array(sums, pa.int64()), "id_first": pa.array(firsts, pa.int64()), "id_last": pa.array(lasts, pa.int64()),
-                })
+                    for i in range(0, ends.n, DOCUMENTS):
+                        j = min(ends.n, i + DOCUMENTS)
+                        stops = ends.block(i, j)
+                        starts = np.concatenate([[ends.select(i - 1) if i else 0], stops[:-1]])
+                        sums, firsts, lasts = [], [], []
+                        k = 0
+                        while k < len(stops):
+                            end = max(k + 1, int(np.searchsorted(stops, starts[k] + step)))
+                            block = np.frombuffer(f.read(int(stops[end - 1] - starts[k]) * width), f"<u{width}").astype("<u4")
+                            for a, b in zip(starts[k:end] - starts[k], stops[k:end] - starts[k], strict=True):
+                                sums.append(zlib.crc32(block[a:b]))
+                                firsts.append(int(block[a]))
+                                lasts.append(int(block[b - 1]))
+                            k = end
+                        named = (names.block(max(i - nulls, 0), max(j - nulls, 0)) + base).tolist()
+                        yield pa.RecordBatch.from_pydict({
+                            id_col: pa.array([None] * (j - i - len(named)) + named, pa.int64()), "start": pa.array(starts + first), "n_tokens": pa.array(stops - starts),
+                            "ids_crc32": pa.array(sums, pa.int64()), "id_first": pa.array(firsts, pa.int64()), "id_last": pa.array(lasts, pa.int64()),
+                        })
 
     rows, first = [], 0
     for shard in manifest:
