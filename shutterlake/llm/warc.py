@@ -8,8 +8,11 @@ a sidecar index.
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import hashlib
+import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -37,17 +40,31 @@ def page_of(record_id: str):
     return None if name == "null" else int(name)
 
 
+ESCAPED = {"%": "%25", "\r": "%0D", "\n": "%0A"}
+
+
 def one_line(s: str) -> str:
-    """Header values hold no line breaks: these and percent signs are escaped."""
-    return s.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    """Header values hold no line breaks and no white space at their ends: these and percent signs are escaped."""
+    out = "".join(ESCAPED.get(c, c) for c in s) if any(c in s for c in ESCAPED) else s
+    left = len(out) - len(out.lstrip(" \t"))
+    right = len(out.rstrip(" \t"))
+    blank = {" ": "%20", "\t": "%09"}
+    return "".join(blank[c] for c in out[:left]) + out[left:right] + "".join(blank[c] for c in out[max(left, right) :])
+
 
+def original(s: str) -> str:
+    return re.sub("%(25|0D|0A|20|09)", lambda m: chr(int(m[1], 16)), s)
 
-def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
-    head = [("WARC-Type", kind), ("WARC-Record-ID", urn(page_id)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Bytes", str(len(payload)))]
+
+def record(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to=None, *, record_id: str | None = None, date: str = "1970-01-01T00:00:00Z", refers_to_url: str | None = None) -> bytes:
+    """A whole record; its id is made from the page's unless given. Revisits name the page that they repeat and its url."""
+    head = [("WARC-Type", kind), ("WARC-Record-ID", record_id or urn(page_id)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Bytes", str(len(payload))), ("X-Page", urn(page_id))]
     if url is not None:
         head.append(("WARC-Target-URI", one_line(url)))
     if kind == "revisit":
-        head += [("WARC-Refers-To", urn(refers_to)), ("WARC-Profile", REVISIT_PROFILE)]
+        head += [("X-Refers-To-Page", urn(refers_to)), ("WARC-Refers-To-Date", date), ("WARC-Profile", REVISIT_PROFILE)]
+        if refers_to_url is not None:
+            head.append(("WARC-Refers-To-Target-URI", one_line(refers_to_url)))
         payload = b""
     head.append(("Content-Length", str(len(payload))))
     return VERSION + b"\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + b"\r\n" + payload + b"\r\n\r\n"
@@ -57,7 +74,7 @@ def header(lines: bytes) -> dict[str, str]:
     first, *rest = lines.split(b"\r\n")
     if not first.startswith(b"WARC/"):
         raise ValueError(f"no WARC record: {first[:40]!r}")
-    return {k.lower(): v.strip() for k, _, v in (x.decode().partition(":") for x in rest if x)}
+    return {k.lower(): v.strip(" \t") for k, _, v in (x.decode().partition(":") for x in rest if x)}
 
 
 class _Inflated:
@@ -65,15 +82,23 @@ class _Inflated:
 
     def __init__(self, source):
         self.source, self.stream, self.rest, self.buffer = source, zlib.decompressobj(31), b"", bytearray()
+        self.begun = False
 
     def _more(self) -> bool:
         data = self.rest or self.source.read(CHUNK)
         if not data:
+            if self.begun and not self.stream.eof:
+                raise ValueError("the archive is cut: a gzip stream does not end")
             return False
         if self.stream.eof:
             self.stream = zlib.decompressobj(31)
+        self.begun = True
         self.buffer += self.stream.decompress(data, CHUNK * 4)
         self.rest = self.stream.unused_data if self.stream.eof else self.stream.unconsumed_tail
+        if not self.rest and not self.stream.eof:
+            # What the bound on output has held back.
+            while more := self.stream.decompress(b"", CHUNK * 4):
+                self.buffer += more
         return True
 
     def until(self, mark: bytes) -> bytes | None:
@@ -131,7 +156,7 @@ def read_member(source, offset: int, length: int) -> tuple[dict[str, str], bytes
 
 
 def label(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """``id, url, payload, digest, refers_to``: the last is null for responses.
+    """``id, url, payload, digest, refers_to, refers_to_url``: the last two are null for responses.
 
     Least ids by digest are counted map-side first, and only digests that repeat
     are joined back, by a join that adaptive execution splits at hot digests.
@@ -139,15 +164,20 @@ def label(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256))
     first = (
-        rows.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first_id")
+        rows.where(F.octet_length("html") >= min_revisit).groupBy("digest").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url"))).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     )
+    again = F.col("id") != F.col("first.id")
     return rows.join(first, "digest", "left").select(
-        "id", "url", F.encode("html", "utf-8").alias("payload"), "digest", F.when(F.col("id") != F.col("first_id"), F.col("first_id")).alias("refers_to")
+        "id", "url", F.encode("html", "utf-8").alias("payload"), "digest", F.when(again, F.col("first.id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_to_url")
     )
 
 
 def write_archives(labelled: DataFrame, folder: str, *, level: int = 6) -> list:
-    """Each partition's records as one gzip stream, normalised at once; a manifest row an archive."""
+    """Each partition's records as one gzip stream, normalised at once; a manifest row an archive.
+
+    Record ids are made from the run, the partition and the record's number: unique, and the same if a task is tried again.
+    """
+    run, date = uuid.uuid4(), datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches):
         part = TaskContext.get().partitionId()
@@ -155,8 +185,10 @@ def write_archives(labelled: DataFrame, folder: str, *, level: int = 6) -> list:
         with store.writing(raw) as out:
             stream = zlib.compressobj(1, wbits=31)
             for batch in batches:
-                for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    out.write(stream.compress(record("response" if refers_to is None else "revisit", page_id, url, payload, digest, refers_to)))
+                for page_id, url, payload, digest, refers_to, refers_to_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    name = f"<urn:uuid:{uuid.uuid5(run, f'{part}/{n}')}>"
+                    kind = "response" if refers_to is None else "revisit"
+                    out.write(stream.compress(record(kind, page_id, url, payload, digest, refers_to, record_id=name, date=date, refers_to_url=refers_to_url)))
                     n += 1
             out.write(stream.flush())
         if n:
@@ -189,9 +221,9 @@ def read_archives(spark, paths: list[str]) -> DataFrame:
                         n = int(head["x-payload-bytes"])
                         if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or n != len(payload)):
                             raise ValueError(f"{path}: record {name} is damaged")
-                        refers_to = page_of(head["warc-refers-to"]) if kind == "revisit" else None
+                        refers_to = page_of(head["x-refers-to-page"]) if kind == "revisit" else None
                         url = head.get("warc-target-uri")
-                        rows.append((page_of(name), url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), kind, n, digest, refers_to, len(payload)))
+                        rows.append((page_of(head["x-page"]), url and original(url), kind, n, digest, refers_to, len(payload)))
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
