@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shutterlake.llm import decontaminate, license_scan, minhash_dedup, pii, suffix_dedup, warc
+from shutterlake.llm import decontaminate, license_scan, minhash_dedup, pii, sentencepiece_codec, store, suffix_dedup, token_output, warc
 from shutterlake.llm.queries import vocabulary
 from shutterlake.llm.sentencepiece_codec import MergeCodec
 from shutterlake.llm.suffix_sort import permuted_prefixes, suffix_array
@@ -45,6 +45,24 @@ def test_sentencepiece_is_the_library(pieces):
             assert pieces.encode(" " * bars + rest) == pieces.library.encode(" " * bars + rest)
 
 
+def test_texts_without_spaces(pieces):
+    r = random.Random(4)
+    for made in ("".join(r.choice("abcdefghij\n☃e") for _ in range(300_000)), "the" * 300_000, "a" * 50_000, "".join(r.choice("的一是不了人我在有他") for _ in range(100_000))):
+        assert pieces.encode(made) == pieces.library.encode(made)
+    assert all(len(k) <= pieces.LONGEST for k in pieces.known)
+
+
+def test_digests_of_a_table(spark, docs, odd_rows):
+    path = vocabulary("piece_bpe_32k.model")
+    library = MergeCodec(path).library
+    want = []
+    for i, t, *_ in odd_rows:
+        ids = [*library.encode(t or ""), 2]
+        want.append((i or 0, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()))
+    got = [(r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in sentencepiece_codec.digests(docs(odd_rows), path).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_tokens_are_the_library(encoder):
     @settings(max_examples=300, deadline=None)
     @given(st.lists(TEXTS, max_size=5))
@@ -306,6 +324,47 @@ def test_leaks_against_brute_force():
         assert full <= {m[0] for m in ms if decontaminate.verified(m, p)}
 
 
+def test_found_passages_are_those_of_all_scores():
+    """Every (document, item, score) of the search, and nothing else, against scoring every passage with every segment."""
+    r = random.Random(12)
+    vocabulary_ = [f"w{k}" for k in range(120)]
+    p = decontaminate.DecontaminationParams(block=4)
+    listed = [(i, " ".join(r.choice(vocabulary_) for _ in range(r.randrange(3, 110)))) for i in range(50)]
+    index = decontaminate.Index(listed, p)
+    texts = ["", None, "..."]
+    for k in range(40):
+        made = [r.choice(vocabulary_) for _ in range(r.randrange(200))]
+        if k % 2:
+            item = listed[r.randrange(50)][1].split()
+            made[len(made) // 2 : len(made) // 2] = [w if r.random() < 0.8 else "zz" for w in item]
+        texts.append(" ".join(made))
+    got = decontaminate.matches(index, decontaminate._Terms(index), texts)
+    impacts = [{} for _ in index.item_of]
+    for word, t in index.term.items():
+        for s, x in index.lists[t]:
+            impacts[s][word] = x
+    for text, found in zip(texts, got, strict=True):
+        own = decontaminate.words(text or "")
+        best = {}
+        for k in range(0, len(own), p.segment):
+            passage = set(own[k : k + 2 * p.segment])
+            for s, words in enumerate(impacts):
+                score = sum(x for w, x in words.items() if w in passage)
+                if score >= p.threshold - 1e-9:
+                    best[index.item_of[s]] = max(score, best.get(index.item_of[s], 0))
+        assert [(m[0], m[1]) for m in found] == [(i, pytest.approx(x, abs=2e-6)) for i, x in sorted(best.items())]
+
+
+def test_many_indexes_score_as_one(spark, docs):
+    r = random.Random(6)
+    vocabulary_ = [f"w{k}" for k in range(200)]
+    listed = [(i, " ".join(r.choice(vocabulary_) for _ in range(r.randrange(5, 80)))) for i in range(60)]
+    items = spark.createDataFrame(listed, "item_id long, text string")
+    frame = docs([(i, " ".join(r.choice(vocabulary_) for _ in range(60)) + " " + listed[i % 60][1]) for i in range(80)])
+    one, many = (sorted(map(tuple, decontaminate.find_leaks(frame, items, decontaminate.DecontaminationParams(index_chars=n)).collect())) for n in (10**6, 2000))
+    assert one == many and len(one) >= 80
+
+
 def test_normaliser_round_trip():
     made = [warc.record("response", k, f"http://x/{k}\n", (b"payload %d " % k) * 50, hashlib.sha256(b"").hexdigest()) for k in range(20)]
     whole = gzip.compress(b"".join(made))
@@ -323,6 +382,101 @@ def test_normaliser_round_trip():
         warc.normalise(io.BytesIO(gzip.compress(b"".join(made)[:-30])), io.BytesIO(), io.BytesIO())
 
 
+def test_cut_archives_are_refused():
+    made = [warc.record("response", k, "http://x/", bytes([k]) * 300, hashlib.sha256(b"").hexdigest()) for k in range(25)]
+    whole = gzip.compress(b"".join(made))
+    for end in (len(whole) - 1, len(whole) - 8, len(whole) - 9, len(whole) // 2, 5):
+        with pytest.raises(ValueError):
+            warc.normalise(io.BytesIO(whole[:end]), io.BytesIO(), io.BytesIO())
+    # Cut at a border of records: all records are there, and the stream's end is not.
+    stream = zlib.compressobj(wbits=31)
+    cut = stream.compress(b"".join(made)) + stream.flush(zlib.Z_FULL_FLUSH)
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(cut)))
+    big = [warc.record("response", 1, "u", b"a" * 30_000_000, "")] * 2
+    assert warc.normalise(io.BytesIO(gzip.compress(b"".join(big), 9)), io.BytesIO(), io.BytesIO())[0] == 2
+
+
+@pytest.mark.parametrize("url", [" http://x/ ", "\t\n %20%0A\r", "", " ", "a%b", "é ☃"])
+def test_urls_come_back(url):
+    head = warc.header(warc.record("revisit", None, url, b"", "d", 3, refers_to_url=url).split(b"\r\n\r\n")[0])
+    assert warc.original(head["warc-target-uri"]) == url == warc.original(head["warc-refers-to-target-uri"])
+    assert warc.page_of(head["x-page"]) is None and warc.page_of(head["x-refers-to-page"]) == 3 and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["warc-date"])
+
+
+def test_archives_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k if k % 11 else None, f" http://h{k % 5}/{k}", ("<p>page %d</p>" % (k % 3)) * (k % 4 * 5)) for k in range(200)] + [(3, "again", "<p>page 0</p>" * 15)]
+    out = warc.archive_table(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted((r["page_id"] or -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or -1, r["url"]) for r in out.collect())
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = db.sql("""
+        WITH p AS (SELECT *, octet_length(encode(html)) AS n, sha256(html) AS d FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+        SELECT coalesce(page_id, -1), n, d, CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END,
+               coalesce(CASE WHEN n >= 100 AND page_id > first THEN first END, -1), url FROM f""").fetchall()
+    assert got == sorted(want) and sum(r[3] == "revisit" for r in got) > 50
+
+
+def test_context_decides_for_numbers_of_common_shapes():
+    kinds = lambda t: [(pii.KINDS[k], score) for _, k, _, score in pii.find_spans(t)]
+    for number, kind, word in (("123-45-6789", "ssn", "SSN"), ("021000021", "routing", "routing number"), ("(555) 123-4567", "phone_national", "Tel."), ("030 1234 5678", "phone_national", "call me at")):
+        assert kinds(f"{number} is a number") == []
+        assert kinds(f"{word} {number}") == kinds(f"{number} ({word})") == [(kind, 0.6)]
+        assert kinds(f"{word}{' and so on' * 5} {number}") == []
+    assert kinds("routing 021000022") == [] and kinds("tel 021000021x 12-34") == []
+    # A base kind keeps its span whatever stands beside it; context only raises the score.
+    assert kinds("10.20.30.40") == [("ip", 0.6)] and kinds("server 10.20.30.40") == [("ip", 0.9)]
+
+
+def test_digests_of_personal_data(spark, docs, odd_rows):
+    rows = [*odd_rows, (20, "Mail a.b@c.de, host 1.2.3.4, card 4111 1111 1111 1111, +1 (234) 555-6789, SSN 123-45-6789"), (21, "x" * 200_000 + " 1.2.3.4 and 1.2.3.400")]
+    want = []
+    for i, t, *_ in rows:
+        base = pii.base_spans(t or "")
+        listed = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        every = listed([(a, k, b) for a, k, b, _ in pii.find_spans(t or "")])
+        want.append((i or 0, *[sum(k == r for _, k, _ in base) for r in range(4)], hashlib.sha256(listed(base).encode()).hexdigest(), every))
+    got = [(r["doc_id"] or 0, r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"], r["spans"]) for r in pii.pii_digest(docs(rows)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_token_table_against_the_library(spark, docs, odd_rows, encoder, parts, monkeypatch):
+    monkeypatch.setattr(token_output, "DOCUMENTS", 3)
+    rows = [*odd_rows, *((100 + k, "word " * k + "x" * (k * 40)) for k in range(9))]
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    want, start = [], 0
+    for i, t, *_ in ordered:
+        ids = [*encoder.library.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    folder = store.new_folder(spark, "tokens")
+    manifest = token_output.write_shards(docs(rows, parts), vocabulary("byte_bpe_50k.json"), 2, folder)
+    got = token_output.read_shards(spark, manifest).collect()
+    assert sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got), key=lambda r: r[1]) == want
+    place = 0
+    for shard in manifest:
+        for k in range(shard["n_docs"]):
+            ids = token_output.read_document(shard["path"], k)
+            assert zlib.crc32(ids.astype("<u4").tobytes()) == want[place][3]
+            place += 1
+    assert place == len(want)
+
+
+def test_long_stretches_and_other_tokenizers(encoder):
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdef") for _ in range(50_000)) + " tail", "的一是" * 3000 + " 不了", "a " + "x" * 65]
+    assert [np.frombuffer(b, encoder.dtype).tolist() for b in encoder.encode(texts)] == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, encoder.known)) <= encoder.LONGEST
+    other = CachedEncoder(vocabulary("word_bpe_49k.json"))
+    assert not other.parts or encoder.parts
+    texts = ["Hello there, world.  Twice", " x\ny", "12345 67"]
+    assert [np.frombuffer(b, other.dtype).tolist() for b in other.encode(texts)] == [other.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_license_wording():
     scanner = license_scan.scanner(license_scan.LicenseParams())
     found = lambda t: [f[2] for f in scanner.scan(t)]
