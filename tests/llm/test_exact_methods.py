@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shutterlake.llm import decontaminate, license_scan, minhash_dedup, pii, sentencepiece_codec, store, suffix_dedup, token_output, warc
+from shutterlake.llm import decontaminate, license_scan, minhash_dedup, pii, quality_rules, sentencepiece_codec, store, suffix_dedup, token_output, warc
 from shutterlake.llm.queries import vocabulary
 from shutterlake.llm.sentencepiece_codec import MergeCodec
 from shutterlake.llm.suffix_sort import permuted_prefixes, suffix_array
@@ -522,3 +522,92 @@ def test_license_notices_across_lines():
     assert found("This is free and unencumbered software released into the public\ndomain.") == ["Unlicense"]
     mit = license_scan.TEMPLATES[2][1]
     assert found("a word\n" * 400 + mit + "\nmore words" * 400 + "\n" + mit) == ["MIT", "MIT"]
+
+
+def test_licenses_against_every_template_at_every_place():
+    """Found notices against a plain search: the longest common subsequence of each template with the words from each place on."""
+    scanner = license_scan.scanner(license_scan.LicenseParams())
+    r = random.Random(1)
+    prose = "the river was wide and nobody knew how deep it might be at the other side of town".split()
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for k, y in enumerate(b, 1):
+                last, row[k] = row[k], last + 1 if x == y else max(row[k], row[k - 1])
+        return row[-1]
+
+    for name, text, wanted in scanner.templates:
+        room, must = int(scanner.p.max_missing * len(wanted)), license_scan.telling(wanted)
+        for turn in range(6):
+            words = text.split()
+            free = [i for i, w in enumerate(words) if len(license_scan.wording(w)) == 1 and license_scan.wording(w)[0] not in must]
+            # Two more than may be lost: nothing may be found then, unless another template fits.
+            lost = min(len(free), r.randrange(room + 1) if turn < 4 else room + 2)
+            for i in sorted(r.sample(free, lost), reverse=True):
+                words[i : i + 1] = [] if r.random() < 0.5 else [r.choice(prose)]
+            before, after = ([r.choice(prose) for _ in range(r.randrange(40))] for _ in range(2))
+            made = " ".join(before + words + after)
+            found = {f[2] for f in scanner.scan(made)}
+            # Without any of the trigger words a notice isn't looked for.
+            assert turn >= 4 or name in found or not license_scan.TRIGGER.search(" ".join(words)), (name, turn)
+            whole = license_scan.wording(made)
+            may = set()
+            for other, _, theirs in scanner.templates:
+                width = len(theirs) + max(2, len(theirs) // 10)
+                needed = len(theirs) - int(scanner.p.max_missing * len(theirs))
+                if len(theirs) >= 60 or any(common(theirs, whole[k : k + width]) >= needed for k in range(len(whole)) if whole[k] in theirs):
+                    may.add(other)
+            assert found <= may, (name, found - may)
+
+
+TABLES = {
+    "quality": lambda d, items: quality_rules.keep_good(d),
+    "near_duplicates": lambda d, items: minhash_dedup.keep_one(d),
+    "decontamination": lambda d, items: decontaminate.remove_leaks(d, items),
+    "personal_data": lambda d, items: pii.redacted(d),
+}
+LONG_ODD = ("nobody had come here for a long time and wrote to a.b@c.de or +1 (234) 555-6789 " * 3000) + " license warranty 4111 1111 1111 1111"
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_table_forms_on_odd_rows(spark, docs, odd_rows, name):
+    items = spark.createDataFrame([(1, "nobody had come to the house for a long time"), (2, None)], "item_id long, text string")
+    rows = [*odd_rows, (20, LONG_ODD), (20, LONG_ODD)]
+    LONG, PROSE = odd_rows[3][1], odd_rows[4][1]
+    frame = docs(rows)
+    out = TABLES[name](frame, items)
+    assert out.columns == frame.columns
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in out.collect()), key=repr)
+    want = {
+        # Too few words or too many repeated ones go.
+        "quality": [(0, PROSE), (5, PROSE), (5, PROSE), (6, PROSE)],
+        # Both rows of the least id of a class stay; null ids are classes of their own.
+        "near_duplicates": [(0, PROSE), (0, None), (1, None), (4, LONG), (5, PROSE), (5, PROSE), (8, "a\n\n  b   c \n d"), (9, "short"), (20, LONG_ODD), (20, LONG_ODD)],
+        "decontamination": [(i or 0, t) for i, t, *_ in rows if t != PROSE and t != LONG_ODD],
+        "personal_data": [(i or 0, None if t is None else pii.redact(t, pii.find_spans(t))) for i, t, *_ in rows],
+    }[name]
+    if name == "decontamination":
+        want += [(i or 0, t) for i, t, *_ in rows if t == LONG_ODD]
+    if name == "near_duplicates":
+        # The two texts of id 7 are judged by one of them.
+        got = [x for x in got if x[0] != 7 and x[0] not in (2, 3)]
+    assert got == sorted(want, key=repr)
+    assert TABLES[name](docs([]), items).collect() == []
+    assert TABLES[name](docs([]), items.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows_and_none(spark, docs, odd_rows, stage, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "nobody had come to the house for a long time"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    name, step = corpus_pipeline.STAGES[stage]
+    frame = docs([*odd_rows, (20, LONG_ODD)])
+    out = step(spark, frame, str(tmp_path))
+    ids = {r["doc_id"] for r in out.collect()}
+    assert ids <= {r[0] for r in odd_rows} | {20} and (out.columns == frame.columns) == (stage < 4)
+    if name in ("personal_data", "encoding"):
+        assert out.count() == len(odd_rows) + 1
+    assert step(spark, docs([]), str(tmp_path)).collect() == []
