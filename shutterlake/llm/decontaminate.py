@@ -381,7 +381,12 @@ def remove_leaks(
     docs: DataFrame, items: DataFrame, params: DecontaminationParams = DecontaminationParams(), *,
     text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` in which no item is verified, with all their columns; decided where a row is read."""
+    """The rows of ``docs`` in which no item is verified, with all their columns; decided where a row is read.
+
+    Null and empty texts stay, and so does every row if there are no items with
+    words; very long texts are searched whole; repeated rows and null ids are judged
+    each by itself.  No rows: no rows.  Columns may have any names.
+    """
     spark = docs.sparkSession
     for index in indexes(items, params, item_id_col, item_text_col):
         shared = spark.sparkContext.broadcast(index)

@@ -179,5 +179,9 @@ def judge_quality(
 
 
 def keep_good(docs: DataFrame, params: QualityParams = QualityParams(), *, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that the rules keep, with all their columns."""
+    """The rows that the rules keep, with all their columns, whatever their names.
+
+    Null and empty texts fail the base rules and go; very long ones are judged
+    whole; repeated rows and null ids are judged each by itself.  No rows: no rows.
+    """
     return docs.where(quality_report(F.col(text_col), F.col(lang_col), params)["kept"])

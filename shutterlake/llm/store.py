@@ -7,6 +7,7 @@ may be local (tests), on HDFS or in an object store.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import re
 import tempfile
@@ -17,19 +18,36 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of its own only where none is set (tests)."""
+    """The session's checkpoint folder. Only a local session without one (tests) gets a folder of its own; elsewhere that is an error."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shutterlake-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new place for scratch files, which ``release`` removes: when called, or else as the driver ends."""
+    if not _made:
+        atexit.register(release)
+    _made.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release() -> None:
+    """Removes all scratch folders of this driver. Frames that read them can't be used any more."""
+    while _made:
+        with contextlib.suppress(OSError):
+            system, path = open_fs(_made.pop())
+            system.delete_dir(path)
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
