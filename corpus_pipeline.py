@@ -4,6 +4,12 @@ Quality rules and decontamination drop documents, near-dedup leaves one document
 of each class, personal data is replaced in the text, and the last stage encodes
 what is left.  ``run`` writes each stage's rows to the shared folder and reads
 them again, so a lost executor repeats one stage's tasks at most.
+
+Any column may hold nulls: a null text counts as empty (the quality rules reject
+it), a null id is a document of its own.  Rows that repeat an id are each judged and
+kept or dropped; near-dedup leaves all rows of a class's least id.  Texts are taken
+whole whatever their length; no documents give none; further columns stay up to the
+last stage, whatever their names.
 """
 
 from __future__ import annotations
