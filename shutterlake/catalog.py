@@ -44,39 +44,43 @@ US = "epoch_us(ts)"
 COS = "round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6)"
 
 
-@query(f"select vec_id, score, rank::int as rank from (select e.vec_id, {COS} as score, row_number() over (order by {COS} desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id = 0) q) where rank <= 10")
+#: Searches ask for every vector whose id is divisible by 50.
+ASKED = "vec_id % 50 = 0"
+HITS = f"select q.vec_id as query_id, e.vec_id, e.label, {COS} as score, row_number() over (partition by q.vec_id order by {COS} desc, e.vec_id) as rank from embeddings e, (select * from embeddings where {ASKED}) q"
+
+
+@query(f"select query_id, vec_id, score, rank::int as rank from ({HITS}) where rank <= 10")
 def vector_topk(spark, sf):
     rows = table(spark, sf, "embeddings")
-    return vectors.top_k(rows, rows.where("vec_id = 0"), 10).select("vec_id", "score", "rank")
+    return vectors.top_k(rows, rows.where(ASKED), 10)
 
 
-@query(f"select query_id, vec_id, score, rank::int as rank from (select q.vec_id as query_id, e.vec_id, {COS} as score, row_number() over (partition by q.vec_id order by {COS} desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id < 20) q) where rank <= 5")
+@query(f"select query_id, vec_id, score, rank::int as rank from ({HITS}) where rank <= 5")
 def vector_topk_batch(spark, sf):
     rows = table(spark, sf, "embeddings")
-    return vectors.top_k(rows, rows.where("vec_id < 20"), 5)
+    return vectors.top_k(rows, rows.where(ASKED), 5)
 
 
-@query(f"select vec_id, score, rank::int as rank from (select e.vec_id, {COS} as score, row_number() over (order by {COS} desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id = 0) q where e.label = 1) where rank <= 5")
+@query(f"select query_id, vec_id, score, rank::int as rank from ({HITS} where e.label = 1) where rank <= 5")
 def vector_topk_filtered(spark, sf):
     rows = table(spark, sf, "embeddings")
-    return vectors.top_k(rows, rows.where("vec_id = 0"), 5, keep=F.col("label") == 1).select("vec_id", "score", "rank")
+    return vectors.top_k(rows, rows.where(ASKED), 5, keep=F.col("label") == 1)
 
 
 @query(f"""
-with h as (select e.label, {COS} as score, row_number() over (order by {COS} desc, e.vec_id) as rank from embeddings e, (select * from embeddings where vec_id = 0) q),
-f as (select label, min(rank) as rank from h where rank <= 12 group by label)
-select label as algorithm_id, rank::int as rank, place::int as place, params from (
-  select label, rank, row_number() over (order by rank) as place, '{{"label":' || label || '}}' as params from f where label % 3 < 2 and label % 7 <> 6
+with h as ({HITS}), f as (select query_id, label, min(rank) as rank from h where rank <= 12 group by all)
+select query_id, label as algorithm_id, rank::int as rank, place::int as place, params from (
+  select query_id, label, rank, row_number() over (partition by query_id order by rank) as place, '{{"label":' || label || '}}' as params from f where label % 3 < 2 and label % 7 <> 6
 ) where place <= 3""")
 def gene_retrieval(spark, sf):
     """Nearest photos' parameter sets of one agent, or of none."""
     rows = table(spark, sf, "embeddings")
-    hits = vectors.top_k(rows, rows.where("vec_id = 0"), 12).join(rows.select("vec_id", F.col("label").alias("algorithm_id")), "vec_id")
+    hits = vectors.top_k(rows, rows.where(ASKED), 12).join(rows.select("vec_id", F.col("label").alias("algorithm_id")), "vec_id")
     items = rows.select(F.col("label").alias("algorithm_id")).distinct().select(
         "algorithm_id", F.when(F.col("algorithm_id") % 3 == 0, "microcontrast").when(F.col("algorithm_id") % 3 == 2, "cleanup").alias("agent"),
         F.when(F.col("algorithm_id") % 7 == 6, "broken").otherwise(F.concat(F.lit('{"label":'), F.col("algorithm_id").cast("string"), F.lit("}"))).alias("params"),
     )
-    return vectors.retrieve(hits, items, item_col="algorithm_id", agent_col="agent", agent="microcontrast", k=3).select("algorithm_id", "rank", "place", "params")
+    return vectors.retrieve(hits, items, item_col="algorithm_id", agent_col="agent", agent="microcontrast", k=3).select("query_id", "algorithm_id", "rank", "place", "params")
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as first from embeddings")
@@ -124,7 +128,7 @@ def stable_id(spark, sf):
 
 @query("select event_id, 'k' as token, json_extract(props, '$.k')::double as value from events where json_extract(props, '$.k') is not null")
 def token_flatten(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.explode(jsonops.json_tokens("props")).alias("t")).select("event_id", "t.token", "t.value")
+    return jsonops.json_leaves(table(spark, sf, "events"), "event_id", "props")
 
 
 @query("""
@@ -136,9 +140,9 @@ def feature_hash(spark, sf):
     return jsonops.hash_features(rows, "user_id").select("user_id", "bucket", F.round("value", 6).alias("value"))
 
 
-@query()
+@query("select event_id, json(props)::varchar as canonical from events")
 def canonical_props(spark, sf):
-    return table(spark, sf, "events").select("event_id", jsonops.canonical_json("props").alias("canonical"))
+    return table(spark, sf, "events").select("event_id", jsonops.canonical_json(F.col("props")).alias("canonical"))
 
 
 @query()
@@ -151,7 +155,7 @@ select user_id, count(*)::bigint as n_stages,
   coalesce(string_agg(event_type, ',' order by event_id) filter (where value > 50), '') as applied,
   coalesce(string_agg(event_type, ',' order by event_id) filter (where value <= 10), '') as skipped,
   coalesce(string_agg(event_type, ',' order by event_id) filter (where event_id % 7 = 0 and event_id % 14 <> 0), '') as errored
-from events where event_id % 50 = 0 or event_id % 7 = 0 group by user_id""")
+from events group by user_id""")
 def report_roundtrip(spark, sf):
     """Stage reports written as JSON, read again, and their lists of names."""
     stage = F.struct(
@@ -195,7 +199,13 @@ def bracket_reference(spark, sf):
     return _bursts(spark, sf).groupBy("user_id", "burst").agg(sessions.middle(F.col("ev"), F.col("event_id"), F.col("event_id")).alias("reference"))
 
 
-@query()
+@query(f"""
+with recursive e as (select user_id, event_id, event_type, {US} as us, row_number() over (partition by user_id order by ts, event_id) as i from events),
+r as (select user_id, i, event_id, us, [event_type] as seen, i as start from e where i = 1 union all
+  select e.user_id, e.i, e.event_id, e.us, case when fits then list_append(seen, e.event_type) else [e.event_type] end, case when fits then start else e.i end
+  from (select r.user_id, r.i, r.seen, r.start, n.event_id as next, n.us - r.us <= 3600000000 and not list_contains(r.seen, n.event_type) and len(r.seen) < 7 as fits from r join e n on n.user_id = r.user_id and n.i = r.i + 1) r join e on e.user_id = r.user_id and e.i = r.i + 1),
+g as (select user_id, start, count(*) > 1 as good from r group by all), n as (select *, sum(good::int) over (partition by user_id order by start) - 1 as number from g)
+select user_id, event_id, case when good then number else -1 end::int as bracket from r join n using (user_id, start)""")
 def bracket_stateful(spark, sf):
     rows = table(spark, sf, "events").select("user_id", "event_id", "event_type", micros().alias("us"))
     return sessions.stateful_brackets(rows, group="user_id", ts_us="us", ev="event_type", item="event_id", tolerance_s=3600)
@@ -203,8 +213,35 @@ def bracket_stateful(spark, sf):
 
 @query()
 def greedy_scan(spark, sf):
-    rows = table(spark, sf, "events").select("user_id", "event_id", "value", micros().alias("us"))
-    return sessions.greedy_runs(rows, group="user_id", ts_us="us", item="event_id", value="value", near_s=3600, far_s=14400)
+    rows = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 4 / 2).alias("ev"), "value", micros().alias("us"))
+    return sessions.greedy_brackets(rows, group="user_id", ts_us="us", item="event_id", ev="ev", brightness="value", near_s=3600, far_s=14400)
+
+
+@query(BURST + """, g as (select user_id, burst, arg_min(event_id, [abs(json_extract(props, '$.k')::double / 30 - 1), event_id]) as reference, coalesce(min(json_extract(props, '$.k')::double / 30 - 1), 0) as ev_low, coalesce(max(json_extract(props, '$.k')::double / 30 - 1), 0) as ev_high, count(*) as n from b group by 1, 2)
+select user_id, burst, reference, round(ev_low, 6) as ev_low, round(ev_high, 6) as ev_high, n from g""")
+def bracket_labels(spark, sf):
+    rows = _bursts(spark, sf).withColumn("ev", F.col("ev") - 1)
+    return sessions.bracket_labels(rows, "user_id", "burst", item="event_id", ev="ev", order="event_id").select("user_id", "burst", "reference", F.round("ev_low", 6).alias("ev_low"), F.round("ev_high", 6).alias("ev_high"), "n")
+
+
+_FILES = "f as (select c_custkey, c_nationkey, case when c_custkey % 3 = 0 then c_acctbal end as ts, case when c_custkey % 7 = 0 then 'cover' else lower(c_mktsegment) || (['_', '-', ''])[c_custkey % 3 + 1] || c_custkey end as stem from customer), p as (select *, case when regexp_matches(stem, '^.+?[_-]?[0-9]{1,5}$') then rtrim(regexp_extract(stem, '^(.+?)[_-]?([0-9]{1,5})$', 1), '_-') else stem end as prefix from f)"
+
+
+def _files(spark, sf):
+    k = F.col("c_custkey")
+    mark = F.get(F.array(F.lit("_"), F.lit("-"), F.lit("")), (k % 3).cast("int"))
+    stem = F.when(k % 7 == 0, "cover").otherwise(F.concat(F.lower("c_mktsegment"), mark, k.cast("string")))
+    return table(spark, sf, "customer").select("c_custkey", "c_nationkey", F.when(k % 3 == 0, F.col("c_acctbal")).alias("ts"), stem.alias("stem"))
+
+
+@query(f"with {_FILES} select c_custkey, c_nationkey, case when ts is null then prefix end as part from p")
+def filename_clusters(spark, sf):
+    return sessions.refine_by_filename(_files(spark, sf), cluster="c_nationkey", ts="ts", stem="stem").select("c_custkey", "c_nationkey", "part")
+
+
+@query(f"with {_FILES} select c_nationkey, left(stem, 1) as initial, count(*) > 1 and bool_and(regexp_matches(stem, '^.+?[_-]?[0-9]{{1,5}}$')) and min(prefix) = max(prefix) as one_prefix from p group by all")
+def filename_match(spark, sf):
+    return _files(spark, sf).groupBy("c_nationkey", F.left("stem", F.lit(1)).alias("initial")).agg(sessions.one_prefix(F.col("stem")).alias("one_prefix"))
 
 
 @query(f"select a.user_id, a.event_id as a, b.event_id as b, abs(epoch_us(a.ts) - epoch_us(b.ts))::bigint as apart_us from events a join events b on a.user_id = b.user_id and a.event_id < b.event_id and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000")
@@ -213,7 +250,14 @@ def same_scene_pairs(spark, sf):
     return sessions.near_pairs(rows, group="user_id", ts_us="us", item="event_id", within_s=600)
 
 
-@query()
+@query("""
+with recursive b as (select l_orderkey as photo, l_linenumber as box, l_partkey % 40 as x, l_suppkey % 40 as y, (l_quantity + 10)::bigint as w, (l_quantity * 2 + 5)::bigint as h from lineitem),
+o as (select *, row_number() over (partition by photo order by w * h desc, box, x, y) as i from b),
+r as (select photo, i, box, true as kept, [{'x': x, 'y': y, 'w': w, 'h': h}] as held from o where i = 1 union all
+  select o.photo, o.i, o.box, len(hit) = 0, case when len(hit) = 0 then list_append(held, {'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}) else held end
+  from (select n.*, r.held, list_filter(r.held, lambda k: greatest(0, least(k.x + k.w, n.x + n.w) - greatest(k.x, n.x)) * greatest(0, least(k.y + k.h, n.y + n.h) - greatest(k.y, n.y))
+    / (k.w * k.h + n.w * n.h - greatest(0, least(k.x + k.w, n.x + n.w) - greatest(k.x, n.x)) * greatest(0, least(k.y + k.h, n.y + n.h) - greatest(k.y, n.y)) + 1e-6) >= 0.3) as hit from r join o n on n.photo = r.photo and n.i = r.i + 1) o)
+select photo, box from r where kept""")
 def nms_fold(spark, sf):
     """Boxes of an order's lines; the largest drop those that overlap them."""
     box = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("box"), (F.col("l_partkey") % 40).alias("x"), (F.col("l_suppkey") % 40).alias("y"), (F.col("l_quantity") + 10).cast("long").alias("w"), (F.col("l_quantity") * 2 + 5).cast("long").alias("h"))
@@ -233,7 +277,7 @@ def job_lookup(spark, sf):
     return relational.lookup(table(spark, sf, "orders"), "o_orderkey", 7).select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
-UPDATES = "select l_orderkey as k, case when max(l_returnflag) = 'R' then 'R' end as s, case when max(l_quantity) > 40 then round(sum(l_extendedprice), 2) end as p from lineitem where l_linenumber <= 3 group by 1"
+UPDATES = "select l_orderkey as k, case when max(l_returnflag) = 'R' then 'R' end as s, case when max(l_quantity) > 40 then round(sum(l_extendedprice), 2) end as p from lineitem group by 1"
 
 
 @query(f"select o_orderkey, coalesce(s, o_orderstatus) as o_orderstatus, coalesce(p, o_totalprice) as o_totalprice from orders left join ({UPDATES}) on k = o_orderkey")
@@ -243,10 +287,10 @@ def job_partial_update(spark, sf):
     return relational.partial_update(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), updates, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
-@query("select doc_id, source from documents where doc_id % 3 = 0 union all select doc_id, 'new' from labels where doc_id not in (select doc_id from documents where doc_id % 3 = 0)")
+@query("select doc_id, case when doc_id % 3 = 0 then source else 'new' end as source from documents")
 def insert_if_absent(spark, sf):
-    old = table(spark, sf, "documents").select("doc_id", "source")
-    return relational.insert_if_absent(old, table(spark, sf, "labels").select("doc_id", F.lit("new").alias("source")), "doc_id")
+    rows = table(spark, sf, "documents")
+    return relational.insert_if_absent(rows.where("doc_id % 3 = 0").select("doc_id", "source"), rows.select("doc_id", F.lit("new").alias("source")), "doc_id")
 
 
 @query("with r as (select o_custkey, o_orderkey, o_orderdate, 0 as f from orders where o_orderkey % 2 = 0 union all select o_custkey, o_orderkey, o_orderdate, 1 from orders where o_orderkey % 2 = 1) select o_custkey, o_orderkey, o_orderdate from r qualify row_number() over (partition by o_custkey order by o_orderdate desc, f desc, o_orderkey) = 1")
@@ -344,7 +388,7 @@ def exposure_score(spark, sf):
 
 
 @query("""
-with x as (select event_type, user_id from events where user_id % 3 > 0 group by all), n as (select event_type, count(*) as n from x group by 1),
+with x as (select event_type, user_id from events group by all), n as (select event_type, count(*) as n from x group by 1),
 p as (select a.event_type as a, b.event_type as b, count(*) as k from x a join x b using (user_id) where a.event_type < b.event_type group by all)
 select p.a, p.b, k::bigint as n_both, (na.n + nb.n - k)::bigint as n_either, round(k / (na.n + nb.n - k), 6) as iou from p join n na on na.event_type = p.a join n nb on nb.event_type = p.b""")
 def pairwise_iou(spark, sf):
@@ -354,7 +398,7 @@ def pairwise_iou(spark, sf):
 _MASKS = """
 with c as (select p_partkey, (['wall','floor','ceiling','window','door','opening','crown','baseboard','casing','light'])[p_partkey % 10 + 1] as class, p_size / 50.0 as share, p_retailprice % 1000 / 1000 as m from part),
 r(class, low, high) as (values ('wall',0.2,0.75),('floor',0.03,0.4),('ceiling',0.02,0.3),('window',0.0,0.4),('door',0.0,0.3),('opening',0.0,0.4),('crown',0.0,0.05),('baseboard',0.0,0.05),('casing',0.0,0.08),('light',0.0,0.1)),
-s as (select p_partkey, c.class, m, case when share < low then share / low when share > high then greatest(0, 1 - (share - high) / high) else 1.0 end::double as coverage_sanity from c join r using (class))
+s as (select p_partkey, c.class, m, case when share < low then share / low when share > high then greatest(0, 1 - 0.5 * (share - high) / high) else 1.0 end::double as coverage_sanity from c join r using (class))
 """
 
 
@@ -377,6 +421,16 @@ def mask_verdict(spark, sf):
     return scoring.mask_report(rows, "photo").withColumn("overall", F.round("overall", 6))
 
 
+@query(_MASKS + """, w(class, weight) as (values ('wall',1.5),('floor',1.2),('ceiling',1.0),('window',1.3),('door',1.0),('opening',1.3),('crown',0.5),('baseboard',0.5),('casing',0.7),('light',0.3)),
+o as (select p_partkey % 97 as photo, sum((0.2 * coverage_sanity + 0.8 * m) * weight) / greatest(1, sum(weight)) as o from s join w using (class) group by 1),
+l as (select s_suppkey % 97 as photo, s_suppkey % 13 / 100 as iou from supplier), p as (select photo, sum(iou) as lost from l where iou > 0.05 group by 1)
+select photo, round(greatest(0, o - coalesce(lost, 0)), 6) as overall, case when o - coalesce(lost, 0) >= 0.85 then 'pass' when o - coalesce(lost, 0) >= 0.65 then 'review' else 'fail' end as verdict from o left join p using (photo)""")
+def mask_overlap_verdict(spark, sf):
+    rows = _masks(spark, sf).withColumns({k: F.col("m") for k in scoring.MASK_METRICS if k != "coverage_sanity"}).withColumn("photo", F.col("p_partkey") % 97)
+    overlaps = table(spark, sf, "supplier").select((F.col("s_suppkey") % 97).alias("photo"), (F.col("s_suppkey") % 13 / 100).alias("iou"))
+    return scoring.mask_report(rows, "photo", overlaps=overlaps).withColumn("overall", F.round("overall", 6))
+
+
 @query("""
 with r as (select p_partkey, 0.55 * (p_size / 50.0 * 0.3 + (p_partkey % 100) / 100.0 * 0.25 + (p_partkey % 37) / 36.0 * 0.45) + 0.45 * (0.9 * 0.15 + 1.0 * 0.1 + (p_partkey % 11) / 10.0 * 0.2 + 0.7 * 0.2 + (p_partkey % 13) / 12.0 * 0.35) as o from part)
 select p_partkey, round(o, 6) as overall, case when o >= 0.78 then 'pass' when o >= 0.55 then 'review' else 'fail' end as verdict from r""")
@@ -391,7 +445,7 @@ def director_review(spark, sf):
 
 @query("""
 with m as (select p_partkey as k, p_size * 6 as blur, p_partkey % 25 as hi, p_partkey % 31 as lo, p_partkey % 256 as luma from part)
-select k as p_partkey, greatest(case when blur < 60 then 3 when blur < 150 then 2 else 0 end, case when hi > 18 then 3 when hi > 8 then 2 else 0 end, case when lo > 25 then 3 when lo > 12 then 2 else 0 end, case when luma < 35 then 3 when luma < 60 then 2 when luma > 220 then 2 else 0 end) as severity from m""")
+select k as p_partkey, greatest(case when blur < 60 then 3 when blur < 150 then 2 else 0 end, case when hi >= 18 then 3 when hi >= 8 then 2 else 0 end, case when lo >= 25 then 3 when lo >= 12 then 2 else 0 end, case when luma < 35 then 3 when luma < 60 then 1 when luma > 220 then 2 else 0 end) as severity from m""")
 def preflight_rules(spark, sf):
     k = F.col("p_partkey")
     return table(spark, sf, "part").select("p_partkey", scoring.preflight(F.col("p_size") * 6, k % 25, k % 31, k % 256).alias("severity"))
@@ -476,7 +530,7 @@ def lab_match(spark, sf):
 PIXELS = """
 with px as (
   select p_partkey as photo_id, y, x, (x * 11 + y * 7 + p_partkey * 13) % 256 as b, (x * 5 + y * 17 + p_size * 3) % 256 as g, (x * y + p_partkey * 29) % (p_size * 5 + 6) as r
-  from part, range(16) t(y), range(16) u(x) where p_partkey <= 60
+  from part, range(16) t(y), range(16) u(x)
 ), l as (select *, 0.114::double * b + 0.587::double * g + 0.299::double * r as luma from px)
 """
 
@@ -546,3 +600,6 @@ def image_scores(spark, sf):
 
     rows = table(spark, sf, "part").select("p_partkey", "p_size")
     return rows.mapInPandas(score, "photo_id long, exposure double, white_balance double, sharpness double, noise double, composition double")
+
+
+from shutterlake import measure_queries  # noqa: E402, F401  (registers its queries)

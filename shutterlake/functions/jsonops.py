@@ -65,49 +65,58 @@ def hash_features(tokens: DataFrame, key: str, buckets: int = BUCKETS) -> DataFr
     return sums.join(size, key).select(key, "bucket", F.when(F.col("size") > 0, F.col("sum") / F.col("size")).otherwise(F.col("sum")).alias("value"))
 
 
-def tokens_of(value, prefix: str = "") -> list[tuple[str, float]]:
-    """(path, number) of each leaf of a JSON value; a string is part of its path and counts 1."""
-    if isinstance(value, dict):
-        return [t for k, v in value.items() for t in tokens_of(v, f"{prefix}.{k}" if prefix else str(k))]
-    if isinstance(value, list):
-        return [t for i, v in enumerate(value) for t in tokens_of(v, f"{prefix}[{i}]")]
-    if value is None:
-        return [(prefix, 0.0)]
-    if isinstance(value, (bool, int, float)):
-        return [(prefix, float(value))]
-    return [(f"{prefix}={value}", 1.0)]
-
-
-@pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("value", T.DoubleType())])))
-def json_tokens(texts: pd.Series) -> pd.Series:
-    """Tokens of JSON texts; a text that isn't JSON has none."""
-
-    def of(text):
-        try:
-            return [{"token": p, "value": v} for p, v in tokens_of(json.loads(text))] if text else []
-        except ValueError:
-            return []
-
-    return texts.map(of)
-
-
-@pandas_udf(T.StringType())
-def canonical_json(texts: pd.Series) -> pd.Series:
+def nesting(text: Column) -> Column:
+    """Levels of objects and arrays in a JSON text: how far its brackets nest outside of strings."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    steps = F.transform(F.split(bare, ""), lambda c: F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(steps, start, lambda s, d: F.struct((s["now"] + d).alias("now"), F.greatest(s["most"], s["now"] + d).alias("most")), lambda s: s["most"])
+
+
+def json_leaves(rows: DataFrame, key: str, text: str, *, depth: int | None = None) -> DataFrame:
+    """``key, token, value``: a row for each leaf of a JSON text.
+
+    The token is the leaf's path, ``a.b[0]``; a string is part of its token and counts
+    1, true and false count 1 and 0, null 0.  Texts that aren't JSON have no leaves, nor
+    have empty objects and arrays.  One aggregate over the texts finds how deep they go
+    (or ``depth`` says so); each level is one explode of what is nested there.
+    """
+    spark = rows.sparkSession
+    parsed = F.try_parse_json(F.col(text))
+    if depth is None:
+        depth = rows.agg(F.max(F.when(parsed.isNotNull(), nesting(F.col(text)))).alias("n")).first()["n"] or 0
+    level = rows.select(F.col(key).alias("_key"), F.lit("").alias("_path"), parsed.alias("_v")).where("_v is not null")
+    out = None
+    for k in range(depth + 1):
+        kind, path = F.schema_of_variant("_v"), F.col("_path")
+        nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+        text_of = F.try_variant_get("_v", "$", "string")
+        number = F.when(kind == "BOOLEAN", F.try_variant_get("_v", "$", "boolean").cast("double")).when(F.is_variant_null("_v"), F.lit(0.0)).otherwise(F.try_variant_get("_v", "$", "double"))
+        found = level.where(~nested).select(
+            F.col("_key").alias(key), F.when(kind == "STRING", F.concat(path, F.lit("="), text_of)).otherwise(path).alias("token"), F.when(kind == "STRING", 1.0).otherwise(number).alias("value")
+        )
+        out = found if out is None else out.unionByName(found)
+        if k < depth:
+            parts = level.where(nested).lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+            step = F.when(F.col("key").isNull(), F.concat(path, F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(path == "", F.col("key")).otherwise(F.concat(path, F.lit("."), F.col("key")))
+            level = parts.select("_key", step.alias("_path"), F.col("value").alias("_v"))
+    return out
+
+
+def canonical_json(text: Column) -> Column:
     """Sorted keys, no white space; null for what isn't JSON."""
+    return F.to_json(F.try_parse_json(text))
 
-    def of(text):
-        try:
-            return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":")) if text else None
-        except ValueError:
-            return None
 
-    return texts.map(of)
+@pandas_udf(T.LongType())
+def _seed(seeds: pd.Series, stages: pd.Series) -> pd.Series:
+    made = [None if s is None or n is None else int.from_bytes(hashlib.blake2b(f"{s}:{n}".encode(), digest_size=4).digest(), "big") for s, n in zip(seeds, stages, strict=True)]
+    return pd.Series(made, dtype="Int64")
 
 
-@pandas_udf(T.LongType())
-def stage_seed(seeds: pd.Series, stages: pd.Series) -> pd.Series:
-    """A 32-bit seed of (job seed, stage); null for a null seed."""
-    return pd.Series([None if pd.isna(s) else int.from_bytes(hashlib.blake2b(f"{int(s)}:{n}".encode(), digest_size=4).digest(), "big") for s, n in zip(seeds, stages, strict=True)], dtype="Int64")
+def stage_seed(seed: Column, stage: Column) -> Column:
+    """A 32-bit seed of (job seed, stage); null for a null seed. Seeds go as text, as a null beside a large number would round it."""
+    return _seed(seed.cast("string"), stage)
 
 
 def signer(secret: str):

@@ -20,13 +20,24 @@ def lookup(records: DataFrame, key: str, value) -> DataFrame:
     return records.where(F.col(key) == F.lit(value))
 
 
-def partial_update(records: DataFrame, updates: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Records with each column replaced where the update has a value for it. ``updates`` has a row a key."""
+def partial_update(records: DataFrame, updates: DataFrame, key: str, columns: Sequence[str], *, strict: bool = False) -> DataFrame:
+    """Records with each column replaced where the update has a value for it. ``updates`` has a row a key.
+
+    Updates of keys that no record has change nothing; if ``strict``, they fail the job.
+    """
     new = updates.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns])
-    joined = records.join(new, records[key] == new["_key"], "left")
+    joined = records.withColumn("_here", F.lit(True)).join(new, records[key] == new["_key"], "full" if strict else "left")
+    if strict:
+        unknown = F.raise_error(F.concat(F.lit("no record has the key "), F.col("_key").cast("string")))
+        joined = joined.where(F.when(F.col("_here").isNull(), unknown.isNull()).otherwise(True))
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in records.columns])
 
 
+def touch(at: Column, matches: Column, now: Column) -> Column:
+    """The time of last use, set where a key matches."""
+    return F.when(matches, now).otherwise(at)
+
+
 def merge_maps(old: Column, new: Column) -> Column:
     """Entries of both; the new one wins. Null maps are empty."""
     empty = F.create_map().cast("map<string,string>")
@@ -46,10 +57,11 @@ def duplicate_keys(fresh: DataFrame, records: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(records: DataFrame, fresh: DataFrame, key: str, order: str) -> DataFrame:
-    """The latest row of each key; a fresh row wins over one of equal order."""
+    """The latest row of each key; a fresh row wins over one of equal order. Rows are combined before the shuffle."""
+    columns = records.columns
     rows = records.withColumn("_fresh", F.lit(0)).unionByName(fresh.withColumn("_fresh", F.lit(1)))
-    best = Window.partitionBy(key).orderBy(F.desc(order), F.desc("_fresh"))
-    return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_fresh")
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in columns if c != key]), F.struct(order, "_fresh")).alias("_row"))
+    return best.select(key, "_row.*").select(*columns)
 
 
 def active(records: DataFrame, revoked: str, env: str, wanted: str | None) -> DataFrame:

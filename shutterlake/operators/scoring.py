@@ -62,25 +62,31 @@ def rolled_back(before: Column, after: Column, slack: float = 0.5) -> Column:
 
 
 def coverage_score(name: Column, share: Column) -> Column:
-    """1 inside the class's range, falling in proportion outside; unknown classes score 1."""
+    """1 inside the class's range, falling in proportion below it and half as fast above; unknown classes score 1."""
     out = F.lit(1.0)
     for k, (low, high) in COVERAGE.items():
-        below = share / low if low else F.lit(1.0)
-        inside = F.when(share < low, below).when(share > high, F.greatest(F.lit(0.0), 1.0 - (share - high) / high)).otherwise(1.0)
+        below = share / max(low, 0.01) if low else F.lit(1.0)
+        inside = F.when(share < low, below).when(share > high, F.greatest(F.lit(0.0), 1.0 - 0.5 * (share - high) / max(high, 0.01))).otherwise(1.0)
         out = F.when(name == k, inside).otherwise(out)
     return out
 
 
-def mask_report(masks: DataFrame, key: str, name: str = "class", overlap: str | None = None) -> DataFrame:
-    """Overall of each photo's masks: a weighted mean with a denominator of at least 1, less the overlaps above 0.05."""
+def mask_report(masks: DataFrame, key: str, name: str = "class", overlaps: DataFrame | None = None) -> DataFrame:
+    """Overall of each photo's masks: a weighted mean with a denominator of at least 1, less the sum of overlaps above 0.05.
+
+    ``overlaps``: rows (key, iou), one for each pair of a photo's masks that should exclude each other.
+    """
     score = sum((F.col(m) * w for m, w in MASK_METRICS.items()), F.lit(0.0))
     weight = F.lit(1.0)
     for k, w in MASK_CLASSES.items():
         weight = F.when(F.col(name) == k, F.lit(w)).otherwise(weight)
-    total = F.sum(score * weight) / F.greatest(F.lit(1.0), F.sum(weight))
-    penalty = F.coalesce(F.max(overlap), F.lit(0.0)) if overlap else F.lit(0.0)
-    overall = F.greatest(F.lit(0.0), total - F.when(penalty > 0.05, penalty).otherwise(0.0))
-    return masks.groupBy(key).agg(overall.alias("overall")).withColumn("verdict", verdict(F.col("overall"), 0.85, 0.65))
+    found = masks.groupBy(key).agg((F.sum(score * weight) / F.greatest(F.lit(1.0), F.sum(weight))).alias("_score"))
+    if overlaps is None:
+        found = found.withColumn("_lost", F.lit(0.0))
+    else:
+        found = found.join(overlaps.where("iou > 0.05").groupBy(key).agg(F.sum("iou").alias("_lost")), key, "left")
+    overall = F.greatest(F.lit(0.0), F.col("_score") - F.coalesce("_lost", F.lit(0.0)))
+    return found.select(key, overall.alias("overall")).withColumn("verdict", verdict(F.col("overall"), 0.85, 0.65))
 
 
 def review(rows: DataFrame) -> DataFrame:
@@ -91,18 +97,24 @@ def review(rows: DataFrame) -> DataFrame:
     return rows.withColumn("overall", overall).withColumn("verdict", verdict(F.col("overall"), 0.78, 0.55)).withColumn("findings", findings)
 
 
+#: Weight, tolerance and slope of each clipped share in an exposure's score.
+CLIPPING = {"blown": (0.4, 0.005, 60.0), "crushed": (0.3, 0.02, 35.0)}
+
+
 def exposure_score(blown: Column, crushed: Column, span: Column) -> Column:
-    s_blown = F.greatest(F.lit(0.0), 10.0 - 60.0 * F.greatest(F.lit(0.0), blown - 0.005))
-    s_crush = F.greatest(F.lit(0.0), 10.0 - 35.0 * F.greatest(F.lit(0.0), crushed - 0.02))
-    s_range = F.when(span >= 200, 10.0).when(span >= 160, 7.0).otherwise(5.5)
-    return F.least(F.lit(10.0), F.greatest(F.lit(0.0), 0.4 * s_blown + 0.3 * s_crush + 0.3 * s_range))
+    """Two shares that cost points beyond their tolerance, and three steps of tonal span; 0..10."""
+    total = 0.3 * F.when(span >= 200, 10.0).when(span >= 160, 7.0).otherwise(5.5)
+    for share, (weight, tolerance, slope) in zip((blown, crushed), CLIPPING.values(), strict=True):
+        over = F.greatest(share - tolerance, F.lit(0.0))
+        total = total + weight * F.greatest(10.0 - slope * over, F.lit(0.0))
+    return F.greatest(F.least(total, F.lit(10.0)), F.lit(0.0))
 
 
 def preflight(blur: Column, high: Column, low: Column, luma: Column) -> Column:
-    """Worst of the severities: 0 ok, 1 info, 2 warn, 3 fail."""
+    """Worst of the severities of four measures: 0 ok, 1 info, 2 warn, 3 fail; ``decisions.preflight`` takes all."""
     return F.greatest(
-        F.when(blur < 60, 3).when(blur < 150, 2).otherwise(0), F.when(high > 18, 3).when(high > 8, 2).otherwise(0),
-        F.when(low > 25, 3).when(low > 12, 2).otherwise(0), F.when(luma < 35, 3).when(luma < 60, 2).when(luma > 220, 2).otherwise(0),
+        F.when(blur < 60, 3).when(blur < 150, 2).otherwise(0), F.when(high >= 18, 3).when(high >= 8, 2).otherwise(0),
+        F.when(low >= 25, 3).when(low >= 12, 2).otherwise(0), F.when(luma < 35, 3).when(luma < 60, 1).when(luma > 220, 2).otherwise(0),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,11 +78,13 @@ class _Bracket:
         return out
 
     def row(self, ts_us, ev, item) -> list[tuple]:
-        fits = self.open and ts_us - self.last <= self.tolerance_us and ev not in self.evs and len(self.open) < self.most
-        out = [] if fits else self.end()
+        timed, known = not pd.isna(ts_us), not pd.isna(ev)
+        near = self.open and timed and self.last is not None and ts_us - self.last <= self.tolerance_us
+        out = [] if near and known and ev not in self.evs and len(self.open) < self.most else self.end()
         self.open.append(item)
-        self.evs.append(ev)
-        self.last = ts_us
+        if known:
+            self.evs.append(ev)
+        self.last = ts_us if timed else None
         return out
 
 
@@ -91,40 +93,109 @@ def stateful_brackets(shots: DataFrame, *, group: str, ts_us: str, ev: str, item
 
     A shot joins the open bracket if it comes within the tolerance of the one
     before, brings a new exposure, and the bracket isn't full; a bracket counts
-    with ``least`` or more shots and two exposures.  Shots without a time or a
-    group have no place in the order and are left out.
+    with ``least`` or more shots and two exposures.  Shots without a time come
+    first and are singles; one without an exposure joins no bracket, but may begin
+    one.  Shots without a group are left out.
     """
     kinds = dict(shots.dtypes)
-    rows = shots.select(group, ts_us, ev, item).where(F.col(ts_us).isNotNull())
-    return fold_sorted(rows, group, [ts_us, item], f"{group} {kinds[group]}, {item} {kinds[item]}, bracket int", lambda g: _Bracket(g, tolerance_s * 1e6, least, most))
-
+    rows = shots.select(group, ts_us, ev, item)
+    return fold_sorted(rows, group, [F.asc_nulls_first(ts_us), item], f"{group} {kinds[group]}, {item} {kinds[item]}, bracket int", lambda g: _Bracket(g, tolerance_s * 1e6, least, most))
+
+
+def bracket_labels(members: DataFrame, *keys: str, item: str, ev: str, order: str) -> DataFrame:
+    """``reference, ev_low, ev_high, label`` of each bracket: the shot nearest to no compensation (unknown counts as 99 stops), the first one on ties."""
+    rank = F.struct(F.coalesce(F.abs(F.col(ev)), F.lit(99.0)), F.col(order))
+    out = members.groupBy(*keys).agg(F.min_by(item, rank).alias("reference"), F.coalesce(F.min(ev), F.lit(0.0)).alias("ev_low"), F.coalesce(F.max(ev), F.lit(0.0)).alias("ev_high"), F.count(F.lit(1)).alias("n"))
+    return out.withColumn("label", F.format_string("%s_ev[%+.1f..%+.1f]_n=%d", F.col("reference").cast("string"), F.col("ev_low").cast("double"), F.col("ev_high").cast("double"), F.col("n")))
+
+
+def filename_prefix(stem: Column) -> Column:
+    """What stands before a stem's counter of up to five digits; the stem itself without one."""
+    form = r"^(.+?)[_-]?([0-9]{1,5})$"
+    return F.when(stem.rlike(form), F.regexp_replace(F.regexp_extract(stem, form, 1), "[_-]+$", "")).otherwise(stem)
+
+
+def refine_by_filename(shots: DataFrame, *, cluster: str, ts: str, stem: str) -> DataFrame:
+    """``part`` of each shot inside its time cluster: null for shots with a time, the filename's prefix for the others."""
+    return shots.withColumn("part", F.when(F.col(ts).isNull(), filename_prefix(F.col(stem))))
+
+
+def one_prefix(stem: Column) -> Column:
+    """Aggregate: whether two or more shots all end with a counter and share what stands before it."""
+    counted = stem.rlike(r"^(.+?)[_-]?([0-9]{1,5})$")
+    return (F.count(F.lit(1)) > 1) & F.bool_and(counted) & (F.min(filename_prefix(stem)) == F.max(filename_prefix(stem)))
+
+
+class _Shots:
+    """Looks a few shots ahead of an anchor, takes the longest run that spreads enough, and goes on behind it."""
+
+    def __init__(self, group, same, window: int, forced: bool):
+        self.group, self.same, self.window, self.forced = group, same, window, forced
+        self.held: list[tuple] = []
+        self.number = 0
+
+    @staticmethod
+    def spread(values) -> float:
+        known = [v for v in values if not pd.isna(v)]
+        return max(known) - min(known) if len(known) > 1 else -1.0
+
+    def chosen(self, run: list[tuple]) -> int:
+        """How many of the run's shots make a bracket; 1 if none do."""
+        evs, light = [s[2] for s in run], [s[3] for s in run]
+        if self.forced:
+            spreads = self.spread(evs) >= 0.5 or self.spread(light) >= 12
+            return len(run) if len(run) == self.window and spreads else 1
+        sizes = [n for n in (5, 4, 3, 2) if n <= len(run)]
+        by_ev = next((n for n in sizes if self.spread(evs[:n]) >= 1), 1)
+        return by_ev if by_ev > 1 else next((n for n in sizes if self.spread(light[:n]) >= 18), 1)
+
+    def take(self) -> list[tuple]:
+        run = self.held[:1]
+        for shot in self.held[1 : self.window]:
+            if not self.same(run[0], shot):
+                break
+            run.append(shot)
+        n = self.chosen(run)
+        # min() keeps the first of equals.
+        best = min(run[:n], key=lambda s: abs(s[3] - 128.0) if not pd.isna(s[3]) else float("inf"))[0]
+        out = [(self.group, s[0], self.number, best) for s in run[:n]]
+        self.held, self.number = self.held[n:], self.number + 1
+        return out
 
-class _Anchor:
-    def __init__(self, group, same, window: int):
-        self.group, self.same, self.window, self.run, self.number = group, same, window, [], 0
+    def row(self, ts_us, item, ev, brightness) -> list[tuple]:
+        self.held.append((item, ts_us, ev, brightness))
+        return self.take() if len(self.held) >= self.window else []
 
     def end(self) -> list[tuple]:
-        out = [(self.group, k, self.number) for k, *_ in self.run]
-        self.number += bool(self.run)
-        self.run = []
+        out = []
+        while self.held:
+            out += self.take()
         return out
 
-    def row(self, ts_us, item, value) -> list[tuple]:
-        out = [] if self.run and len(self.run) < self.window and self.same(self.run[0], (item, ts_us, value)) else self.end()
-        self.run.append((item, ts_us, value))
-        return out
 
+def greedy_brackets(
+    shots: DataFrame, *, group: str, ts_us: str, item: str, ev: str, brightness: str, window: int = 5, forced: bool = False, near_s: float = 3.0, far_s: float = 6.0, alike: float = 0.07
+) -> DataFrame:
+    """``task, reference`` of each shot: brackets found by a scan that looks ``window`` shots ahead.
 
-def greedy_runs(shots: DataFrame, *, group: str, ts_us: str, item: str, value: str, window: int = 5, near_s: float = 3.0, far_s: float = 6.0, alike: float = 0.07) -> DataFrame:
-    """``run`` of each shot: it goes with the run's first shot if taken shortly after it, or a little later and much like it."""
+    A shot is of the anchor's scene if taken within ``near_s``; not beyond ``far_s``; and
+    between them, or without a time, if it is much like it.  Of such a run the longest
+    prefix (5 at most) counts whose exposures spread by a stop, or else whose brightness
+    spreads by 18; ``forced`` asks for just ``window`` shots, half a stop or 12.  The scan
+    goes on behind a bracket, or with the next shot where there is none.  The reference
+    is the shot nearest to a brightness of 128.  A task holds ``window`` shots of a group.
+    """
 
     def same(first, shot):
-        apart = shot[1] - first[1]
-        return apart <= near_s * 1e6 or apart <= far_s * 1e6 and abs(shot[2] - first[2]) <= alike * max(abs(first[2]), 1e-9)
+        if not (pd.isna(first[1]) or pd.isna(shot[1])):
+            apart = abs(shot[1] - first[1])
+            if apart > far_s * 1e6 or apart <= near_s * 1e6:
+                return apart <= near_s * 1e6
+        return abs(shot[3] - first[3]) <= alike * max(abs(first[3]), 1e-9)
 
     kinds = dict(shots.dtypes)
-    rows = shots.select(group, ts_us, item, value).where(F.col(ts_us).isNotNull())
-    return fold_sorted(rows, group, [ts_us, item], f"{group} {kinds[group]}, {item} {kinds[item]}, run int", lambda g: _Anchor(g, same, window))
+    rows = shots.select(group, ts_us, item, ev, brightness)
+    return fold_sorted(rows, group, [F.asc_nulls_first(ts_us), item], f"{group} {kinds[group]}, {item} {kinds[item]}, task int, reference {kinds[item]}", lambda g: _Shots(g, same, window, forced))
 
 
 def near_pairs(rows: DataFrame, *, group: str, ts_us: str, item: str, within_s: float) -> DataFrame:
@@ -140,29 +211,28 @@ def near_pairs(rows: DataFrame, *, group: str, ts_us: str, item: str, within_s:
     return a.join(b, ["g", "step"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("a_us") - F.col("b_us")) <= width)).select(F.col("g").alias(group), "a", "b", F.abs(F.col("a_us") - F.col("b_us")).alias("apart_us"))
 
 
-def box_iou(p, q) -> float:
-    w = min(p[0] + p[2], q[0] + q[2]) - max(p[0], q[0])
-    h = min(p[1] + p[3], q[1] + q[3]) - max(p[1], q[1])
-    shared = max(0, w) * max(0, h)
-    total = p[2] * p[3] + q[2] * q[3] - shared
-    return shared / total if total else 0.0
-
-
 class _Boxes:
+    """Boxes kept so far, as columns; the small addend keeps a box that overlaps by just the limit."""
+
     def __init__(self, group, limit: float):
-        self.group, self.limit, self.kept = group, limit, []
+        self.group, self.limit = group, limit
+        self.kept = np.zeros((0, 4))
 
     def end(self) -> list[tuple]:
         return []
 
-    def row(self, item, *box) -> list[tuple]:
-        if any(box_iou(box, other) >= self.limit for other in self.kept):
+    def row(self, item, x, y, w, h) -> list[tuple]:
+        k = self.kept
+        wide = np.minimum(k[:, 0] + k[:, 2], x + w) - np.maximum(k[:, 0], x)
+        high = np.minimum(k[:, 1] + k[:, 3], y + h) - np.maximum(k[:, 1], y)
+        shared = np.maximum(0, wide) * np.maximum(0, high)
+        if (shared / (k[:, 2] * k[:, 3] + w * h - shared + 1e-6) >= self.limit).any():
             return []
-        self.kept.append(box)
+        self.kept = np.vstack([k, [(x, y, w, h)]])
         return [(self.group, item)]
 
 
 def greedy_boxes(boxes: DataFrame, *, group: str, item: str, limit: float = 0.3) -> DataFrame:
-    """Boxes (x, y, w, h) that stay when each, largest first, drops those that overlap it by ``limit`` or more."""
+    """Boxes (x, y, w, h) that stay when each, largest first, drops those that overlap it by more than ``limit``."""
     kinds = dict(boxes.dtypes)
-    return fold_sorted(boxes.select(group, item, "x", "y", "w", "h"), group, [F.desc(F.col("w") * F.col("h")), item], f"{group} {kinds[group]}, {item} {kinds[item]}", lambda g: _Boxes(g, limit))
+    return fold_sorted(boxes.select(group, item, "x", "y", "w", "h"), group, [F.desc(F.col("w") * F.col("h")), item, "x", "y"], f"{group} {kinds[group]}, {item} {kinds[item]}", lambda g: _Boxes(g, limit))

@@ -25,9 +25,12 @@ def circular_mean(degrees: Column) -> Column:
 
 
 def z_scores(rows: DataFrame, keys: list[str], value: str, least: float = 1e-6) -> DataFrame:
-    """``z`` of each row within its group, by population deviation."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn("z", (F.col(value) - F.avg(value).over(w)) / (F.stddev_pop(value).over(w) + least))
+    """``z`` of each row within its group, by population deviation; rows without a group have none.
+
+    Groups are aggregated map-side and joined back, so that a large one stays spread.
+    """
+    stats = rows.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_dev"))
+    return rows.join(stats, keys, "left").withColumn("z", (F.col(value) - F.col("_mean")) / (F.col("_dev") + least)).drop("_mean", "_dev")
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, *keys: str) -> DataFrame:

@@ -38,11 +38,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_
     """
     if k <= 0:
         return vectors.limit(0).select(F.col(id_col).alias("query_id"), id_col, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_query"))
-    rows = vectors if keep is None else vectors.where(keep)
+    # Norms are taken once for each vector, not for each pair.
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_query"), norm(F.col(vec_col)).alias("_query_norm"))
+    rows = (vectors if keep is None else vectors.where(keep)).select(id_col, vec_col, norm(F.col(vec_col)).alias("_norm"))
     small = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
     pairs = rows.join(F.broadcast(asked), F.lit(True)) if small else rows.hint("shuffle_replicate_nl").crossJoin(asked)
-    scored = pairs.select("query_id", id_col, F.round(cosine(F.col(vec_col), F.col("_query")), rounded).alias("score"))
+    size = F.col("_norm") * F.col("_query_norm")
+    scored = pairs.select("query_id", id_col, F.round(F.when(size == 0, F.lit(0.0)).otherwise(dot(F.col(vec_col), F.col("_query")) / size), rounded).alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
