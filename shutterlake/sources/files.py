@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "tif", "tiff", "bmp")
+#: Suffixes of cameras' raw files.
+RAW_SUFFIXES = ("arw", "cr2", "cr3", "dng", "nef", "nrw", "orf", "pef", "raf", "raw", "rw2", "sr2", "srf", "srw", "x3f", "3fr", "erf", "kdc", "mef", "mos", "mrw", "iiq")
 
 
 def suffix(path: Column) -> Column:
@@ -29,10 +31,18 @@ def find_images(spark: SparkSession, folder: str, *, recursive: bool = False, su
     return files.select("path", "length", "modificationTime").where(suffix(F.col("path")).isin(*suffixes))
 
 
+def folder_or_list(spark: SparkSession, paths: str | list[str], *, raw: bool = False, recursive: bool = False) -> DataFrame:
+    """``path, length, modificationTime`` of a folder's images or of the files named, by path; with camera raw files if asked for."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+    return files.select("path", "length", "modificationTime").where(suffix(F.col("path")).isin(*IMAGE_SUFFIXES, *(RAW_SUFFIXES if raw else ()))).orderBy("path")
+
+
 def read_images(spark: SparkSession, folder: str, *, recursive: bool = False) -> DataFrame:
-    """``path, image``: decoded PNG files; image is null where a file can't be decoded."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.where(suffix(F.col("path")) == "png").select("path", png_image("content").alias("image"))
+    """``path, image``: JPEG, PNG, BMP, GIF and TIFF files decoded by Spark's image source, as BGR or grey; null where a file can't be decoded."""
+    files = spark.read.format("image").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+    i = F.col("image")
+    kept = files.where(suffix(i["origin"]).isin(*IMAGE_SUFFIXES))
+    return kept.select(i["origin"].alias("path"), F.when(i["height"] > 0, F.struct(i["height"].alias("h"), i["width"].alias("w"), i["nChannels"].alias("c"), i["data"].alias("data"))).alias("image"))
 
 
 def assets(spark: SparkSession, root: str) -> DataFrame:
@@ -71,49 +81,6 @@ def safe_key(key: Column) -> Column:
     return F.when(F.size(parts) > 0, F.array_join(parts, "/"))
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """8-bit grey, RGB or RGBA without interlacing, as BGR."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("no PNG")
-    at, packed, head = 8, b"", None
-    while at < len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
-        body = data[at + 8 : at + 8 + size]
-        at += size + 12
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", body)
-        elif kind == b"IDAT":
-            packed += body
-    w, h, depth, colour, _, _, interlace = head
-    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
-    if depth != 8 or interlace or channels is None:
-        raise ValueError("this kind of PNG is not read")
-    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * channels)
-    out = np.zeros((h, w * channels), np.int32)
-    for y in range(h):
-        line, up = raw[y, 1:].astype(np.int32), out[y - 1] if y else np.zeros(w * channels, np.int32)
-        kind = raw[y, 0]
-        if kind == 0:
-            out[y] = line
-        elif kind == 2:
-            out[y] = (line + up) & 255
-        elif kind == 1:
-            out[y] = (np.cumsum(line.reshape(w, channels), 0) & 255).ravel()
-        else:
-            for x in range(w * channels):
-                left = out[y, x - channels] if x >= channels else 0
-                corner = up[x - channels] if x >= channels else 0
-                if kind == 3:
-                    guess = (left + up[x]) // 2
-                else:
-                    p = left + up[x] - corner
-                    a, b, c = abs(p - left), abs(p - up[x]), abs(p - corner)
-                    guess = left if a <= b and a <= c else up[x] if b <= c else corner
-                out[y, x] = (line[x] + guess) & 255
-    image = out.astype(np.uint8).reshape(h, w, channels)
-    return np.repeat(image[..., :1], 3, 2) if channels < 3 else image[..., 2::-1]
-
-
 def encode_png(image: np.ndarray) -> bytes:
     """BGR or grey."""
     colour = image.ndim == 3
@@ -123,25 +90,36 @@ def encode_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 2 if colour else 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw, 6)) + part(b"IEND", b"")
 
 
-_IMAGE = T.StructType([T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("data", T.BinaryType())])
+@F.pandas_udf(T.BinaryType())
+def png(images: pd.DataFrame) -> pd.Series:
+    """Files of image structs (h, w, c, data); null for a null image."""
+    shape = lambda r: (r.h, r.w) if r.c == 1 else (r.h, r.w, r.c)
+    return pd.Series([None if r.data is None else encode_png(np.frombuffer(r.data, np.uint8).reshape(shape(r))[..., : 3 if r.c > 1 else None]) for r in images.itertuples()])
+
+
+def with_orientation(image: np.ndarray, orientation: int) -> np.ndarray:
+    """The pixels as they are to be seen, for the eight values of the orientation tag; others leave them."""
+    turned = np.swapaxes(image, 0, 1) if orientation in (5, 6, 7, 8) else image
+    if orientation in (3, 4, 7, 8):
+        turned = turned[::-1]
+    return turned[:, ::-1] if orientation in (2, 3, 6, 7) else turned
 
 
-@F.pandas_udf(_IMAGE)
-def png_image(contents: pd.Series) -> pd.DataFrame:
-    rows = []
-    for data in contents:
-        try:
-            x = decode_png(data)
-            rows.append((x.shape[0], x.shape[1], 3, np.ascontiguousarray(x).tobytes()))
-        except Exception:  # unreadable files are rows without an image
-            rows.append((None, None, None, None))
-    return pd.DataFrame(rows, columns=["h", "w", "c", "data"])
+def report_lines(rows: DataFrame, order: str, comments: list[str], summary: list) -> DataFrame:
+    """Lines of a report: comments, the header, a line a row, and a summary."""
+    columns = [c for c in rows.columns if c != order]
+    head = [*(f"# {c}" for c in comments), ",".join(columns)]
+    lines = [(-2, k, line) for k, line in enumerate(head)] + [(1, 0, ",".join("" if v is None else str(v) for v in summary))]
+    fixed = rows.sparkSession.createDataFrame(lines, "part int, place long, value string")
+    body = rows.select(F.lit(0).alias("part"), F.col(order).cast("long").alias("place"), F.to_csv(F.struct(*columns), {"quote": '"', "escape": '"'}).alias("value"))
+    return fixed.unionByName(body)
 
 
-def write_report(rows: DataFrame, path: str, summary: DataFrame) -> None:
-    """A CSV file of the rows and a last summary row; reports are small by nature."""
-    both = rows.withColumn("_last", F.lit(0)).unionByName(summary.withColumn("_last", F.lit(1)), allowMissingColumns=True)
-    both.coalesce(1).sortWithinPartitions("_last").drop("_last").write.mode("overwrite").option("header", "true").csv(path)
+def write_report(rows: DataFrame, path: str, *, order: str, comments: list[str], summary: list) -> None:
+    """One UTF-8 file with a byte order mark, for spreadsheets; reports are small by nature."""
+    lines = report_lines(rows, order, comments, summary).repartition(1).sortWithinPartitions("part", "place")
+    first = F.when((F.col("part") == -2) & (F.col("place") == 0), F.lit("\ufeff")).otherwise("")
+    lines.select(F.concat(first, "value").alias("value")).write.mode("overwrite").text(path)
 
 
 def retry_delays(attempt: int, base: float = 2.0, most: int = 3) -> float | None:
