@@ -603,3 +603,4 @@ def image_scores(spark, sf):
 
 
 from shutterlake import measure_queries  # noqa: E402, F401  (registers its queries)
+from shutterlake import region_queries  # noqa: E402, F401

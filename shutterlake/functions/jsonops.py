@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 BUCKETS = 1024
 
 STAGE = "struct<name:string,applied:boolean,skipped:boolean,error:string,duration_ms:double>"
+FULL_STAGE = "struct<name:string,applied:boolean,skipped:boolean,error:string,duration_ms:double,warnings:array<array<string>>,metrics:map<string,double>,reason:string,artifacts:map<string,string>>"
 
 
 def to_report(stages: Column) -> Column:
@@ -28,6 +29,27 @@ def from_report(text: Column) -> Column:
     return F.transform(kept, lambda s: F.struct(F.coalesce(s["name"], F.lit("")).alias("name"), F.coalesce(s["applied"], F.lit(False)).alias("applied"), F.coalesce(s["skipped"], F.lit(False)).alias("skipped"), s["error"].alias("error"), F.coalesce(s["duration_ms"], F.lit(0.0)).alias("duration_ms")))
 
 
+def full_report(job_id: Column, stages: Column, duration_ms: Column, halted: Column) -> Column:
+    """A job's report as JSON: its stages with their warnings (pairs), metrics, reasons and artifacts."""
+    return F.to_json(F.struct(job_id.alias("job_id"), duration_ms.alias("duration_ms"), halted.alias("halted"), stages.alias("stages")))
+
+
+def read_full_report(text: Column) -> Column:
+    """``job_id, duration_ms, halted, stages`` of such a JSON text; what is missing takes its default, and only pairs are warnings."""
+    read = F.from_json(text, f"struct<job_id:string,duration_ms:double,halted:boolean,stages:array<{FULL_STAGE}>>")
+    kept = F.filter(F.coalesce(read["stages"], F.array().cast(f"array<{FULL_STAGE}>")), lambda s: s.isNotNull())
+
+    def whole(s):
+        flag = lambda n: F.coalesce(s[n], F.lit(False)).alias(n)
+        pairs = F.filter(F.coalesce(s["warnings"], F.array().cast("array<array<string>>")), lambda w: F.size(w) == 2)
+        return F.struct(
+            F.coalesce(s["name"], F.lit("")).alias("name"), flag("applied"), flag("skipped"), s["error"].alias("error"), F.coalesce(s["duration_ms"], F.lit(0.0)).alias("duration_ms"), pairs.alias("warnings"),
+            F.coalesce(s["metrics"], F.create_map().cast("map<string,double>")).alias("metrics"), F.coalesce(s["reason"], F.lit("")).alias("reason"), F.coalesce(s["artifacts"], F.create_map().cast("map<string,string>")).alias("artifacts"),
+        )
+
+    return F.struct(F.coalesce(read["job_id"], F.lit("")).alias("job_id"), F.coalesce(read["duration_ms"], F.lit(0.0)).alias("duration_ms"), F.coalesce(read["halted"], F.lit(False)).alias("halted"), F.transform(kept, whole).alias("stages"))
+
+
 def names_where(stages: Column, test) -> Column:
     return F.transform(F.filter(stages, test), lambda s: s["name"])
 
@@ -49,6 +71,15 @@ def stable_id(namespace: str, text: Column) -> Column:
     return F.sha1(F.concat(F.lit(f"{namespace}|"), text))
 
 
+def photo_id(height: Column, width: Column, channels: Column, features: Column, namespace: str = "pps") -> Column:
+    """SHA-1 of a namespace, the photo's shape as 64-bit and its perceptual hash as 32-bit little-endian numbers."""
+    swapped = lambda hex_, n: F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(hex_, i * 2 + 1, F.lit(2)))), "")
+    shape = F.concat(*[swapped(F.lpad(F.hex(v.cast("long")), 16, "0"), 8) for v in (height, width, channels)])
+    # The features are zeros and ones, whose float patterns are fixed.
+    bits = F.array_join(F.transform(features, lambda f: F.when(f == 1, "0000803F").otherwise("00000000")), "")
+    return F.sha1(F.concat(F.encode(F.lit(namespace), "utf-8"), F.unhex(F.concat(shape, bits))))
+
+
 def u64(digest: Column) -> Column:
     """The first 16 hex digits as an unsigned number, which a bigint can't hold."""
     return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")

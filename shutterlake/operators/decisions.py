@@ -27,7 +27,8 @@ def codes_where(rules: Sequence[tuple[str, Column]]) -> Column:
 
 
 def clipped(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """Null for null, which ``least`` and ``greatest`` would pass over."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 # --- capture checks -------------------------------------------------------------

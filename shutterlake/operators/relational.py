@@ -108,3 +108,25 @@ def progress(rows: DataFrame, group: str, order: str) -> DataFrame:
     """Position, size of the group and percent done, 5 + int(90 * i / n), row by row."""
     w = Window.partitionBy(group)
     return rows.withColumn("i", F.row_number().over(w.orderBy(order))).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("progress_pct", (F.lit(5) + F.floor(90 * F.col("i") / F.col("n"))).cast("int"))
+
+
+def running_verdicts(rows: DataFrame, group: str, order: str, verdict: str, names: Sequence[str]) -> DataFrame:
+    """How many rows of each verdict a group has seen so far, as ``n_<verdict>``."""
+    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("*", *[F.count_if(F.col(verdict) == n).over(w).alias(f"n_{n}") for n in names])
+
+
+def report_table(hits: DataFrame, *, sources: Sequence[str], source: str = "source", order: str = "stars") -> DataFrame:
+    """``source, place, line``: a Markdown table row for each hit, sources in their order, the most starred first.
+
+    Tags are cut to five, descriptions to 200 characters; bars are escaped and line breaks blank.
+    """
+    rank = first = F.lit(len(sources))
+    for k, name in enumerate(sources):
+        first = F.when(F.col(source) == name, k).otherwise(first)
+    rank = first
+    text = F.left(F.replace(F.replace(F.coalesce("description", F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")), F.lit(200))
+    stars = F.coalesce(F.col(order).cast("string"), F.lit(""))
+    cells = [F.concat(F.lit("["), "name", F.lit("]("), "url", F.lit(")")), stars, F.coalesce("pushed_at", F.lit("")), F.array_join(F.slice(F.coalesce("tags", F.array().cast("array<string>")), 1, 5), ", "), text]
+    place = F.row_number().over(Window.partitionBy(source).orderBy(F.desc_nulls_last(order), "name"))
+    return hits.select(source, rank.alias("_rank"), place.alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")).where(F.col("_rank") < len(sources)).drop("_rank")

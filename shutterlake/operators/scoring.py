@@ -156,3 +156,19 @@ def ranked(rows: DataFrame, score: str, key: str, n: int) -> DataFrame:
     """The n best, with ``place``: a top-k first, then a window over these n rows alone."""
     best = rows.orderBy(F.desc(score), key).limit(n)
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc(score), key)))
+
+
+def guarded(steps: DataFrame, key: str, *, order: str, before: str, after: str, weight: str) -> DataFrame:
+    """``n_rolled_back, before, after, weak`` of each photo's chain of agents.
+
+    A step whose score falls by more than half a point is taken back, so it counts with
+    its score before.  Means are weighted; weak are the kept scores below 8, least first.
+    """
+    back = rolled_back(F.col(before), F.col(after))
+    kept = F.when(back, F.col(before)).otherwise(F.col(after))
+    rows = steps.withColumn("_kept", kept).withColumn("_back", back)
+    weak = F.collect_list(F.when(F.col("_kept") < 8, F.struct("_kept", order)))
+    out = rows.groupBy(key).agg(
+        F.count_if("_back").alias("n_rolled_back"), weighted_mean(F.col(before), F.col(weight)).alias("before"), weighted_mean(F.col("_kept"), F.col(weight)).alias("after"), F.transform(F.array_sort(weak), lambda x: x[order]).alias("weak")
+    )
+    return out.withColumn("grade", grade(F.col("after")))

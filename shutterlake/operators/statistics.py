@@ -96,3 +96,35 @@ def pair_metrics(a: Column, b: Column, peak: float = 1.0) -> dict[str, Column]:
     c1, c2 = (0.01 * peak) ** 2, (0.03 * peak) ** 2
     ssim = (2 * ma * mb + c1) * (2 * cov + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
     return {"mse": mse, "mae": total(F.transform(gaps, F.abs)) / n, "psnr": psnr(mse, peak), "ssim": ssim}
+
+
+def array_quality(a: Column, b: Column) -> dict[str, Column]:
+    """max_diff and the ratio of different values of two arrays of equal length; ``pair_metrics`` has the rest."""
+    gaps = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+    return {"max_diff": F.array_max(gaps), "different": F.size(F.filter(gaps, lambda d: d > 0)) / F.size(a)}
+
+
+def quality_summary(pairs: DataFrame, *, key: str, max_pairs: int | None = None) -> DataFrame:
+    """Means of psnr and ssim over pairs without an error, their number and that of failures; the first ``max_pairs`` by key if given."""
+    rows = pairs if max_pairs is None else pairs.orderBy(key).limit(max_pairs)
+    good = F.col("error").isNull()
+    return rows.agg(F.avg(F.when(good, F.col("psnr"))).alias("psnr_mean"), F.avg(F.when(good, F.col("ssim"))).alias("ssim_mean"), F.count_if(good).alias("n"), F.count_if(~good).alias("failures"))
+
+
+def lab_anchor(pixels: DataFrame, least: int = 50) -> DataFrame:
+    """``l, a, b`` medians of a photo's mid-tones (50 < L < 220), ``n`` of these, and ``hue``, the mean weighted by saturation.
+
+    ``pixels``: photo_id, l, a, b, hue, saturation.  Photos with fewer mid-tones than ``least`` have no row.
+    """
+    mid = (F.col("l") > 50) & (F.col("l") < 220)
+    weight = F.col("saturation") + 1
+    m = pixels.groupBy("photo_id").agg(F.count_if(mid).alias("n"), *[median(F.when(mid, F.col(c))).alias(c) for c in ("l", "a", "b")], (F.sum(F.col("hue") * weight) / F.sum(weight)).alias("hue"))
+    return m.where(F.col("n") >= least)
+
+
+def lab_shift(photos: DataFrame, target: DataFrame, strength: float = 0.6, most: float = 14.0) -> DataFrame:
+    """``shift_a, shift_b`` of each photo towards the medians of all (one row ``a, b``); 0 where both are below 0.4 or mid-tones are few."""
+    rows = photos.join(F.broadcast(target.select(F.col("a").alias("_a"), F.col("b").alias("_b"))), F.lit(True))
+    moves = {c: anchor_shift(F.col(c), F.col(f"_{c}"), strength, most) for c in "ab"}
+    skip = (F.col("n") < 100) | ((F.abs(moves["a"]) < 0.4) & (F.abs(moves["b"]) < 0.4))
+    return rows.select("photo_id", *[F.when(skip, 0.0).otherwise(v).alias(f"shift_{c}") for c, v in moves.items()])

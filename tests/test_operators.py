@@ -212,3 +212,37 @@ def test_rules_of_border_values(spark):
     assert tuple(one(d.best_label(F.create_map().cast("map<string,double>")))) == ("unknown", 0.0)
     assert [one(d.api_key(lit(k))) and tuple(one(d.api_key(lit(k)))) for k in ("pps_live_" + "a1" * 16, "pps_live_" + "a" * 31, "x")] == [("live", "a1" * 16), None, None]
     assert [tuple(one(d.id_and_label(lit(s)))) for s in ("12_angle_left", "loose", "_x")] == [("12", "angle_left"), ("", "loose"), ("", "_x")]
+
+
+def test_photo_ids_are_made_of_bytes(spark):
+    import hashlib
+
+    import numpy as np
+
+    bits = [1, 0, 1] + [0] * 61
+    row = spark.createDataFrame([(480, 300_000, 3, bits)], "h int, w int, c int, f array<int>")
+    want = hashlib.sha1(b"pps" + np.array([480, 300_000, 3], "<i8").tobytes() + np.array(bits, "<f4").tobytes()).hexdigest()
+    assert row.select(jsonops.photo_id(*[F.col(k) for k in "hwcf"]).alias("i")).first()["i"] == want
+
+
+def test_replies_of_all_kinds(spark):
+    from shutterlake.operators import regions
+
+    texts = ['{"points": [[10, 20], [5000, -3], ["x", 1], [7]]}', 'so: {"window": [3.9, 4], "lamp": [[1, 2]], "note": "x", "none": []} end', '{"points": []}', "nothing", None, "[1, 2]"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k")
+    got = [r["m"] for r in rows.select(regions.reply_points(F.col("t"), F.lit(100), F.lit(200)).alias("m")).collect()]
+    plain = [{k: [tuple(p) for p in v] for k, v in (m or {}).items()} for m in got]
+    assert plain == [{"ceiling": [(10, 20), (199, 0)]}, {"window": [(3, 4)], "lamp": [(1, 2)]}, {}, {}, {}, {}]
+
+
+def test_borders_of_second_differences_mirror(spark):
+    import numpy as np
+
+    from shutterlake.operators import regions
+
+    x = np.random.default_rng(2).integers(0, 99, (5, 4)).astype(float)
+    wide = np.pad(x, 1, mode="reflect")
+    want = wide[:-2, 1:-1] + wide[2:, 1:-1] + wide[1:-1, :-2] + wide[1:-1, 2:] - 4 * x
+    rows = spark.createDataFrame([(1, y, k, float(x[y, k])) for y in range(5) for k in range(4)], "photo_id int, y int, x int, v double")
+    got = {(r["y"], r["x"]): r["lap"] for r in regions.laplacians(rows, F.col("v")).collect()}
+    assert all(got[y, k] == want[y, k] for y in range(5) for k in range(4))
