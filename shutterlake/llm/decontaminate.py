@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.llm import store
+
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»¿¡*#|…-–—"
 
 
@@ -350,7 +352,7 @@ def find_leaks(
     p = params
     kinds = docs.select(id_col).dtypes[0][1], items.select(item_id_col).dtypes[0][1]
     schema = f"{id_col} {kinds[0]}, {item_id_col} {kinds[1]}, score double, question_overlap double, answer_overlap double, leaked boolean"
-    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    texts = store.spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")))
     found = None
     for index in indexes(items, p, item_id_col, item_text_col):
         shared = spark.sparkContext.broadcast(index)
@@ -388,6 +390,7 @@ def remove_leaks(
     each by itself.  No rows: no rows.  Columns may have any names.
     """
     spark = docs.sparkSession
+    docs = store.spread(docs)
     for index in indexes(items, params, item_id_col, item_text_col):
         shared = spark.sparkContext.broadcast(index)
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.llm import store
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "routing", "phone_national")
 
@@ -186,7 +188,7 @@ def pii_spans(docs: DataFrame, params: PiiParams = PiiParams(), *, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))], names=[id_col, "spans"])
 
     kind = dict(docs.select(id_col).dtypes)[id_col]
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(scan, f"{id_col} {kind}, spans {REPORT}")
+    return store.spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))).mapInArrow(scan, f"{id_col} {kind}, spans {REPORT}")
 
 
 def pii_digest(docs: DataFrame, params: PiiParams = PiiParams(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.llm import store
+
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 #: Up to so many repeated hashes, windows are looked up in the list of them.
@@ -174,7 +176,8 @@ def judge_quality(
     test rejects nothing.  Repeated rows and null ids stay as they are; further
     columns are not looked at.  One narrow stage: no shuffle at any size.
     """
-    q = docs.select(F.col(id_col), quality_report(F.col(text_col), F.col(lang_col), params).alias("_q"))
+    rows = store.spread(docs.select(F.col(id_col), F.col(text_col), F.col(lang_col)))
+    q = rows.select(F.col(id_col), quality_report(F.col(text_col), F.col(lang_col), params).alias("_q"))
     return q.select(F.col(id_col), *[F.col(f"_q.{f}").alias(f) for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")])
 
 
@@ -184,4 +187,4 @@ def keep_good(docs: DataFrame, params: QualityParams = QualityParams(), *, text_
     Null and empty texts fail the base rules and go; very long ones are judged
     whole; repeated rows and null ids are judged each by itself.  No rows: no rows.
     """
-    return docs.where(quality_report(F.col(text_col), F.col(lang_col), params)["kept"])
+    return store.spread(docs).where(quality_report(F.col(text_col), F.col(lang_col), params)["kept"])

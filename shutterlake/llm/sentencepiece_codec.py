@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.llm import store
+
 BAR = "▁"
 
 
@@ -266,7 +268,7 @@ def digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_co
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
+    return store.spread(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")))
 
 
 def _kind(docs: DataFrame, id_col: str) -> str:

@@ -85,6 +85,15 @@ def remove(uri: str) -> None:
         system.delete_file(path)
 
 
+def spread(rows):
+    """Rows of fewer files than the session has cores, dealt over all cores: a file may be one row group, which is one task.
+
+    Tables of many files are left as they are; the shuffle is of a few files at most.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+
+
 def materialize(df, name: str):
     """Writes a frame below the shared folder and reads it back: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession

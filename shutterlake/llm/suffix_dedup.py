@@ -406,7 +406,7 @@ RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _answers(docs: DataFrame, folder: str, length: int, buckets: int, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = store.spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
 
     def first(table: pa.Table) -> pa.Table:
         messages = _messages(table)
