@@ -23,8 +23,8 @@ DEFAULT_RULES = (
     ("allow", "org/fr/"),
 )
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Hosts of one registered domain are dealt over this many sweeps.
-DOMAIN_SALTS = 8
+#: Copies of rules that may be sent to sweeps in all; fewer rules let the hosts of one domain be dealt over more sweeps.
+COPIES = 10_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -94,21 +94,23 @@ def _bucket(domain: Column, salt: Column, buckets: int) -> Column:
 def sweep_hosts(hosts: DataFrame, rules: DataFrame, buckets: int) -> DataFrame:
     """Distinct ``host`` -> ``stack``, the rules whose host interval holds it (null: none).
 
-    Sweeps are dealt by the first two labels and a salt.  A rule of two labels or
-    more is sent to its domain's salts, a shorter one to every bucket, so the
-    number of copies of a rule has a fixed bound that hosts don't raise.
+    Hosts are dealt over all sweeps and every rule is sent to each, as long as that
+    makes no more than ``COPIES`` rows.  With more rules, hosts are dealt by their
+    first two labels and a salt, a rule of two labels or more goes to its domain's
+    salts and a shorter one everywhere: as many salts as the bound allows.
     """
-    domain = F.substring_index(F.col("key"), ".", 2)
+    salts = max(1, min(buckets, COPIES // max(1, rules.count())))
+    domain = F.substring_index(F.col("key"), ".", 2) if salts < buckets else F.lit("")
+    salt = F.pmod(F.xxhash64("host"), F.lit(salts)).cast("int")
     points = hosts.select("host", host_key(F.col("host")).alias("key")).select(
-        _bucket(domain, F.pmod(F.xxhash64("host"), F.lit(DOMAIN_SALTS)).cast("int"), buckets).alias("bucket"),
-        "key", F.lit(2).alias("kind"), "host", F.lit(None).cast(ENTRIES).alias("stack"),
+        (_bucket(domain, salt, buckets) if salts < buckets else salt).alias("bucket"), "key", F.lit(2).alias("kind"), "host", F.lit(None).cast(ENTRIES).alias("stack"),
     )
-    deep = F.size(F.split(F.col("key"), r"\.")) > 2
+    deep = (F.size(F.split(F.col("key"), r"\.")) > 2) & F.lit(salts < buckets)
     everywhere = F.sequence(F.lit(0), F.lit(buckets - 1))
-    salts = F.transform(F.sequence(F.lit(0), F.lit(DOMAIN_SALTS - 1)), lambda s: _bucket(domain, s, buckets))
+    of_domain = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: _bucket(domain, s, buckets))
     bounds = (
         _rule_stacks(rules)
-        .withColumn("bucket", F.explode(F.when(deep, F.array_distinct(salts)).otherwise(everywhere)))
+        .withColumn("bucket", F.explode(F.when(deep, F.array_distinct(of_domain)).otherwise(everywhere)))
         .select(
             "bucket",
             F.explode(F.array(

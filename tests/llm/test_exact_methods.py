@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shutterlake.llm import decontaminate, license_scan, minhash_dedup, pii, quality_rules, sentencepiece_codec, store, suffix_dedup, token_output, warc
+from shutterlake.llm import decontaminate, license_scan, minhash_dedup, pii, quality_rules, sentencepiece_codec, store, suffix_dedup, token_output, url_filter, warc
 from shutterlake.llm.queries import vocabulary
 from shutterlake.llm.sentencepiece_codec import MergeCodec
 from shutterlake.llm.suffix_sort import permuted_prefixes, suffix_array
@@ -611,3 +611,24 @@ def test_stages_on_odd_rows_and_none(spark, docs, odd_rows, stage, tmp_path):
     if name in ("personal_data", "encoding"):
         assert out.count() == len(odd_rows) + 1
     assert step(spark, docs([]), str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("copies", [10**7, 600, 1])
+def test_urls_against_every_rule(spark, copies, monkeypatch):
+    """However few copies of rules may be sent, each host gets the rules that a plain search finds."""
+    monkeypatch.setattr(url_filter, "COPIES", copies)
+    r = random.Random(9)
+    labels = ["a", "b", "co", "uk", "net", "x1"]
+    host = lambda: ".".join(r.choice(labels) for _ in range(r.randrange(1, 5)))
+    rules = [(r.choice(["allow", "block"]), f"{host()}{r.choice(['/', '/p', '/p/q', ''])}") for _ in range(60)]
+    urls = [f"http://{host()}{r.choice(['/', '/p/q/r', '', '/x'])}" for _ in range(300)]
+    best = []
+    for k, url in enumerate(urls):
+        h, slash, rest = url[7:].partition("/")
+        path = slash + rest
+        fits = [(len(x), len(x.partition("/")[0]), x, v) for v, x in set(rules) if (h == (n := x.partition("/")[0]) or h.endswith("." + n)) and path.startswith(x[len(n) :])]
+        top = max(fits, default=(0, 0, None, "allow"), key=lambda f: f[:3])
+        best.append((k, h, path, top[2]))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = url_filter.judge_urls(pages, url_filter.rules_frame(spark, rules), buckets=16)
+    assert sorted((x["page_id"], x["host"], x["path"], x["rule"]) for x in out.collect()) == best
