@@ -602,5 +602,38 @@ def image_scores(spark, sf):
     return rows.mapInPandas(score, "photo_id long, exposure double, white_balance double, sharpness double, noise double, composition double")
 
 
+@query()
+def image_audit(spark, sf):
+    """The auditor's report on generated photos: its scores by the NumPy kernels, weighted, graded and summed up.
+
+    Verticals need lines, which no kernel here detects, so that category doesn't apply.
+    """
+    import pandas as pd
+
+    from shutterlake.functions import imaging
+    from shutterlake.operators import decisions
+
+    def score(batches):
+        import numpy as np
+
+        for batch in batches:
+            rows = []
+            for k, size in zip(batch["p_partkey"], batch["p_size"], strict=True):
+                y, x = np.mgrid[0:48, 0:64]
+                image = np.stack([150 + (x * 2 + k) % 90, 120 + (y * 3 + size) % 100, 90 + (x // 8 * 40 + k) % (60 + size)], -1).astype(np.uint8)
+                found = {
+                    "exposure": imaging.exposure(image), "white_balance": imaging.colour_cast(image), "sharpness": imaging.sharpness(image), "color_richness": imaging.colour_richness(image), "vertical_alignment": {"score": None},
+                    "halo": imaging.halo(image), "sky_quality": imaging.sky(image, k % 3 == 0), "noise": imaging.noise(image), "composition": imaging.composition(image),
+                }
+                rows += [(k, name, m["score"]) for name, m in found.items()]
+            yield pd.DataFrame(rows, columns=["photo_id", "category", "score"])
+
+    rows = table(spark, sf, "part").select("p_partkey", "p_size").mapInPandas(score, "photo_id long, category string, score double")
+    card = scoring.scorecard(rows.withColumn("applicable", F.col("score").isNotNull()), "photo_id")
+    scene = F.when(F.col("photo_id") % 3 == 0, "exterior").otherwise("interior")
+    weak = F.filter(F.split("weak", ","), lambda w: w != "")
+    return card.select("photo_id", "overall", "grade", "weak", decisions.audit_summary(scene, F.col("overall"), weak).alias("summary"))
+
+
 from shutterlake import measure_queries  # noqa: E402, F401  (registers its queries)
 from shutterlake import region_queries  # noqa: E402, F401

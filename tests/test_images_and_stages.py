@@ -222,3 +222,26 @@ def test_kernels_by_their_formulas():
     hazy = np.clip(img * 0.3 + 160, 0, 255).astype(np.uint8)
     assert imaging.dehaze(hazy, 0.8).std() > hazy.std() and (imaging.dehaze(hazy, 0.0) == hazy).all()
     assert imaging.quadrants(np.arange(16.0).reshape(4, 4))[:4].tolist() == [2.5, pytest.approx(np.std([0, 1, 4, 5])), 0.0, 5.0]
+
+
+def test_edges_and_halos():
+    step = np.zeros((30, 40), np.uint8)
+    step[:, 20:] = 200
+    found = imaging.edges(step, 80, 200) > 0
+    assert found.any(axis=1).all() and set(np.nonzero(found)[1]) <= {19, 20} and (found.sum(axis=1) == 1).all()
+    faint = (step // 200 * 10).astype(np.uint8)
+    assert not imaging.edges(faint, 80, 200).any()
+    flat = np.full((30, 40, 3), 90, np.uint8)
+    assert imaging.halo(flat)["score"] == 9.5 and imaging.halo(np.repeat(step[..., None], 3, 2))["score"] < 5
+    assert imaging.colour_richness(flat)["score"] == 4.5 and imaging.sky(flat, False)["score"] is None and imaging.sky(flat + 100, True)["score"] == 5.5
+
+
+def test_audit_of_every_part(spark):
+    from shutterlake import catalog
+
+    rows = catalog.queries()["image_audit"](spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len({r["photo_id"] for r in rows}) == 200
+    for r in rows:
+        weak = [w for w in r["weak"].split(",") if w]
+        assert 0 < r["overall"] <= 10 and len(weak) <= 3 and "vertical_alignment" not in weak and (r["photo_id"] % 3 == 0 or "sky_quality" not in weak)
+        assert r["summary"].startswith(("Solid", "Strong", "Exterior" if r["photo_id"] % 3 == 0 else "Interior", "Listing"))
