@@ -1,7 +1,8 @@
 """Suffix arrays by induced sorting.
 
 Over few values NumPy does a bucket's work at a time; over many (the strings of
-names, whose buckets hold a few suffixes each) suffixes are induced one by one.
+names, whose buckets hold a few suffixes each) LMS substrings are sorted by their
+symbols and suffixes are induced one by one.
 
 Suffixes are classified as smaller (S) or larger (L) than their right neighbour.
 Leftmost S suffixes (LMS) split the text into substrings; one induced pass sorts
@@ -158,6 +159,34 @@ def _named(t: np.ndarray, ordered: np.ndarray, lms: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(~same)])
 
 
+def _sorted_substrings(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """A name for each LMS substring in text order, by sorting them symbol after symbol; equal ones get one name.
+
+    A symbol counts with its type (larger suffixes before smaller ones), so that equal
+    substrings end together; part ends are distinct symbols before all others.  Only
+    what is tied so far is looked at again.
+    """
+    ends = t == 0
+    symbol = 2 * np.where(ends, np.cumsum(ends) - 1, t + int(ends.sum())) + is_s
+    length = np.diff(np.append(lms, len(t) - 1)) + 1
+    # The place in order at which a group of equals begins.
+    rank = np.zeros(len(lms), np.int64)
+    live, k = np.arange(len(lms)), 0
+    while len(live):
+        key, own = symbol[lms[live] + k], rank[live]
+        order = np.lexsort((key, own))
+        live, key, own = live[order], key[order], own[order]
+        new_group = np.concatenate([[True], own[1:] != own[:-1]])
+        new_block = new_group | np.concatenate([[True], key[1:] != key[:-1]])
+        at = np.arange(len(live))
+        group, block = np.maximum.accumulate(np.where(new_group, at, 0)), np.maximum.accumulate(np.where(new_block, at, 0))
+        rank[live] = own + block - group
+        single = new_block & np.concatenate([new_block[1:], [True]])
+        k += 1
+        live = live[~single & (length[live] > k)]
+    return np.unique(rank, return_inverse=True)[1]
+
+
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Suffixes of ``t`` (integers, 0 at the end of each part) in order."""
     t = np.asarray(t)
@@ -169,18 +198,21 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     sigma = int(t.max()) + 1
     is_s = classify(t)
     lms = np.flatnonzero((is_s & ~np.concatenate([[True], is_s[:-1]])) | (t == 0))
-    mark = np.zeros(n, bool)
-    mark[lms] = True
-    first = induce(t, is_s, lms, sigma)
-    ordered = first[mark[first]]
-    names = _named(t, ordered, lms)
-    if names[-1] < len(lms) - 1:
+    if n < BATCH * sigma:
+        names = _sorted_substrings(t, is_s, lms)
+        ordered = lms[np.argsort(names, kind="stable")]
+    else:
+        mark = np.zeros(n, bool)
+        mark[lms] = True
+        first = induce(t, is_s, lms, sigma)
+        ordered = first[mark[first]]
         at = np.empty(n, np.int64)
-        at[ordered] = names
-        reduced = at[lms]
+        at[ordered] = _named(t, ordered, lms)
+        names = at[lms]
+    if names.max() < len(lms) - 1:
         # Names of part ends are the least; they stay ends one level up.
         ends = t[lms] == 0
-        ordered = lms[suffix_array(np.where(ends, 0, reduced - int(ends.sum()) + 1))]
+        ordered = lms[suffix_array(np.where(ends, 0, names - int(ends.sum()) + 1))]
     return induce(t, is_s, ordered, sigma)
 
 
