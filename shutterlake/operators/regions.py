@@ -154,7 +154,8 @@ def focus(pixels: DataFrame, value: Column, grid: int = 3) -> DataFrame:
         tiles = rows.groupBy("photo_id", part("y", "h").alias("i"), part("x", "w").alias("j")).agg(F.var_pop("lap").alias("v"))
         return tiles.groupBy("photo_id").agg(F.avg("v").alias(f"m{k}"), F.stddev_pop("v").alias(f"s{k}"), F.min("v").alias(f"low{k}"), F.max("v").alias(f"high{k}"))
 
-    whole = rows.groupBy("photo_id").agg(F.var_pop("lap").alias("blur"))
+    # Second differences are whole numbers where values are, and their sums exact.
+    whole = rows.groupBy("photo_id").agg((F.avg(F.col("lap") * F.col("lap")) - F.avg("lap") * F.avg("lap")).alias("blur"))
     m = whole.join(spread(grid), "photo_id").join(spread(2), "photo_id")
     uneven = F.when(F.col(f"m{grid}") < 1e-3, 0.0).otherwise(F.col(f"s{grid}") / F.col(f"m{grid}"))
     uniform = F.when(F.col("high2") < 1, 0.0).otherwise(0.5 * F.col("low2") / F.col("high2") + 0.5 * F.least(F.lit(1.0), F.col("low2") / 80))

@@ -126,11 +126,11 @@ def vertical_scores(spark, sf):
 
 
 @query(PHOTOS + """, l as (select photo_id, y, x, coalesce(lag(gray) over a, lead(gray) over a) + coalesce(lead(gray) over a, lag(gray) over a) + coalesce(lag(gray) over d, lead(gray) over d) + coalesce(lead(gray) over d, lag(gray) over d) - 4 * gray as lap from hsv window a as (partition by photo_id, y order by x), d as (partition by photo_id, x order by y)),
-w as (select photo_id, var_pop(lap) as blur from l group by 1), t3 as (select photo_id, var_pop(lap) as v from l group by photo_id, floor((y * 3 + 2) / 16), floor((x * 3 + 2) / 16)), t2 as (select photo_id, var_pop(lap) as v from l group by photo_id, floor((y * 2 + 1) / 16), floor((x * 2 + 1) / 16)),
+w as (select photo_id, avg(lap * lap) - avg(lap) * avg(lap) as blur from l group by 1), t3 as (select photo_id, var_pop(lap) as v from l group by photo_id, floor((y * 3 + 2) / 16), floor((x * 3 + 2) / 16)), t2 as (select photo_id, var_pop(lap) as v from l group by photo_id, floor((y * 2 + 1) / 16), floor((x * 2 + 1) / 16)),
 a3 as (select photo_id, avg(v) as m, stddev_pop(v) as s from t3 group by 1), a2 as (select photo_id, min(v) as lo, max(v) as hi from t2 group by 1)
-select photo_id, round(blur, 1) as blur, round(case when m < 1e-3 then 0 else s / m end::double, 5) as uneven, round(case when hi < 1 then 0 else 0.5 * lo / hi + 0.5 * least(1, lo / 80) end::double, 5) as uniform from w join a3 using (photo_id) join a2 using (photo_id)""")
+select photo_id, round(blur, 3) as blur, round(case when m < 1e-3 then 0 else s / m end::double, 5) as uneven, round(case when hi < 1 then 0 else 0.5 * lo / hi + 0.5 * least(1, lo / 80) end::double, 5) as uniform from w join a3 using (photo_id) join a2 using (photo_id)""")
 def image_focus(spark, sf):
-    return regions.focus(_photos(spark, sf, N), measures.gray()).select("photo_id", F.round("blur", 1).alias("blur"), F.round("uneven", 5).alias("uneven"), F.round("uniform", 5).alias("uniform"))
+    return regions.focus(_photos(spark, sf, N), measures.gray()).select("photo_id", F.round("blur", 3).alias("blur"), F.round("uneven", 5).alias("uneven"), F.round("uniform", 5).alias("uniform"))
 
 
 # --- plans and replies ---------------------------------------------------------------------
