@@ -15,7 +15,9 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -152,11 +154,14 @@ class CachedEncoder:
 
     def _stretches(self, words: set[str], space: str) -> list[tuple[str, bytes]]:
         """Ids of each word after ``space``. Latin letters alone are one token to the pre-tokenizer, so the library's model gets them directly."""
-        letters = [w for w in words if w.isalpha() and max(w) < LATIN_END]
-        rest = list(words.difference(letters))
-        tokenize, table, dtype = self.library.model.tokenize, BYTE_LETTERS, self.dtype
-        made = [np.array([t.id for t in tokenize((space + w).encode().decode("latin-1").translate(table))], dtype).tobytes() for w in letters]
-        return [*zip(letters, made, strict=True), *zip(rest, self._whole([space + w for w in rest]), strict=True)]
+        # ASCII letters stand for their own bytes; others are spelt in the alphabet of bytes.
+        plain = [w for w in words if w.isascii() and w.isalpha()]
+        latin = [w for w in words if not w.isascii() and w.isalpha() and max(w) < LATIN_END]
+        rest = list(words.difference(plain, latin))
+        tokenize, kind, mark = self.library.model.tokenize, "HI"[self.width == 4], space.translate(BYTE_LETTERS)
+        spelt = chain((mark + w for w in plain), ((space + w).encode().decode("latin-1").translate(BYTE_LETTERS) for w in latin))
+        made = [array(kind, [t.id for t in tokenize(w)]).tobytes() for w in spelt]
+        return [*zip(chain(plain, latin), made, strict=True), *zip(rest, self._whole([space + w for w in rest]), strict=True)]
 
     def _learn(self, missing: set[str]) -> None:
         """Ids of stretches, each after a space.
@@ -185,19 +190,19 @@ class CachedEncoder:
         """The ids of each text as bytes, in order."""
         cut = [t.split(" ") if self.parts and not self.INNER_SPACE.search(t) else None for t in texts]
         first = [c[0] for c in cut if c]
-        words = {w for c in cut if c for w in c[1:]}
-        # Long stretches are asked for each time they come: what is kept has a bound in bytes.
-        long = {w for w in words if len(w) > self.LONGEST}
-        long = dict(zip(long, self._whole([" " + w for w in long]), strict=True))
-        missing = words.difference(self.known, long)
-        if self.held + sum(map(len, missing)) + 30 * len(missing) > self.LIMIT:
+        words = set(chain.from_iterable(islice(c, 1, None) for c in cut if c))
+        missing = words.difference(self.known)
+        size = sum(map(len, missing))
+        if self.held + size + 30 * len(missing) > self.LIMIT:
             self.known, self.heads, self.held = {}, {}, 0
-            missing = words.difference(long)
+            missing, size = words, sum(map(len, words))
+        # Long stretches are asked for each time they come: what is kept has a bound in bytes.
+        long = [w for w in missing if len(w) > self.LONGEST]
         before = len(self.heads)
-        self._learn(missing)
-        self.held += sum(map(len, missing)) + 30 * (len(missing) + len(self.heads) - before)
+        self._learn(missing.difference(long) if long else missing)
+        self.held += size + 30 * (len(missing) + len(self.heads) - before)
+        known = {**{w: self.known[w] for w in words.difference(long)}, **dict(zip(long, self._whole([" " + w for w in long]), strict=True))} if long else self.known
         firsts = iter(self._whole(first))
-        known = self.known if not long else {**{w: self.known[w] for w in words.difference(long)}, **long}
         for t, c in zip(texts, cut, strict=True):
             yield self._whole([t])[0] if c is None else next(firsts) + b"".join([known[w] for w in c[1:]])
 
