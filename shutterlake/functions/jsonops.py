@@ -71,7 +71,7 @@ def stable_id(namespace: str, text: Column) -> Column:
     return F.sha1(F.concat(F.lit(f"{namespace}|"), text))
 
 
-def photo_id(height: Column, width: Column, channels: Column, features: Column, namespace: str = "pps") -> Column:
+def photo_id(height: Column, width: Column, channels: Column, features: Column, namespace: str = "photo") -> Column:
     """SHA-1 of a namespace, the photo's shape as 64-bit and its perceptual hash as 32-bit little-endian numbers."""
     swapped = lambda hex_, n: F.array_join(F.reverse(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(hex_, i * 2 + 1, F.lit(2)))), "")
     shape = F.concat(*[swapped(F.lpad(F.hex(v.cast("long")), 16, "0"), 8) for v in (height, width, channels)])

@@ -412,13 +412,13 @@ def job_view(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", decisions.job_view(F.col("o_orderkey"), status, path).alias("result_url"))
 
 
-_KEYS = "(case when c_custkey % 7 = 0 then 'key_' else 'pps_' end) || lower(c_mktsegment) || '_' || md5(c_name) || (case when c_custkey % 11 = 0 then 'x' else '' end)"
+_KEYS = "(case when c_custkey % 7 = 0 then 'other_' else 'key_' end) || lower(c_mktsegment) || '_' || md5(c_name) || (case when c_custkey % 11 = 0 then 'x' else '' end)"
 
 
-@query(f"with r as (select c_custkey, {_KEYS} as raw from customer) select c_custkey, case when regexp_full_match(raw, 'pps_[a-z]+_[0-9A-Za-z]{{32}}') then regexp_extract(raw, '^pps_([a-z]+)_', 1) end as env, case when regexp_full_match(raw, 'pps_[a-z]+_[0-9A-Za-z]{{32}}') then right(raw, 32) end as body from r")
+@query(f"with r as (select c_custkey, {_KEYS} as raw from customer) select c_custkey, case when regexp_full_match(raw, 'key_[a-z]+_[0-9A-Za-z]{{32}}') then regexp_extract(raw, '^key_([a-z]+)_', 1) end as env, case when regexp_full_match(raw, 'key_[a-z]+_[0-9A-Za-z]{{32}}') then right(raw, 32) end as body from r")
 def api_key_parse(spark, sf):
     k = F.col("c_custkey")
-    raw = F.concat(F.when(k % 7 == 0, "key_").otherwise("pps_"), F.lower("c_mktsegment"), F.lit("_"), F.md5("c_name"), F.when(k % 11 == 0, "x").otherwise(""))
+    raw = F.concat(F.when(k % 7 == 0, "other_").otherwise("key_"), F.lower("c_mktsegment"), F.lit("_"), F.md5("c_name"), F.when(k % 11 == 0, "x").otherwise(""))
     return table(spark, sf, "customer").select("c_custkey", decisions.api_key(raw).alias("a")).select("c_custkey", "a.env", "a.body")
 
 

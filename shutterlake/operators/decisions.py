@@ -253,9 +253,9 @@ def job_view(job_id: Column, status: Column, result_path: Column, base: str = "/
     return F.when((status == "completed") & result_path.isNotNull(), F.concat(F.lit(f"{base}/"), job_id.cast("string"), F.lit("/result")))
 
 
-def api_key(raw: Column) -> Column:
-    """(env, body) of ``pps_<env>_<32 letters or digits>``; null for anything else."""
-    form = r"^pps_([a-z]+)_([0-9A-Za-z]{32})$"
+def api_key(raw: Column, prefix: str = "key") -> Column:
+    """(env, body) of ``<prefix>_<env>_<32 letters or digits>``; null for anything else."""
+    form = rf"^{prefix}_([a-z]+)_([0-9A-Za-z]{{32}})$"
     return F.when(raw.rlike(form), F.struct(F.regexp_extract(raw, form, 1).alias("env"), F.regexp_extract(raw, form, 2).alias("body")))
 
 

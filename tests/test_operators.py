@@ -210,7 +210,7 @@ def test_rules_of_border_values(spark):
     assert one(d.preflight(*[lit(v) for v in (500.0, 0.0, 0.0, 0.0, 34.9, 0.0, 2000)]))["action"] == "retake_dark"
     assert one(d.best_label(F.create_map(lit("b"), lit(1.0), lit("a"), lit(1.0))))["label"] == "b"
     assert tuple(one(d.best_label(F.create_map().cast("map<string,double>")))) == ("unknown", 0.0)
-    assert [one(d.api_key(lit(k))) and tuple(one(d.api_key(lit(k)))) for k in ("pps_live_" + "a1" * 16, "pps_live_" + "a" * 31, "x")] == [("live", "a1" * 16), None, None]
+    assert [one(d.api_key(lit(k))) and tuple(one(d.api_key(lit(k)))) for k in ("key_live_" + "a1" * 16, "key_live_" + "a" * 31, "x")] == [("live", "a1" * 16), None, None]
     assert [tuple(one(d.id_and_label(lit(s)))) for s in ("12_angle_left", "loose", "_x")] == [("12", "angle_left"), ("", "loose"), ("", "_x")]
 
 
@@ -221,7 +221,7 @@ def test_photo_ids_are_made_of_bytes(spark):
 
     bits = [1, 0, 1] + [0] * 61
     row = spark.createDataFrame([(480, 300_000, 3, bits)], "h int, w int, c int, f array<int>")
-    want = hashlib.sha1(b"pps" + np.array([480, 300_000, 3], "<i8").tobytes() + np.array(bits, "<f4").tobytes()).hexdigest()
+    want = hashlib.sha1(b"photo" + np.array([480, 300_000, 3], "<i8").tobytes() + np.array(bits, "<f4").tobytes()).hexdigest()
     assert row.select(jsonops.photo_id(*[F.col(k) for k in "hwcf"]).alias("i")).first()["i"] == want
 
 
