@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import alignment, decontaminate, license_scan, minhash_dedup, pii, quality_rules, sentencepiece_codec, spelling, suffix_dedup, token_output, url_filter, warc
+from shutterlake.llm import alignment, decontaminate, license_scan, minhash_dedup, nearest, pii, quality_rules, sentencepiece_codec, spelling, suffix_dedup, token_output, url_filter, warc
 from shutterlake.session import table
 
 
@@ -62,13 +62,18 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
 QUERIES = (
     op1_token_output, op2_license_scan, op3_url_filter, op4_quality_rules, op5_sentencepiece, op6_minhash_dedup, op7_warc, op8_decontaminate, op9_suffix_dedup, op10_pii,
-    op11_spelling, op13_alignment,
+    op11_spelling, op12_nearest, op13_alignment,
 )
 
 
