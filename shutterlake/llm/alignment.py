@@ -96,6 +96,7 @@ class Aligner:
         #: Whether both cut before each space, so that stretches can be taken apart.
         self.parts = code.parts and not any(BAR in p.lstrip(BAR) for p in pieces)
         self.ranks = self._ranked() if self.parts else None
+        self.bar = [m.piece_to_id(BAR)]
         self.known: dict[str, tuple[int, str, bytes] | None] = {}
         self.held = 0
 
@@ -126,7 +127,8 @@ class Aligner:
         data = text.encode()
         sizes = np.fromiter((len(w) + 1 if w.isascii() else len(w.encode()) + 1 for w in words), np.int64, len(words))
         a = self.ranks.encode_to_numpy(text) if joined and self.ranks else np.concatenate([np.frombuffer(x, self.dtype) for x in self._whole_a([" " + w for w in words])])
-        ids_b = self.b.encode(words, num_threads=1)
+        # Nothing after a space, as at the end of a text, is the bar alone.
+        ids_b = [ids or self.bar for ids in self.b.encode(words, num_threads=1)]
         b = np.fromiter(chain.from_iterable(ids_b), np.int64, sum(map(len, ids_b)))
         list_a, list_b = a.tolist(), b.tolist()
         if b"".join(map(self.bytes_a.__getitem__, list_a)) != data or b"".join(map(self.bytes_b.__getitem__, list_b)) != data:
