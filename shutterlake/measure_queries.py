@@ -34,7 +34,7 @@ xyz as (select *, (0.412453 * lr + 0.357580 * lg + 0.180423 * lb) / 0.950456 as
 bent as (select *, case when cx > 0.008856 then cbrt(cx) else 7.787 * cx + 16 / 116 end as fx, case when cy > 0.008856 then cbrt(cy) else 7.787 * cy + 16 / 116 end as fy, case when cz > 0.008856 then cbrt(cz) else 7.787 * cz + 16 / 116 end as fz from xyz),
 lab as (select * exclude (lb, lg, lr, cx, cy, cz, fx, fy, fz), greatest(0, least(255, round_even((case when cy > 0.008856 then 116 * fy - 16 else 903.3 * cy end) * 255 / 100, 0))) as ll,
   greatest(0, least(255, round_even(500 * (fx - fy) + 128, 0))) as la, greatest(0, least(255, round_even(200 * (fy - fz) + 128, 0))) as lb from bent)""".format(name)
-    return f"""{name}_0 as (select *, greatest(b, g, r) as v, least(b, g, r) as lo, round_even(0.114::double * b + 0.587::double * g + 0.299::double * r, 0) as gray from {source}),
+    return f"""{name}_0 as (select *, greatest(b, g, r) as v, least(b, g, r) as lo, round_even((114 * b + 587 * g + 299 * r) / 1000, 0) as gray from {source}),
 {name}_1 as (select *, case when v = 0 then 0 else round_even((v - lo) / v * 255, 0) end as sat, case when v = lo then 0 when v = r then (g - b) / (v - lo) * 30 when v = g then (2 + (b - r) / (v - lo)) * 30 else (4 + (r - g) / (v - lo)) * 30 end as raw_hue from {name}_0),
 {name} as (select * exclude (raw_hue, lo), round_even(case when raw_hue < 0 then raw_hue + 180 else raw_hue end, 0) % 180 as hue from {name}_1){light if lab else ""}"""
 
@@ -52,17 +52,18 @@ def _photos(spark, sf, n: int):
     return rows.select("photo_id", "y", "x", *made)
 
 
-def _rounded(rows, digits: int = 5):
-    return rows.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+def _rounded(rows, digits: int = 5, **others: int):
+    return rows.select(*[F.round(c, others.get(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
 N = 16
 PHOTOS = _photo_sql(N)
 
 
-@query(PHOTOS + ", m as (select photo_id, avg(sat) / 255 as sat_mean, quantile_cont(sat, 0.95) / 255 as sat_p95 from hsv group by 1) select photo_id, round(sat_mean, 5) as sat_mean, round(sat_p95, 5) as sat_p95, case when sat_mean < 0.1 then 4.5 when sat_mean > 0.45 or sat_p95 > 0.95 then 4.0 when sat_mean between 0.18 and 0.32 and sat_p95 between 0.55 and 0.85 then 9.5 else 7.5 end::double as score from m")
+@query(PHOTOS + ", m as (select photo_id, avg(sat) / 255 as sat_mean, quantile_cont(sat, 0.95) / 255 as sat_p95 from hsv group by 1) select photo_id, round(sat_mean, 8) as sat_mean, round(sat_p95, 5) as sat_p95, case when sat_mean < 0.1 then 4.5 when sat_mean > 0.45 or sat_p95 > 0.95 then 4.0 when sat_mean between 0.18 and 0.32 and sat_p95 between 0.55 and 0.85 then 9.5 else 7.5 end::double as score from m")
 def image_colour_richness(spark, sf):
-    return _rounded(measures.colour_richness(_photos(spark, sf, N)))
+    # No mean of 256 whole numbers over 255 lies half-way between two numbers of eight digits.
+    return _rounded(measures.colour_richness(_photos(spark, sf, N)), sat_mean=8)
 
 
 @query(PHOTOS + """, m as (select photo_id, avg((gray >= 250)::int) as blown, avg((gray <= 5)::int) as crushed, quantile_cont(gray, 0.99) - quantile_cont(gray, 0.01) as span, median(gray) as med from hsv group by 1),
@@ -130,7 +131,7 @@ def image_light_sides(spark, sf):
 
 
 @query(PHOTOS + f""", t as (select *, hue between 95 and 135 and v >= 130 and sat >= 30 as bl, sat <= 25 and v between 215 and 245 as wh from hsv where y < {N // 4}),
-m as (select photo_id, avg(bl::int) as blue, avg(bl::int) filter (where y = 0) as edge_blue, avg(wh::int) filter (where y = 0) as edge_white, var_pop(gray) as texture from t group by 1)
+m as (select photo_id, avg(bl::int) as blue, avg(bl::int) filter (where y = 0) as edge_blue, avg(wh::int) filter (where y = 0) as edge_white, avg(gray * gray) - avg(gray) * avg(gray) as texture from t group by 1)
 select photo_id, round(blue, 5) as blue, round(edge_blue, 5) as edge_blue, round(edge_white, 5) as edge_white, round(texture, 5) as texture, case when blue >= 0.03 and edge_blue >= 0.2 then 'blue_sky' when edge_white >= 0.5 and texture >= 80 then 'overcast_sky' else 'indoor' end as place from m""")
 def image_outdoor(spark, sf):
     return _rounded(measures.outdoor(_photos(spark, sf, N)))
@@ -142,13 +143,13 @@ def image_hue_tone(spark, sf):
 
 
 @query(PHOTOS.replace(_space_sql("px", "hsv"), _space_sql("px", "hsv", lab=True)) + """, t as (select *, (0.299::double * r + 0.587::double * g + 0.114::double * b) / 255 as luma, y < 4 as c, x >= 12 as w, y < 5 as s from lab),
-m as (select photo_id, avg(r / 255) filter (where luma > 0.2 and luma < 0.8) as red, avg(b / 255) filter (where luma > 0.2 and luma < 0.8) as blue, avg(la) filter (where c) - 128 as da, avg(lb) filter (where c) - 128 as db,
+m as (select photo_id, sum(r) filter (where luma > 0.2 and luma < 0.8) as red, sum(b) filter (where luma > 0.2 and luma < 0.8) as blue, count(*) filter (where luma > 0.2 and luma < 0.8) as mids, avg(la) filter (where c) - 128 as da, avg(lb) filter (where c) - 128 as db,
   100 * avg((gray / 255 > 0.95)::int) filter (where w) as clip, avg(gray) filter (where w) / 255 as light, avg(r) filter (where not s) + 1e-6 as gr, avg(b) filter (where not s) + 1e-6 as gb from t group by 1),
 k as (select *, greatest(-0.06, least(0.06, (gr / gb - 1) * 0.5)) as shift from m)
-select photo_id, round(coalesce(case when blue >= 1e-3 then greatest(2500, least(10000, 6500 + (1 - red / blue) * 8000)) end, 6500)::double, 5) as kelvin, round(abs(da) + abs(db), 5) as ceiling_cast, round(greatest(2500, least(10000, 6500 - db * 80))::double, 5) as ceiling_kelvin,
-  round(clip, 5) as window_clipped, round(light, 5) as window_luma, round(case when abs(shift) < 0.02 then 0 else shift end::double, 5) as sky_shift from k""")
+select photo_id, round(coalesce(case when blue >= 0.255 * mids then greatest(2500, least(10000, 6500 + (1 - red / blue) * 8000)) end, 6500)::double, 5) as kelvin, round(abs(da) + abs(db), 5) as ceiling_cast, round(greatest(2500, least(10000, 6500 - db * 80))::double, 5) as ceiling_kelvin,
+  round(clip, 5) as window_clipped, round(light, 8) as window_luma, round(case when abs(shift) < 0.02 then 0 else shift end::double, 5) as sky_shift from k""")
 def image_temperatures(spark, sf):
-    return _rounded(measures.temperatures(_photos(spark, sf, N), F.col("y") < 4, F.col("x") >= 12, F.col("y") < 5), 5)
+    return _rounded(measures.temperatures(_photos(spark, sf, N), F.col("y") < 4, F.col("x") >= 12, F.col("y") < 5), window_luma=8)
 
 
 _PAIRS = f"""
@@ -209,25 +210,20 @@ def alpha_quality(spark, sf):
     return _rounded(measures.alpha_quality(table(spark, sf, "lineitem").select("l_suppkey", alpha.alias("a")), "l_suppkey", "a"))
 
 
-_CURVES = {"bright": dict(exposure=0.3, contrast=0.5), "flat": dict(contrast=-0.6, blacks=0.5), "regions": dict(shadows=0.4, darks=-0.3, lights=0.2, highlights=-0.8, whites=0.6)}
+def _bell(middle, amount):
+    return f"{amount} * 0.15 * exp(-(power(x - {middle}, 2) / (2 * power(0.15, 2))))"
 
 
-def _bump(middle, amount):
-    return f"{amount} * 0.15 * exp(-(power(i / 255 - {middle}, 2) / (2 * power(0.15, 2))))"
-
-
-@query(f"""with l as (select i from range(256) t(i)),
-y as (select 'bright' as curve, i, (1 / (1 + exp(-8 * (i / 255 * power(2, 0.3) - 0.5))) - 1 / (1 + exp(4::double))) / (1 / (1 + exp(-4::double)) - 1 / (1 + exp(4::double))) as y from l
-  union all select 'flat', i, (i / 255 + 0.5 * 0.10 * greatest(0, 0.25 - i / 255) / 0.25) * (1 - 0.18) + 0.09 from l
-  union all select 'regions', i, i / 255 + 0.6 * 0.10 * greatest(0, i / 255 - 0.75) / 0.25 + {_bump(0.125, 0.4)} + {_bump(0.375, -0.3)} + {_bump(0.625, 0.2)} + {_bump(0.875, -0.8)} from l)
-select curve, i::int as level, floor(round(greatest(0, least(1, y)) * 255, 9))::int as out from y""")
+@query(f"""with s as (select event_id, least(255, greatest(0, floor(value * 2.55)::int)) as level, (event_id % 3 - 1) * 0.3::double as e, (user_id % 5 - 2) / 2.5::double as c, event_id % 7 / 7 as bl, (user_id % 3 - 1) * 0.6::double as wh, event_id % 4 / 4 as sh, -0.3::double as da, 0.2::double as li, -(event_id % 6 / 6) as hi from events),
+x as (select *, level / 255 as x, level / 255 * power(2, e) as l from s), y as (select *, l + bl * 0.10 * greatest(0, 0.25 - l) / 0.25 + wh * 0.10 * greatest(0, l - 0.75) / 0.25 + {_bell(0.125, "sh")} + {_bell(0.375, "da")} + {_bell(0.625, "li")} + {_bell(0.875, "hi")} as y from x),
+z as (select *, case when c > 0 then (1 / (1 + exp(-(4 + 8 * c) * (y - 0.5))) - 1 / (1 + exp((4 + 8 * c) / 2))) / (1 / (1 + exp(-(4 + 8 * c) / 2)) - 1 / (1 + exp((4 + 8 * c) / 2))) when c < 0 then y * (1 + 0.3 * c) - 0.15 * c else y end as z from y)
+select event_id, level, floor(round(greatest(0, least(1, z)) * 255, 9))::int as out from z""")
 def parametric_lut(spark, sf):
-    levels = spark.range(256).select(F.col("id").cast("int").alias("level"))
-    out = None
-    for name, sliders in _CURVES.items():
-        rows = levels.select(F.lit(name).alias("curve"), "level", measures.parametric_curve(F.col("level"), **sliders).alias("out"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Tones of events under a curve whose sliders are columns."""
+    e, u = F.col("event_id"), F.col("user_id")
+    level = decisions.clipped(F.floor(F.col("value") * 2.55), 0, 255).cast("int")
+    sliders = dict(exposure=(e % 3 - 1) * 0.3, contrast=(u % 5 - 2) / 2.5, blacks=e % 7 / 7, whites=(u % 3 - 1) * 0.6, shadows=e % 4 / 4, darks=-0.3, lights=0.2, highlights=-(e % 6 / 6))
+    return table(spark, sf, "events").select("event_id", level.alias("level"), measures.parametric_curve(level, **sliders).alias("out"))
 
 
 # --- rules ---------------------------------------------------------------------------
@@ -462,10 +458,13 @@ def category_list(spark, sf):
     return table(spark, sf, "documents").select(F.col("source").alias("category")).distinct().orderBy("category")
 
 
-@query("select name, source, overridden from (values ('supplier_photos', 'hub/suppliers', false), ('part_photos', 'mirror/part', true), ('room_photos', 'hub/rooms', false)) t(name, source, overridden)")
+@query("""select s_name as name, case when n_regionkey = 2 then 'mirror/' || n_name else 'hub/' || s_suppkey end as source, coalesce(n_regionkey = 2, false) as overridden from supplier left join nation on s_nationkey = n_nationkey""")
 def dataset_overrides(spark, sf):
-    given = table(spark, sf, "region").where("r_regionkey = 0").select(F.lit("part_photos").alias("name"), F.lit("mirror/part").alias("value"))
-    return decisions.overrides([("supplier_photos", "hub/suppliers"), ("part_photos", "hub/parts"), ("room_photos", "hub/rooms")], given)
+    """Each supplier's photos come from the hub, or from a mirror of its nation where there is one."""
+    s = table(spark, sf, "supplier")
+    mirrors = s.join(table(spark, sf, "nation").where("n_regionkey = 2"), F.col("s_nationkey") == F.col("n_nationkey"))
+    given = mirrors.select(F.col("s_name").alias("name"), F.concat(F.lit("mirror/"), "n_name").alias("value"))
+    return decisions.overrides(s.select(F.col("s_name").alias("name"), F.concat(F.lit("hub/"), "s_suppkey").alias("default")), given)
 
 
 @query()

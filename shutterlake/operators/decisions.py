@@ -287,8 +287,7 @@ def pick_seeded(rows: DataFrame, group: str, item: str, seed: int) -> DataFrame:
     return rows.groupBy(group).agg(F.min_by(item, F.struct(F.xxhash64(F.lit(seed), F.col(item)), F.col(item))).alias(item))
 
 
-def overrides(defaults: Sequence[tuple[str, str]], given: DataFrame, *, name: str = "name", value: str = "value") -> DataFrame:
-    """``name, source, overridden``: the default of each dataset, or what ``given`` sets in its place."""
-    rows = given.sparkSession.createDataFrame(list(defaults), "name string, default string")
+def overrides(defaults: DataFrame, given: DataFrame, *, name: str = "name", value: str = "value") -> DataFrame:
+    """``name, source, overridden``: the default of each dataset (``name, default``), or what ``given`` sets in its place."""
     new = given.select(F.col(name).alias("name"), F.col(value).alias("_value"))
-    return rows.join(new, "name", "left").select("name", F.coalesce("_value", "default").alias("source"), F.col("_value").isNotNull().alias("overridden"))
+    return defaults.join(new, "name", "left").select("name", F.coalesce("_value", "default").alias("source"), F.col("_value").isNotNull().alias("overridden"))

@@ -116,6 +116,6 @@ def builtin() -> Registry:
     from shutterlake.functions import imaging
 
     registry = Registry()
-    for name in ("highlights", "shadows", "saturation", "vibrance", "unsharp", "gamma", "white_balance", "texture", "clarity", "dehaze", "reinhard", "gray_world"):
+    for name in ("highlights", "shadows", "saturation", "vibrance", "unsharp", "gamma", "white_balance", "texture", "clarity", "gray_world"):
         registry.register(name, lambda image, context, f=getattr(imaging, name): f(image, **context.params))
     return registry

@@ -209,18 +209,8 @@ def test_kernels_by_their_formulas():
     boost = (255 - x[..., 1]) / 255 * 0.5
     want = imaging.from_hsv(x[..., 0], np.clip(x[..., 1] * (1 + boost) + 30 * boost, 0, 255) / 255, x[..., 2] / 255)
     assert np.abs(imaging.vibrance(img, 0.5).astype(int) - want).max() <= 1
-    grey = np.full((4, 4, 3), 128, np.uint8)
-    y = 128 / 255
-    scaled = 0.18 / (y + 1e-6) * y
-    white = 0.95 * scaled
-    assert imaging.reinhard(grey)[0, 0, 0] == pytest.approx(255 * y * scaled * (1 + scaled / white**2) / (1 + scaled) / y, abs=1)
-    red, blue = (np.full((4, 4, 3), c, np.uint8) for c in ((0, 0, 200), (200, 0, 0)))
-    mixed = np.concatenate([red, blue])
-    assert imaging.reinhard(mixed)[0, 0, 2] > imaging.reinhard(mixed)[5, 0, 0]
     assert imaging.composition(np.full((5, 5, 3), 110, np.uint8))["score"] == 5.5
     assert imaging.composition(np.full((5, 5, 3), 35, np.uint8))["score"] == pytest.approx(0.55 * (10 - 0.08 * 100))
-    hazy = np.clip(img * 0.3 + 160, 0, 255).astype(np.uint8)
-    assert imaging.dehaze(hazy, 0.8).std() > hazy.std() and (imaging.dehaze(hazy, 0.0) == hazy).all()
     assert imaging.quadrants(np.arange(16.0).reshape(4, 4))[:4].tolist() == [2.5, pytest.approx(np.std([0, 1, 4, 5])), 0.0, 5.0]
 
 
