@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions import jsonops
-from shutterlake.operators import relational, scoring, sessions, statistics, vectors
-from shutterlake.session import table
+from shutterlake.operators import relational, scoring, sessions, statistics, vector_index, vectors
+from shutterlake.session import new_folder, table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
@@ -89,6 +89,36 @@ def vector_normalise(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(vectors.norm(e), 6).alias("norm"), F.round(vectors.normalised(e)[0], 6).alias("first"))
 
 
+@query()
+def vector_index_topk(spark, sf):
+    """The ten nearest of every 50th vector through the index: its lists hold every row, and what they give is ranked exactly."""
+    rows, path = table(spark, sf, "embeddings"), new_folder(spark, "vector-index")
+    quantiser = vector_index.build(rows, path, keep=("label",))
+    return vector_index.search(quantiser, path, rows, rows.where(ASKED), 10)
+
+
+@query()
+def vector_index_filtered(spark, sf):
+    """The same among the rows of one label."""
+    rows, path = table(spark, sf, "embeddings"), new_folder(spark, "vector-index")
+    quantiser = vector_index.build(rows, path, keep=("label",))
+    return vector_index.search(quantiser, path, rows, rows.where(ASKED), 5, keep=F.col("label") == 1)
+
+
+@query("""with i as (select vec_id, embedding, label, 0 as age from embeddings where vec_id % 3 > 0 union all select vec_id, embedding, label + 100, vec_id % 7 + 1 from embeddings where vec_id % 3 < 2 union all select vec_id, list_reverse(embedding), null, 9 from embeddings where vec_id % 5 = 0),
+n as (select *, row_number() over (partition by vec_id order by age desc) as k from i)
+select vec_id, round(embedding[1]::double, 6) as first, case when age = 0 then null else vec_id::varchar end as own, case when age = 0 then label::varchar when age < 9 then label::varchar end as label from n where k = 1""")
+def upsert_points(spark, sf):
+    """Points with payloads: the newest of each id replaces what is stored."""
+    rows = table(spark, sf, "embeddings")
+    e, labelled = F.col("embedding"), lambda c: F.create_map(F.lit("label"), c.cast("string"))
+    stored = rows.where("vec_id % 3 > 0").select("vec_id", "embedding", labelled(F.col("label")).alias("payload"))
+    new = rows.where("vec_id % 3 < 2").select("vec_id", "embedding", labelled(F.col("label") + 100).alias("payload"), (F.col("vec_id") % 7 + 1).alias("age"))
+    turned = rows.where("vec_id % 5 = 0").select("vec_id", F.reverse(e).alias("embedding"), F.lit(None).cast("map<string,string>").alias("payload"), F.lit(9).cast("long").alias("age"))
+    made = vector_index.upsert_points(stored, new.unionByName(turned), width=64, order="age", id_col="vec_id", vec_col="embedding")
+    return made.select("vec_id", F.round(e[0].cast("double"), 6).alias("first"), F.try_element_at("payload", F.lit("vec_id")).alias("own"), F.try_element_at("payload", F.lit("label")).alias("label"))
+
+
 PAIR = "from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 and a.vec_id % 2 = 0"
 
 

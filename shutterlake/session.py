@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -32,3 +35,28 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder. Only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which the driver and all executors share. A local session without one gets a folder of its own; elsewhere that is an error."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    context = spark.sparkContext
+    folder = context._jsc.sc().getCheckpointDir()
+    if not folder.isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shutterlake-"))
+        folder = context._jsc.sc().getCheckpointDir()
+    return folder.get().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A place of its own for a table below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows from the checkpoint folder: what made them isn't run again."""
+    shared_folder(rows.sparkSession)
+    return rows.checkpoint()
