@@ -73,8 +73,10 @@ def owners(sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.nda
 class Aligner:
     """Aligned stretches of one pair of vocabularies, kept in a table bounded by characters."""
 
-    #: Characters of the stretches that are kept (each counts 60 more), and the longest that is kept.
-    LIMIT, LONGEST = 60_000_000, 64
+    #: Characters of the stretches that are kept in each of two generations (each stretch counts 60 more), and the longest that is kept.
+    LIMIT, LONGEST = 18_000_000, 64
+    #: Stretches that are aligned at once.
+    STEP = 20_000
     #: Texts that aren't the join of their stretches: spaces beside white space, or the bar that stands for a space.
     WHOLE = re.compile(rf"\s \s|  |^ |{BAR}")
 
@@ -97,7 +99,9 @@ class Aligner:
         self.parts = code.parts and not any(BAR in p.lstrip(BAR) for p in pieces)
         self.ranks = self._ranked() if self.parts else None
         self.bar = [m.piece_to_id(BAR)]
+        #: The younger generation becomes the older one when it is full; what is met again moves to the younger.
         self.known: dict[str, tuple[int, str, bytes] | None] = {}
+        self.older: dict[str, tuple[int, str, bytes] | None] = {}
         self.held = 0
 
     def _ranked(self):
@@ -148,24 +152,27 @@ class Aligner:
         return [(n, ";".join(parts[g:h]), pairs[4 * x : 4 * y]) for n, g, h, x, y in zip(counts, groups, groups[1:], links, links[1:], strict=False)]
 
     def _learn(self, words: list[str]) -> dict[str, tuple[int, str, bytes] | None]:
-        plain = [w for w in words if self._plain(w)]
-        other = [w for w in words if not self._plain(w)]
-        return dict(zip(plain + other, self._align(plain, joined=True) + self._align(other), strict=True))
+        made = {}
+        for kind in (True, False):
+            some = [w for w in words if self._plain(w) is kind]
+            for k in range(0, len(some), self.STEP):
+                made.update(zip(some[k : k + self.STEP], self._align(some[k : k + self.STEP], joined=kind), strict=True))
+        return made
 
     def documents(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, bytes]]:
         """``n_a, n_b, n_groups, groups, links`` of each text; nothing for null and empty texts and those whose bytes a tokenizer changes."""
         cut = [t.split(" ") if t and self.parts and not self.WHOLE.search(t) else None for t in texts]
         words = set().union(*[c for c in cut if c])
-        missing = list(words.difference(self.known))
-        size = sum(map(len, missing)) + 60 * len(missing)
-        if self.held + size > self.LIMIT:
-            self.known, self.held, missing = {}, 0, list(words)
-        short = [w for w in missing if len(w) <= self.LONGEST]
-        self.known.update(self._learn(short))
-        self.held += sum(map(len, short)) + 60 * len(short)
-        known = self.known
-        if len(short) < len(missing):
-            known = {w: known[w] for w in words if len(w) <= self.LONGEST} | self._learn([w for w in missing if len(w) > self.LONGEST])
+        if self.held > self.LIMIT:
+            self.older, self.known, self.held = self.known, {}, 0
+        missing = words.difference(self.known)
+        again = missing.intersection(self.older)
+        new = {w: self.older[w] for w in again} | self._learn([w for w in missing.difference(again) if len(w) <= self.LONGEST])
+        self.known.update(new)
+        self.held += sum(map(len, new)) + 60 * len(new)
+        known, long = self.known, [w for w in missing if len(w) > self.LONGEST]
+        if long:
+            known = {w: known[w] for w in words.difference(long)} | self._learn(long)
         for t, c in zip(texts, cut, strict=True):
             found = [known[w] for w in c] if c else self._align([t]) if t else [None]
             if None in found:
@@ -207,7 +214,7 @@ class _Counts:
         self.n = np.bincount(at, np.concatenate([self.n, n]), len(self.keys)).astype(np.int64)
 
 
-def _rows(texts: list[str | None], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _rows(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many characters."""
     start = size = 0
     for i, t in enumerate(texts):
