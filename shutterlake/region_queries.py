@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shutterlake.catalog import query
 from shutterlake.functions import jsonops
 from shutterlake.measure_queries import _photo_sql, _photos, _rounded
-from shutterlake.operators import measures, regions, relational, scoring, statistics
+from shutterlake.operators import measures, parts, regions, relational, scoring, statistics
 from shutterlake.session import table
 
 N = 16
@@ -57,30 +57,63 @@ def mask_confidence(spark, sf):
     return _rounded(regions.mean_confidence(rows, F.col("b") >= 150).withColumn("confidence", F.col("confidence") / 255), 6)
 
 
-_PARTS = "p as (select l_partkey as photo_id, l_orderkey * 10 + l_linenumber as part, (l_quantity * l_quantity)::bigint as area from lineitem)"
+# Shipments of a supplier as a mask: a line for each quantity, a column for each week of the year.
+_MASK = """px as (select distinct l_suppkey as photo_id, l_quantity::int - 1 as y, ((dayofyear(l_shipdate) - 1) // 7)::int as x from lineitem),
+adj as (select a.photo_id, a.y * 64 + a.x as u, b.y * 64 + b.x as v from px a join px b on a.photo_id = b.photo_id and abs(a.y - b.y) <= 1 and abs(a.x - b.x) <= 1),
+reach as (select photo_id, y * 64 + x as u, y * 64 + x as root from px union select r.photo_id, a.v, r.root from reach r join adj a on a.photo_id = r.photo_id and a.u = r.u where a.v > r.root),
+lab as (select photo_id, u, min(root) as part from reach group by all), p as (select photo_id, part, count(*) as area, min(u // 64)::int as y0, min(u % 64)::int as x0, max(u // 64)::int as y1, max(u % 64)::int as x1 from lab group by all)"""
+_H, _W = 50, 53
+
+
+def _mask(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    return rows.select(F.col("l_suppkey").alias("photo_id"), (F.col("l_quantity").cast("int") - 1).alias("y"), F.floor((F.dayofyear("l_shipdate") - 1) / 7).cast("int").alias("x"))
+
+
+def _mask_sizes(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("photo_id"), F.lit(_H).alias("h"), F.lit(_W).alias("w"))
 
 
 def _parts(spark, sf):
-    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("photo_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("part"), (F.col("l_quantity") * F.col("l_quantity")).cast("long").alias("area"))
+    place = F.shiftright("part", parts.BITS) * 64 + F.col("part") % (1 << parts.BITS)
+    return parts.parts(_mask(spark, sf)).withColumn("part", place)
+
+
+@query(f"with recursive {_MASK} select photo_id, part, area, y0, x0, y1, x1 from p")
+def mask_parts(spark, sf):
+    """Connected parts of masks with their boxes."""
+    return _parts(spark, sf)
+
+
+@query("""with recursive px as (select distinct l_suppkey as photo_id, l_quantity::int - 1 as y, ((dayofyear(l_shipdate) - 1) // 7)::int as x from lineitem where l_quantity::int % 10 > 0 or dayofyear(l_shipdate) % 3 > 0),
+grid as (select photo_id, y, x from (select distinct photo_id from px), range(50) t(y), range(53) u(x)), rest as (select * from grid anti join px using (photo_id, y, x)),
+out as (select photo_id, y, x from rest where y in (0, 49) or x in (0, 52) union select r.photo_id, r.y, r.x from out o join rest r on r.photo_id = o.photo_id and abs(r.y - o.y) + abs(r.x - o.x) = 1),
+h as (select photo_id, count(*) as hole from (select * from rest anti join out using (photo_id, y, x)) group by 1), n as (select photo_id, count(*) as n from px group by 1)
+select photo_id, n, coalesce(hole, 0) as hole, round(case when n < 100 then 1 else n / (n + coalesce(hole, 0)) end::double, 6) as score from n left join h using (photo_id)""")
+def mask_hole_rate(spark, sf):
+    """How much of a mask with its holes filled is mask."""
+    d = F.dayofyear("l_shipdate")
+    rows = table(spark, sf, "lineitem").where((F.col("l_quantity").cast("int") % 10 > 0) | (d % 3 > 0))
+    mask = rows.select(F.col("l_suppkey").alias("photo_id"), (F.col("l_quantity").cast("int") - 1).alias("y"), F.floor((d - 1) / 7).cast("int").alias("x"))
+    return _rounded(parts.hole_scores(mask, _mask_sizes(spark, sf)), 6)
 
 
-@query(f"with {_PARTS} select photo_id, round(case when sum(area) < 100 then 1 else max(area) / sum(area) end::double, 6) as score from p group by 1")
+@query(f"with recursive {_MASK} select photo_id, round(case when sum(area) < 100 then 1 else max(area) / sum(area) end::double, 6) as score from p group by 1")
 def mask_orphans(spark, sf):
     return _rounded(regions.orphans(_parts(spark, sf)), 6)
 
 
-@query(f"with {_PARTS}, g as (select photo_id, sum(case when area >= greatest(20, 4000000 // 20000) then area else 0 end) / 4000000 as ratio from p group by 1) select photo_id, round(ratio, 8) as ratio, case when ratio >= 0.015 then 'twilight' when ratio >= 0.005 then 'evening' when ratio < 0.001 then 'day' else 'unknown' end as time from g")
+@query(f"with recursive {_MASK}, g as (select photo_id, sum(case when area >= greatest(20, {_H * _W} // 20000) then area else 0 end) / {_H * _W} as ratio from p group by 1) select photo_id, round(ratio, 8) as ratio, case when ratio >= 0.015 then 'twilight' when ratio >= 0.005 then 'evening' when ratio < 0.001 then 'day' else 'unknown' end as time from g")
 def glow_ratio(spark, sf):
     from shutterlake.operators import decisions
 
-    g = regions.glow(_parts(spark, sf), F.lit(4_000_000))
+    g = regions.glow(_parts(spark, sf), F.lit(_H * _W))
     return g.select("photo_id", F.round("ratio", 8).alias("ratio"), decisions.glow_time(F.col("ratio")).alias("time"))
 
 
-@query(f"with {_PARTS}, d as (select photo_id, part, max(area) as area from p group by all), k as (select *, row_number() over (partition by photo_id order by area desc, part) as place from d where area >= 200) select photo_id, part, area, place::int as place from k where place <= 12")
+@query(f"with recursive {_MASK}, k as (select *, row_number() over (partition by photo_id order by area desc, part) as place from p where area >= {_H * _W} * 0.001) select photo_id, part, area, place::int as place from k where place <= 12")
 def largest_parts(spark, sf):
-    rows = _parts(spark, sf).groupBy("photo_id", "part").agg(F.max("area").alias("area"))
-    return regions.largest_parts(rows, F.lit(200_000)).select("photo_id", "part", "area", "place")
+    return regions.largest_parts(_parts(spark, sf), F.lit(_H * _W)).select("photo_id", "part", "area", "place")
 
 
 @query("with k as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as place from events where value >= 55) select user_id as photo_id, event_id, place::int as place from k where place <= 3")

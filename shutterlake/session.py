@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -51,12 +54,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.get().rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A place of its own for a table below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A place of its own for a table below the shared folder, removed as the driver ends."""
+    if not _made:
+        atexit.register(release)
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release() -> None:
+    """Removes the folders of this driver; frames that read them can't be used any more."""
+    from pyarrow import fs
+
+    while _made:
+        with contextlib.suppress(OSError):
+            system, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", _made.pop()))
+            system.delete_dir(path)
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """The same rows from the checkpoint folder: what made them isn't run again."""
-    shared_folder(rows.sparkSession)
-    return rows.checkpoint()
+def settled(rows: DataFrame, name: str = "rows") -> DataFrame:
+    """The same rows from a table in the shared folder: what made them isn't planned or run again, whichever executors are lost."""
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
