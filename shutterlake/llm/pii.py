@@ -11,8 +11,9 @@ the other three are numbers of common shapes, so their context decides.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterable
 from dataclasses import dataclass
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -146,6 +147,25 @@ def _score(text: str, kind: str, start: int, end: int, p: PiiParams) -> float:
     return min(1.0, PRIOR[kind] + p.bonus * any(w.startswith(c) for c in CONTEXT[kind] for w in words))
 
 
+class _Taken:
+    """Stretches of a text that spans hold already, merged and in order, so that a look-up is a bisection."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        # Stretches are apart, so of those that begin before ``end`` the last reaches furthest.
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 def find_spans(text: str, p: PiiParams = PiiParams()) -> list[tuple[int, int, int, float]]:
     """(start, rank of kind, end, score) of all reported spans, in that order."""
     base = base_spans(text)
@@ -154,10 +174,14 @@ def find_spans(text: str, p: PiiParams = PiiParams()) -> list[tuple[int, int, in
         (4, accounts(text)), (5, [m.span() for m in SSN.finditer(text)]), (6, [m.span() for m in ROUTING.finditer(text) if routing_check(m[0])]),
         (7, [m.span() for m in NATIONAL.finditer(text) if 9 <= len(digits_of(m[0])) <= 12]),
     )
+    taken = None
     for rank, spans in proposed:
-        for start, end in spans:
-            if _score(text, KINDS[rank], start, end, p) >= p.threshold and not any(a < end and start < b for a, _, b in chain(base, more)):
-                more.append((start, rank, end))
+        if spans:
+            # Spans of one kind never overlap each other.
+            taken = taken or _Taken((a, b) for a, _, b in base + more)
+            kept = [(a, rank, b) for a, b in spans if not taken.overlaps(a, b) and _score(text, KINDS[rank], a, b, p) >= p.threshold]
+            if kept:
+                more, taken = more + kept, None
     return [(a, k, b, round(_score(text, KINDS[k], a, b, p), 3)) for a, k, b in sorted(base + more)]
 
 
