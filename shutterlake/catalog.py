@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions import jsonops
 from shutterlake.operators import relational, scoring, sessions, statistics, vector_index, vectors
 from shutterlake.session import new_folder, table
+from shutterlake.streaming import states
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _oracles: dict[str, str] = {}
@@ -39,6 +40,17 @@ def micros(ts: str = "ts"):
 
 US = "epoch_us(ts)"
 
+#: What an event says of its user's job.
+JOB_STATES = {"signup": "queued", "view": "running", "purchase": "completed", "error": "failed"}
+
+
+@query()
+def job_moves(spark, sf):
+    """Moves of jobs whose updates come as events: ordered, without repeats, and what can't follow refused."""
+    names = F.create_map(*[F.lit(v) for pair in JOB_STATES.items() for v in pair])
+    return states.job_states(table(spark, sf, "events").withColumn("state", F.try_element_at(names, F.col("event_type"))), key="user_id", ts="ts", status="state")
+
+
 # --- vectors ---------------------------------------------------------------
 
 COS = "round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6)"
