@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions import jsonops
 from shutterlake.operators import relational, scoring, sessions, statistics, vector_index, vectors
 from shutterlake.session import new_folder, table
+from shutterlake.sources import sink
 from shutterlake.streaming import states
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +52,17 @@ def job_moves(spark, sf):
     return states.job_states(table(spark, sf, "events").withColumn("state", F.try_element_at(names, F.col("event_type"))), key="user_id", ts="ts", status="state")
 
 
+@query("select source || '/' || doc_id || '.txt' as key, strlen(text) as bytes, sha256(text) as digest from documents")
+def files_roundtrip(spark, sf):
+    """Texts written as files by the sink, with its commit, and read again."""
+    root = new_folder(spark, "files")
+    spark.dataSource.register(sink.FileSink)
+    rows = table(spark, sf, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("key"), F.encode("text", "UTF-8").alias("data"))
+    rows.write.format("files").mode("append").option("path", root).save()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
+    return files.select(F.regexp_extract("path", r"/part-[^/]*/(.*)$", 1).alias("key"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
 # --- vectors ---------------------------------------------------------------
 
 COS = "round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6)"
