@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shutterlake.catalog import query
 from shutterlake.functions import jsonops
 from shutterlake.measure_queries import _photo_sql, _photos, _rounded
-from shutterlake.operators import measures, parts, regions, relational, scoring, statistics
+from shutterlake.operators import edges, measures, parts, regions, relational, scoring, statistics
 from shutterlake.session import table
 
 N = 16
@@ -155,6 +155,57 @@ def vertical_scores(spark, sf):
     return _rounded(out)
 
 
+# Shipments of a supplier as a grey photo: more in a week and quantity are lighter.
+_GREY = """g as (select s_suppkey as photo_id, y, x from supplier, range(50) t(y), range(53) u(x)),
+n as (select l_suppkey as photo_id, l_quantity::int - 1 as y, ((dayofyear(l_shipdate) - 1) // 7)::int as x, count(*) as n from lineitem group by all),
+v as (select photo_id, y::int as y, x::int as x, least(255, 40 * coalesce(n, 0))::bigint as v from g left join n using (photo_id, y, x)),
+a as (select *, coalesce(lag(v) over w, v) as b0, coalesce(lead(v) over w, v) as b1 from v window w as (partition by photo_id, y order by x)),
+d as (select photo_id, y, x, b1 - b0 as d, b0 + 2 * v + b1 as s from a),
+e as (select photo_id, y, x, coalesce(lag(d) over w, d) + 2 * d + coalesce(lead(d) over w, d) as gx, coalesce(lead(s) over w, s) - coalesce(lag(s) over w, s) as gy from d window w as (partition by photo_id, x order by y)),
+m as (select *, abs(gx) + abs(gy) as m from e), l as (select *, coalesce(lag(m) over w, 0) as ml, coalesce(lead(m) over w, 0) as mr from m window w as (partition by photo_id, y order by x)),
+o as (select *, coalesce(lag(m) over w, 0) as mu, coalesce(lead(m) over w, 0) as md, coalesce(lag(ml) over w, 0) as ul, coalesce(lead(ml) over w, 0) as dl, coalesce(lag(mr) over w, 0) as ur, coalesce(lead(mr) over w, 0) as dr from l window w as (partition by photo_id, x order by y)),
+c as (select photo_id, y, x, m from o where m > 300 and case when abs(gy) * 32768 < abs(gx) * 13573 then m > ml and m >= mr when abs(gy) * 32768 > abs(gx) * 79109 then m > mu and m >= md when (gx < 0) <> (gy < 0) then m > ur and m > dl else m > ul and m > dr end),
+k as (select photo_id, y, x from c where m > 420 union select c.photo_id, c.y, c.x from k join c on c.photo_id = k.photo_id and abs(c.y - k.y) <= 1 and abs(c.x - k.x) <= 1)"""
+
+
+def _grey(spark, sf):
+    grid = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("photo_id"), F.explode(F.sequence(F.lit(0), F.lit(_H - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(_W - 1))))
+    n = _mask(spark, sf).groupBy("photo_id", "y", "x").agg(F.count(F.lit(1)).alias("n"))
+    return grid.join(n, ["photo_id", "y", "x"], "left").select("photo_id", "y", "x", F.least(F.lit(255), 40 * F.coalesce("n", F.lit(0))).alias("v"))
+
+
+@query(f"with recursive {_GREY} select photo_id, count(*) as n, sum(y * 64 + x)::bigint as places from k group by 1")
+def photo_edges(spark, sf):
+    """Edges with hysteresis: how many pixels, and where."""
+    found = edges.edges(_grey(spark, sf), F.col("v"), 300, 420)
+    return found.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * 64 + F.col("x")).cast("long").alias("places"))
+
+
+@query(f"""with recursive {_GREY}, mk as (select photo_id, y, x from v where v >= 80),
+ring as (select distinct g.photo_id, g.y, g.x from g join mk on mk.photo_id = g.photo_id and abs(mk.y - g.y) <= 1 and abs(mk.x - g.x) <= 1 anti join mk as z on z.photo_id = g.photo_id and z.y = g.y and z.x = g.x),
+rim as (select photo_id, y, x from ring union select mk.photo_id, mk.y, mk.x from mk join ring r on r.photo_id = mk.photo_id and abs(mk.y - r.y) <= 1 and abs(mk.x - r.x) <= 1),
+hit as (select r.photo_id, r.y, r.x, exists (select 1 from k where k.photo_id = r.photo_id and (k.y - r.y) * (k.y - r.y) + (k.x - r.x) * (k.x - r.x) <= 4) as near from rim r),
+sc as (select photo_id, avg(near::int) as share from hit group by 1), nn as (select photo_id, count(*) as n from mk group by 1)
+select photo_id, round(case when n < 20 or share is null then 1 else share end::double, 6) as score from nn left join sc using (photo_id)""")
+def mask_edge_alignment(spark, sf):
+    """How much of a mask's border lies near an edge of its photo."""
+    grey = _grey(spark, sf)
+    found = edges.edges(grey, F.col("v"), 300, 420)
+    return _rounded(edges.alignment(grey.where("v >= 80"), found, _mask_sizes(spark, sf), band=2, least=20), 6)
+
+
+@query()
+def photo_verticals(spark, sf):
+    """Scores of verticals from pixels: stripes that lean with a supplier's balance are found again as lines."""
+    lean = F.pmod(F.floor(F.col("s_acctbal")), F.lit(13)) - 6
+    photos = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("photo_id"), lean.alias("lean"), F.explode(F.sequence(F.lit(0), F.lit(71))).alias("y"))
+    pixels = photos.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(79))))
+    inside = F.pmod(F.col("x") - F.rint(F.col("y") * F.col("lean") / 72) + 8, F.lit(32)) < 16
+    found = edges.lines(edges.edges(pixels, F.when(inside, 220).otherwise(30), 200, 500), votes_least=40, length=50, gap=4)
+    scenes = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("photo_id"), F.lit("interior").alias("scene"))
+    return _rounded(regions.vertical_scores(found, scenes))
+
+
 # --- focus ------------------------------------------------------------------------------
 
 
