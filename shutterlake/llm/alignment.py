@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm import store
 from shutterlake.llm.sentencepiece_codec import BAR
-from shutterlake.llm.token_output import BYTE_LETTERS, LATIN_END, encoder
+from shutterlake.llm.token_output import BYTE_LETTERS, LATIN_END, _encoders, encoder
 
 #: Bytes whose owners are held at once, where tokens of both end together that often.
 BLOCK = 1 << 20
@@ -193,6 +193,11 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return _aligners[path_a, path_b]
 
 
+def _forget() -> None:
+    _aligners.clear()
+    _encoders.clear()
+
+
 class _Counts:
     """Distinct pairs of a chunk and how often each is linked."""
 
@@ -231,6 +236,7 @@ def write_chunks(docs: DataFrame, path_a: str, path_b: str, folder: str, *, id_c
     rows = store.spread(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")))
 
     def write(batches):
+        store.starts("alignment", _forget)
         align = aligner(path_a, path_b)
         context = TaskContext.get()
         # A task that is tried again writes files of its own names, and only those of a finished one are in the result.

@@ -334,6 +334,10 @@ def _terms(index: Index) -> _Terms:
     return _last[1]
 
 
+def _forget() -> None:
+    _last[:] = [None, None]
+
+
 BATCH = 256
 
 
@@ -358,6 +362,7 @@ def find_leaks(
         shared = spark.sparkContext.broadcast(index)
 
         def scan(batches, shared=shared):
+            store.starts("decontamination", _forget)
             index = shared.value
             kind = None
             for batch in batches:

@@ -299,6 +299,7 @@ def common_shingles(docs: DataFrame, p: NearDupParams) -> tuple[np.ndarray, np.n
     parts = max(1, int(total * p.slack / 4))
 
     def search(batches):
+        store.starts("minhash")
         held, n = np.zeros(0, np.uint64), 0
         counts = np.zeros(0, np.int64)
         block, size = [], 0
@@ -335,6 +336,7 @@ def common_shingles(docs: DataFrame, p: NearDupParams) -> tuple[np.ndarray, np.n
     shared = docs.sparkSession.sparkContext.broadcast(candidates)
 
     def count(batches):
+        store.starts("minhash")
         keys = shared.value
         counts = np.zeros(len(keys), np.int64)
         for batch in batches:
@@ -356,6 +358,7 @@ def _signed(docs: DataFrame, common, p: NearDupParams) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def sign(batches):
+        store.starts("minhash")
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
@@ -374,6 +377,7 @@ def _sets(docs: DataFrame, common, p: NearDupParams) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def make(batches):
+        store.starts("minhash")
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
@@ -513,6 +517,7 @@ def cell_pairs(sets: DataFrame, p: NearDupParams) -> DataFrame:
     """(a, b): links that join what shares a cell and is similar enough."""
 
     def solve(batches):
+        store.starts("minhash")
         for rows in _cells(batches):
             table = pa.Table.from_batches(rows)
             ids = table.column(3).to_numpy()

@@ -207,6 +207,7 @@ def pii_spans(docs: DataFrame, params: PiiParams = PiiParams(), *, id_col: str =
     """
 
     def scan(batches):
+        store.starts("pii")
         for batch in batches:
             spans = [[{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in find_spans(t or "", params)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))], names=[id_col, "spans"])
@@ -243,6 +244,7 @@ def redacted(docs: DataFrame, params: PiiParams = PiiParams(), *, text_col: str
 
     @F.pandas_udf("string")
     def clean(texts):
+        store.starts("pii")
         return texts.map(lambda t: t if t is None else redact(t, find_spans(t, params)))
 
     return docs.withColumn(text_col, clean(F.col(text_col)))

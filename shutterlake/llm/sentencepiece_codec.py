@@ -236,6 +236,7 @@ def encoded(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_co
     """
 
     def run(batches):
+        store.starts("sentencepiece", _codecs.clear)
         code = codec(model_path)
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
@@ -253,6 +254,7 @@ def digests(docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_co
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` of what ``encoded`` gives, taken where the ids are made."""
 
     def run(batches):
+        store.starts("sentencepiece", _codecs.clear)
         code = codec(model_path)
         for batch in batches:
             counts, hashes, texts = [], [], []

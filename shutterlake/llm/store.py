@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 
@@ -85,6 +89,27 @@ def remove(uri: str) -> None:
         system.delete_file(path)
 
 
+_kept: dict[str, Callable[[], None]] = {}
+_now = [""]
+
+
+def starts(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """Called where a task of an operator begins. Spark uses worker processes again, so one that served another operator lets go of that one's tables.
+
+    ``forget`` drops what this operator keeps in a worker.
+    """
+    if forget:
+        _kept[operator] = forget
+    if _now[0] != operator:
+        for other in [k for k in _kept if k != operator]:
+            _kept.pop(other)()
+        _now[0] = operator
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # the C library keeps freed memory, where it is one that can be asked
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def spread(rows):
     """Rows of fewer files than the session has cores, dealt over all cores: a file may be one row group, which is one task.
 

@@ -244,6 +244,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     """
 
     def write(batches):
+        store.starts("tokens", _encoders.clear)
         shard = TaskContext.get().partitionId()
         code = encoder(tokenizer_path, special_as_text)
         end = np.array([end_id], code.dtype).tobytes()
