@@ -194,6 +194,20 @@ def feature_hash(spark, sf):
     return jsonops.hash_features(rows, "user_id").select("user_id", "bucket", F.round("value", 6).alias("value"))
 
 
+@query("""
+with t as (select user_id, event_type as token, sum(value) as v from events group by all),
+b as (select user_id, ('0x' || sha1(token)[1:8])::ubigint::bigint % 1024 as bucket, sum(v) as s from t group by all),
+f as (select user_id, bucket, s / sqrt(sum(s * s) over (partition by user_id)) as v from b),
+g as (select user_id, place, v, sha1(user_id || ':' || bucket || ':' || place) as d from f, range(256) r(place)),
+p as (select user_id, place, sum(v * sqrt(-2 * ln((('0x' || d[1:12])::ubigint::double + 0.5) / 281474976710656)) * cos((('0x' || d[13:24])::ubigint::double + 0.5) / 281474976710656 * 2 * pi())) as x from g group by all)
+select user_id, place::int as place, round(x / sqrt(sum(x * x) over (partition by user_id)), 6) as value from p""")
+def feature_projection(spark, sf):
+    """Hashed features as 256 values of unit length."""
+    rows = table(spark, sf, "events").select("user_id", F.col("event_type").alias("token"), "value")
+    made = vectors.projected(jsonops.hash_features(rows, "user_id"), "user_id", F.col("user_id"))
+    return made.select("user_id", "place", F.round("value", 6).alias("value"))
+
+
 @query("select event_id, json(props)::varchar as canonical from events")
 def canonical_props(spark, sf):
     return table(spark, sf, "events").select("event_id", jsonops.canonical_json(F.col("props")).alias("canonical"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +60,26 @@ def retrieve(hits: DataFrame, items: DataFrame, *, item_col: str, agent_col: str
     fit = items.where((F.col(agent_col).isNull()) | (F.col(agent_col) == agent)).where(F.col("params").rlike(r"^\s*\{"))
     rank = Window.partitionBy("query_id").orderBy("rank")
     return first.join(fit, item_col).withColumn("place", F.row_number().over(rank)).where(F.col("place") <= k)
+
+
+# --- random projection --------------------------------------------------------------
+
+
+def counter_normal(*counters: Column) -> Column:
+    """A standard normal number that depends on the counters alone: a digest of them makes two uniform numbers, and these one normal."""
+    digest = F.sha1(F.concat_ws(":", *[c.cast("string") for c in counters]))
+    uniform = lambda at: (F.conv(F.substr(digest, F.lit(at), F.lit(12)), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 48)
+    return F.sqrt(-2 * F.ln(uniform(1))) * F.cos(uniform(13) * (2 * math.pi))
+
+
+def projected(features: DataFrame, key: str, seed: Column, *, width: int = 256, index: str = "bucket", value: str = "value") -> DataFrame:
+    """``key, place, value``: sparse features turned into ``width`` values of unit length by a Gaussian matrix that is never held.
+
+    The matrix of a key is made from ``seed`` (a column of ``features``, the same for all rows of
+    a key), the feature's index and the place, so it is the same on every machine.  A key
+    whose features are all 0 gets zeros.
+    """
+    rows = features.select(key, seed.alias("_seed"), F.col(index).alias("_i"), F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("place"))
+    sums = rows.groupBy(key, "place").agg(F.sum(F.col("_v") * counter_normal(F.col("_seed"), F.col("_i"), F.col("place"))).alias("value"))
+    size = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_size"))
+    return sums.join(size, key).select(key, "place", F.when(F.col("_size") > 0, F.col("value") / F.col("_size")).otherwise(0.0).alias("value"))

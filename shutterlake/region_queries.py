@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shutterlake.catalog import query
 from shutterlake.functions import jsonops
 from shutterlake.measure_queries import _photo_sql, _photos, _rounded
-from shutterlake.operators import edges, measures, parts, regions, relational, scoring, statistics
+from shutterlake.operators import edges, likeness, measures, parts, regions, relational, scoring, statistics
 from shutterlake.session import table
 
 N = 16
@@ -194,6 +194,34 @@ def mask_edge_alignment(spark, sf):
     return _rounded(edges.alignment(grey.where("v >= 80"), found, _mask_sizes(spark, sf), band=2, least=20), 6)
 
 
+_HASH = """g as (select s_suppkey as photo_id, y, x from supplier, range(50) t(y), range(53) u(x)),
+n as (select l_suppkey as photo_id, l_quantity::int - 1 as y, ((dayofyear(l_shipdate) - 1) // 7)::int as x, count(*) as n from lineitem group by all),
+v as (select photo_id, y::int as y, x::int as x, least(255, 40 * coalesce(n, 0))::bigint as v from g left join n using (photo_id, y, x)),
+wy as (select y, i, least(y + 1.0::double, (i + 1) * 50 / 32) - greatest(y + 0.0::double, i * 50 / 32) as w from range(50) a(y), range(32) b(i)), wx as (select x, j, least(x + 1.0::double, (j + 1) * 53 / 32) - greatest(x + 0.0::double, j * 53 / 32) as w from range(53) a(x), range(32) b(j)),
+r as (select photo_id, i, j, sum(v * wy.w * wx.w) * 1024 / 2650 as f from v join wy on wy.y = v.y and wy.w > 1e-9 join wx on wx.x = v.x and wx.w > 1e-9 group by all),
+c as (select photo_id, u, k, sum(f * cos((2 * i + 1) * u * pi() / 64) * cos((2 * j + 1) * k * pi() / 64) * case when u = 0 then sqrt(1 / 32) else sqrt(2 / 32) end * case when k = 0 then sqrt(1 / 32) else sqrt(2 / 32) end) as c from r, range(8) a(u), range(8) b(k) group by all),
+m as (select photo_id, median(c) filter (where u > 0) as m from c group by 1), h as (select photo_id, string_agg(case when c > m then '1' else '0' end, '' order by u, k) as h from c join m using (photo_id) group by 1)"""
+
+
+@query(f"with {_HASH} select photo_id, h as bits from h")
+def photo_hash(spark, sf):
+    """Perceptual hashes as 64 digits."""
+    made = likeness.perceptual_hash(_grey(spark, sf), _mask_sizes(spark, sf), F.col("v"))
+    return made.select("photo_id", F.array_join("bits", "").alias("bits"))
+
+
+_TWICE = _HASH.replace("v as (select photo_id, y::int", "v0 as (select photo_id, y::int").replace("wy as (select y, i", "v as (select photo_id * 2 + k as photo_id, y, x, v + k * ((y * 53 + x) % 11) as v from v0, range(2) t(k)),\nwy as (select y, i")
+
+
+@query(f"with {_TWICE}, d as (select distinct h from h), p as (select a.h as a, b.h as b, list_sum(list_transform(range(1, 65), lambda k: (a.h[k] <> b.h[k])::int))::int as distance from d a join d b on a.h < b.h) select a, b, distance from p where distance <= 8")
+def near_photos(spark, sf):
+    """Pairs of hashes that differ in at most 8 bits; each photo comes with an edited copy."""
+    k = F.explode(F.array(F.lit(0), F.lit(1)))
+    both = _grey(spark, sf).withColumn("k", k).select((F.col("photo_id") * 2 + F.col("k")).alias("photo_id"), "y", "x", (F.col("v") + F.col("k") * ((F.col("y") * 53 + F.col("x")) % 11)).alias("v"))
+    sizes = _mask_sizes(spark, sf).select(F.explode(F.array(F.col("photo_id") * 2, F.col("photo_id") * 2 + 1)).alias("photo_id"), "h", "w")
+    return likeness.near_hashes(likeness.perceptual_hash(both, sizes, F.col("v")), 8)
+
+
 @query()
 def photo_verticals(spark, sf):
     """Scores of verticals from pixels: stripes that lean with a supplier's balance are found again as lines."""
