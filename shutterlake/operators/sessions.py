@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -211,28 +210,21 @@ def near_pairs(rows: DataFrame, *, group: str, ts_us: str, item: str, within_s:
     return a.join(b, ["g", "step"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("a_us") - F.col("b_us")) <= width)).select(F.col("g").alias(group), "a", "b", F.abs(F.col("a_us") - F.col("b_us")).alias("apart_us"))
 
 
-class _Boxes:
-    """Boxes kept so far, as columns; the small addend keeps a box that overlaps by just the limit."""
-
-    def __init__(self, group, limit: float):
-        self.group, self.limit = group, limit
-        self.kept = np.zeros((0, 4))
-
-    def end(self) -> list[tuple]:
-        return []
-
-    def row(self, item, x, y, w, h) -> list[tuple]:
-        k = self.kept
-        wide = np.minimum(k[:, 0] + k[:, 2], x + w) - np.maximum(k[:, 0], x)
-        high = np.minimum(k[:, 1] + k[:, 3], y + h) - np.maximum(k[:, 1], y)
-        shared = np.maximum(0, wide) * np.maximum(0, high)
-        if (shared / (k[:, 2] * k[:, 3] + w * h - shared + 1e-6) >= self.limit).any():
-            return []
-        self.kept = np.vstack([k, [(x, y, w, h)]])
-        return [(self.group, item)]
-
-
 def greedy_boxes(boxes: DataFrame, *, group: str, item: str, limit: float = 0.3) -> DataFrame:
-    """Boxes (x, y, w, h) that stay when each, largest first, drops those that overlap it by more than ``limit``."""
-    kinds = dict(boxes.dtypes)
-    return fold_sorted(boxes.select(group, item, "x", "y", "w", "h"), group, [F.desc(F.col("w") * F.col("h")), item, "x", "y"], f"{group} {kinds[group]}, {item} {kinds[item]}", lambda g: _Boxes(g, limit))
+    """Boxes (x, y, w, h) that stay when each, largest first, drops those that overlap it by more than ``limit``.
+
+    A group's boxes are one array: a photo has few.  Ties go by item, then place.
+    """
+    number = lambda c: F.col(c).cast("double").alias(c)
+    box = F.struct((-F.col("w").cast("double") * F.col("h")).alias("_less"), F.col(item).alias("item"), *map(number, "xywh"))
+    rows = boxes.groupBy(group).agg(F.array_sort(F.collect_list(box)).alias("_boxes"))
+    kind = dict(rows.dtypes)["_boxes"]
+
+    def overlaps(k, b):
+        side = lambda at, size: F.greatest(F.lit(0.0), F.least(k[at] + k[size], b[at] + b[size]) - F.greatest(k[at], b[at]))
+        shared = side("x", "w") * side("y", "h")
+        # The small addend keeps a box that overlaps by just the limit.
+        return shared / (k["w"] * k["h"] + b["w"] * b["h"] - shared + 1e-6) >= limit
+
+    kept = F.aggregate("_boxes", F.array().cast(kind), lambda held, b: F.when(F.exists(held, lambda k: overlaps(k, b)), held).otherwise(F.concat(held, F.array(b))))
+    return rows.select(group, F.explode(kept).alias("_b")).select(group, F.col("_b.item").alias(item))
