@@ -18,14 +18,17 @@ def reduced(pixels: DataFrame, sizes: DataFrame, value: Column, *, rows: int = S
     """
 
     def shares(c, n, cells):
-        """(cell, share) of the cells that a pixel reaches into: two at most."""
-        low, high = F.floor(F.col(c) * cells / F.col(n)), F.floor(((F.col(c) + 1) * cells - 1) / F.col(n))
-        part = lambda k: F.least(F.col(c) + 1.0, (k + 1) * F.col(n) / cells) - F.greatest(F.col(c) + 0.0, k * F.col(n) / cells)
-        return F.transform(F.sequence(low, high), lambda k: F.struct(k.cast("int").alias("k"), part(k).alias("w")))
+        """The cell that a pixel begins in and the next one, with the pixel's share of each: cells are at least as wide as pixels."""
+        low = F.floor(F.col(c) * cells / F.col(n)).cast("int")
+        inside = F.least(F.lit(1.0), (low + 1) * F.col(n) / cells - F.col(c))
+        return F.explode(F.array(F.struct(low.alias("k"), inside.alias("w")), F.struct((low + 1).alias("k"), (1 - inside).alias("w"))))
 
     wide = pixels.select("photo_id", "y", "x", value.cast("double").alias("_v")).join(sizes.select("photo_id", "h", "w"), "photo_id")
-    spread = wide.select("photo_id", "h", "w", "_v", F.explode(shares("y", "h", rows)).alias("_a"), "x").select("*", F.explode(shares("x", "w", columns)).alias("_b"))
-    cells = spread.groupBy("photo_id", F.col("_a.k").alias("i"), F.col("_b.k").alias("j"), "h", "w").agg(F.sum(F.col("_v") * F.col("_a.w") * F.col("_b.w")).alias("_s"))
+    # Along lines first: fewer rows are left for the columns.
+    across = wide.select("photo_id", "h", "w", "y", "_v", shares("x", "w", columns).alias("_c")).where("_c.w > 1e-12")
+    across = across.groupBy("photo_id", "h", "w", "y", F.col("_c.k").alias("j")).agg(F.sum(F.col("_v") * F.col("_c.w")).alias("_v"))
+    both = across.select("photo_id", "h", "w", "j", "_v", shares("y", "h", rows).alias("_c")).where("_c.w > 1e-12")
+    cells = both.groupBy("photo_id", F.col("_c.k").alias("i"), "j", "h", "w").agg(F.sum(F.col("_v") * F.col("_c.w")).alias("_s"))
     return cells.select("photo_id", "i", "j", (F.col("_s") * (rows * columns) / (F.col("h") * F.col("w"))).alias("v"))
 
 
