@@ -29,6 +29,8 @@ from shutterlake.llm import store
 
 MAGIC = b"SLTOK1\0\0"
 SAMPLE = 64
+#: Values whose low bits are spread out at once; a multiple of eight.
+BLOCK = 1 << 16
 
 
 class EliasFano:
@@ -51,9 +53,11 @@ class EliasFano:
         ones = ((v >> np.uint64(low_bits)) + np.arange(n, dtype=np.uint64)).astype(np.int64)
         unary = np.zeros(int(ones[-1]) + 1, np.uint8)
         unary[ones] = 1
-        bits = ((v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
         pack = lambda x: np.packbits(x, bitorder="little").tobytes()
-        return cls(n, low_bits, pack(bits.ravel()), pack(unary), ones[::SAMPLE].astype("<u4").tobytes())
+        # Low bits of a block of values at once; a block of whole eights ends at a byte.
+        places = np.arange(low_bits, dtype=np.uint64)
+        low = b"".join(pack((v[a : a + BLOCK, None] >> places & np.uint64(1)).astype(np.uint8).ravel()) for a in range(0, n, BLOCK))
+        return cls(n, low_bits, low, pack(unary), ones[::SAMPLE].astype("<u4").tobytes())
 
     def to_bytes(self) -> bytes:
         parts = [self.low.tobytes(), self.high.tobytes(), self.samples.tobytes()]
@@ -232,15 +236,25 @@ def pieces(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]
 
 #: Documents whose boundaries are decoded at once.
 DOCUMENTS = 4096
+#: A shard holds about so many bytes of text, each document counting ``OVERHEAD`` more for its boundaries, which a task keeps.
+SHARD_BYTES, LEAST_BYTES, OVERHEAD = 512 << 20, 8 << 20, 64
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 RESULT = "start long, n_tokens long, ids_crc32 long, id_first long, id_last long"
 
 
+def shard_count(rows: DataFrame) -> int:
+    """Shards by the bytes of all texts, whatever the session's settings: none above ``SHARD_BYTES``, and smaller ones down to ``LEAST_BYTES`` while cores are idle."""
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD)).first()[0] or 0
+    return max(1, -(-size // SHARD_BYTES), min(3 * rows.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES))
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, *, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> list:
     """Encodes all documents in ascending id order into shards below ``folder``; the manifest, a row a shard.
 
-    Ranges of ids are sampled and dealt by Spark, so a shard is one sorted range
-    and nothing is held but one range's boundaries.  Null ids come first.
+    Ranges of ids are sampled and dealt by Spark, as many as the bytes of the texts
+    ask for, so a shard is one sorted range and nothing is held but one range's
+    boundaries.  Null ids come first.  Rows of one id are ranged by how their texts
+    begin, so an id that very many rows share is dealt over several shards.
     """
 
     def write(batches):
@@ -249,8 +263,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         code = encoder(tokenizer_path, special_as_text)
         end = np.array([end_id], code.dtype).tobytes()
         path = f"{folder}/shard-{shard:06d}"
-        ends: list[int] = []
-        ids: list[int] = []
+        ends, ids = array("q"), array("q")
         nulls = total = 0
         with store.writing(f"{path}.ids") as out:
             for batch in batches:
@@ -262,19 +275,21 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
                         ends.append(total)
                 names = batch.column(0).to_pylist()
                 nulls += sum(n is None for n in names)
-                ids += [n for n in names if n is not None]
+                ids.extend(n for n in names if n is not None)
         if ends:
             base = ids[0] if ids else 0
             with store.writing(f"{path}.idx") as out:
                 out.write(MAGIC + struct.pack("<BQq", code.width, nulls, base))
-                out.write(EliasFano.encode(ends).to_bytes() + EliasFano.encode([i - base for i in ids]).to_bytes())
+                out.write(EliasFano.encode(ends).to_bytes() + EliasFano.encode(np.asarray(ids, np.int64) - base).to_bytes())
         else:
             store.remove(f"{path}.ids")
         yield pa.RecordBatch.from_pydict(
             {"shard": pa.array([shard] * bool(ends), pa.int32()), "path": pa.array([path] * bool(ends), pa.string()), "n_docs": pa.array([len(ends)] * bool(ends), pa.int64()), "n_tokens": pa.array([total] * bool(ends), pa.int64())}
         )
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # A text's first characters order as the text does, and a sample of them stays small.
+    ordered = rows.repartitionByRange(shard_count(rows), "id", F.substring("text", 1, 32)).sortWithinPartitions("id", "text")
     return sorted(ordered.mapInArrow(write, MANIFEST).collect())
 
 

@@ -81,6 +81,29 @@ def test_elias_fano(values):
         coded.select(len(values))
 
 
+def test_elias_fano_by_blocks(monkeypatch):
+    values = np.cumsum(np.random.default_rng(3).integers(0, 5000, 3001))
+    whole = EliasFano.encode(values).to_bytes()
+    monkeypatch.setattr(token_output, "BLOCK", 64)
+    assert EliasFano.encode(values).to_bytes() == whole and EliasFano.from_bytes(whole)[0].values().tolist() == values.tolist()
+
+
+def test_shards_follow_bytes_and_split_an_id_of_many_rows(spark, docs, encoder, monkeypatch):
+    rows = [(None if k % 3 else k, f"text {k} " + "word " * 50) for k in range(400)]
+    monkeypatch.setattr(token_output, "SHARD_BYTES", 8_000)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        manifest = token_output.write_shards(docs(rows, 3), vocabulary("byte_bpe_50k.json"), 2, store.new_folder(spark, "tokens"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(manifest) > 12 and max(m["n_docs"] for m in manifest) < 80
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    got = sorted(token_output.read_shards(spark, manifest).collect(), key=lambda r: r["start"])
+    assert [(r["doc_id"], r["n_tokens"]) for r in got] == [(i, len(encoder.library.encode(t, add_special_tokens=False).ids) + 1) for i, t in want]
+    empty = docs(rows, 1).where("doc_id < -1")
+    assert token_output.write_shards(empty, vocabulary("byte_bpe_50k.json"), 2, store.new_folder(spark, "tokens")) == []
+
+
 def test_suffix_array_and_prefixes():
     r = random.Random(3)
     for _ in range(150):
