@@ -279,12 +279,6 @@ def bracket_stateful(spark, sf):
     return sessions.stateful_brackets(rows, group="user_id", ts_us="us", ev="event_type", item="event_id", tolerance_s=3600)
 
 
-@query()
-def greedy_scan(spark, sf):
-    rows = table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 4 / 2).alias("ev"), "value", micros().alias("us"))
-    return sessions.greedy_brackets(rows, group="user_id", ts_us="us", item="event_id", ev="ev", brightness="value", near_s=3600, far_s=14400)
-
-
 @query(BURST + """, g as (select user_id, burst, arg_min(event_id, [abs(json_extract(props, '$.k')::double / 30 - 1), event_id]) as reference, coalesce(min(json_extract(props, '$.k')::double / 30 - 1), 0) as ev_low, coalesce(max(json_extract(props, '$.k')::double / 30 - 1), 0) as ev_high, count(*) as n from b group by 1, 2)
 select user_id, burst, reference, round(ev_low, 6) as ev_low, round(ev_high, 6) as ev_high, n from g""")
 def bracket_labels(spark, sf):

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The side of the reduced photo, and of its low frequencies that make the bits.
 SIDE, LOW = 32, 8
 
 
-def reduced(pixels: DataFrame, sizes: DataFrame, value: Column, *, rows: int = SIDE, columns: int = SIDE) -> DataFrame:
+def reduced(pixels: DataFrame, sizes: DataFrame, value: Column | dict[str, Column], *, rows: int = SIDE, columns: int = SIDE) -> DataFrame:
     """``photo_id, i, j, v``: photos as ``rows`` x ``columns`` means, pixels on a border counted by the share of their area.
 
-    ``sizes``: photo_id, h, w; photos are at least as large as the result.
+    ``sizes``: photo_id, h, w; photos are at least as large as the result.  Several
+    values by name are reduced at once, each to its own column.
     """
+    values = value if isinstance(value, dict) else {"v": value}
+    names = list(values)
 
     def shares(c, n, cells):
         """The cell that a pixel begins in and the next one, with the pixel's share of each: cells are at least as wide as pixels."""
@@ -23,13 +26,58 @@ def reduced(pixels: DataFrame, sizes: DataFrame, value: Column, *, rows: int = S
         inside = F.least(F.lit(1.0), (low + 1) * F.col(n) / cells - F.col(c))
         return F.explode(F.array(F.struct(low.alias("k"), inside.alias("w")), F.struct((low + 1).alias("k"), (1 - inside).alias("w"))))
 
-    wide = pixels.select("photo_id", "y", "x", value.cast("double").alias("_v")).join(sizes.select("photo_id", "h", "w"), "photo_id")
+    weighed = lambda: [F.sum(F.col(f"_{v}") * F.col("_c.w")).alias(f"_{v}") for v in names]
+    held = [f"_{v}" for v in names]
+    wide = pixels.select("photo_id", "y", "x", *[c.cast("double").alias(f"_{v}") for v, c in values.items()]).join(sizes.select("photo_id", "h", "w"), "photo_id")
     # Along lines first: fewer rows are left for the columns.
-    across = wide.select("photo_id", "h", "w", "y", "_v", shares("x", "w", columns).alias("_c")).where("_c.w > 1e-12")
-    across = across.groupBy("photo_id", "h", "w", "y", F.col("_c.k").alias("j")).agg(F.sum(F.col("_v") * F.col("_c.w")).alias("_v"))
-    both = across.select("photo_id", "h", "w", "j", "_v", shares("y", "h", rows).alias("_c")).where("_c.w > 1e-12")
-    cells = both.groupBy("photo_id", F.col("_c.k").alias("i"), "j", "h", "w").agg(F.sum(F.col("_v") * F.col("_c.w")).alias("_s"))
-    return cells.select("photo_id", "i", "j", (F.col("_s") * (rows * columns) / (F.col("h") * F.col("w"))).alias("v"))
+    across = wide.select("photo_id", "h", "w", "y", *held, shares("x", "w", columns).alias("_c")).where("_c.w > 1e-12")
+    across = across.groupBy("photo_id", "h", "w", "y", F.col("_c.k").alias("j")).agg(*weighed())
+    both = across.select("photo_id", "h", "w", "j", *held, shares("y", "h", rows).alias("_c")).where("_c.w > 1e-12")
+    cells = both.groupBy("photo_id", F.col("_c.k").alias("i"), "j", "h", "w").agg(*weighed())
+    return cells.select("photo_id", "i", "j", *[(F.col(f"_{v}") * (rows * columns) / (F.col("h") * F.col("w"))).alias(v) for v in names])
+
+
+#: Lines and columns of the thumbnails that tell scenes apart.
+LINES, COLUMNS = 64, 96
+
+
+def equalised(cells: DataFrame, value: Column, n: int) -> DataFrame:
+    """``photo_id, i, j, v``: whole numbers spread over 0 to 255 by how many of a photo's ``n`` cells are at most as large; a flat photo stays."""
+    photo = Window.partitionBy("photo_id")
+    rows = cells.select("photo_id", "i", "j", value.cast("int").alias("_v"))
+    rows = rows.withColumn("_upto", F.count(F.lit(1)).over(photo.orderBy("_v"))).withColumn("_least", F.min("_upto").over(photo))
+    spread = F.rint((F.col("_upto") - F.col("_least")) * 255 / (n - F.col("_least")))
+    return rows.select("photo_id", "i", "j", F.when(F.col("_least") == n, F.col("_v")).otherwise(spread).cast("short").alias("v"))
+
+
+def signatures(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``photo_id, h, w, brightness, thumb``: the mean of the largest channel, and 64 x 96 equalised greys line by line.
+
+    ``pixels``: photo_id, y, x, b, g, r; ``sizes``: photo_id, h, w, of at least 64 x 96.
+    Photos without pixels have no row.
+    """
+    cells = reduced(pixels, sizes, {c: F.col(c) for c in "bgr"}, rows=LINES, columns=COLUMNS)
+    # Six digits settle half-way values, however the shares were summed.
+    b, g, r = (F.rint(F.round(c, 6)) for c in "bgr")
+    even = equalised(cells, F.rint((114 * b + 587 * g + 299 * r) / 1000), LINES * COLUMNS)
+    thumbs = even.groupBy("photo_id").agg(F.array_sort(F.collect_list(F.struct("i", "j", "v"))).alias("_t")).select("photo_id", F.col("_t.v").alias("thumb"))
+    light = pixels.groupBy("photo_id").agg(F.avg(F.greatest("b", "g", "r")).alias("brightness"))
+    return thumbs.join(light, "photo_id").join(sizes.select("photo_id", "h", "w"), "photo_id").select("photo_id", "h", "w", "brightness", "thumb")
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation of two arrays of whole numbers, from exact sums; null if one is flat."""
+    zero = F.lit(0).cast("long")
+    total = lambda x: F.aggregate(x, zero, lambda s, v: s + v)
+    product = lambda x, y: total(F.zip_with(x, y, lambda p, q: p.cast("long") * q))
+    n, sa, sb = F.size(a), total(a), total(b)
+    apart = (n * product(a, a) - sa * sa).cast("double") * (n * product(b, b) - sb * sb)
+    return F.when(apart > 0, (n * product(a, b) - sa * sb) / F.sqrt(apart))
+
+
+def packed(thumb: Column) -> Column:
+    """A thumbnail as bytes."""
+    return F.unhex(F.array_join(F.transform(thumb, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
 
 
 def frequencies(cells: DataFrame, side: int = SIDE, low: int = LOW) -> DataFrame:

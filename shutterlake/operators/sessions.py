@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.operators import likeness
+
+#: Fixed value: thumbnails of one scene correlate by so much.
+ALIKE = 0.93
+
 
 def bursts(shots: DataFrame, *, group: str, ts_us: str, order: str, gap_s: float = 6.0) -> DataFrame:
     """``burst`` numbers within a group: a gap of more than ``gap_s`` begins a new one.
@@ -161,8 +167,8 @@ class _Shots:
         self.held, self.number = self.held[n:], self.number + 1
         return out
 
-    def row(self, ts_us, item, ev, brightness) -> list[tuple]:
-        self.held.append((item, ts_us, ev, brightness))
+    def row(self, ts_us, item, ev, brightness, *looks) -> list[tuple]:
+        self.held.append((item, ts_us, ev, brightness, *looks))
         return self.take() if len(self.held) >= self.window else []
 
     def end(self) -> list[tuple]:
@@ -173,12 +179,14 @@ class _Shots:
 
 
 def greedy_brackets(
-    shots: DataFrame, *, group: str, ts_us: str, item: str, ev: str, brightness: str, window: int = 5, forced: bool = False, near_s: float = 3.0, far_s: float = 6.0, alike: float = 0.07
+    shots: DataFrame, *, group: str, ts_us: str, item: str, ev: str, brightness: str, window: int = 5, forced: bool = False, near_s: float = 3.0, far_s: float = 6.0,
+    thumb: str | None = None, shape: tuple[str, ...] = (), alike: float = ALIKE,
 ) -> DataFrame:
     """``task, reference`` of each shot: brackets found by a scan that looks ``window`` shots ahead.
 
-    A shot is of the anchor's scene if taken within ``near_s``; not beyond ``far_s``; and
-    between them, or without a time, if it is much like it.  Of such a run the longest
+    A shot is of the anchor's scene if it has its ``shape`` and was taken within ``near_s``; not beyond
+    ``far_s``; and between them, or without a time, if their thumbnails (arrays of 0 to 255)
+    correlate by ``alike``; flat ones and photos without any never do.  Of such a run the longest
     prefix (5 at most) counts whose exposures spread by a stop, or else whose brightness
     spreads by 18; ``forced`` asks for just ``window`` shots, half a stop or 12.  The scan
     goes on behind a bracket, or with the next shot where there is none.  The reference
@@ -186,14 +194,20 @@ def greedy_brackets(
     """
 
     def same(first, shot):
+        if first[5:] != shot[5:]:
+            return False
         if not (pd.isna(first[1]) or pd.isna(shot[1])):
             apart = abs(shot[1] - first[1])
             if apart > far_s * 1e6 or apart <= near_s * 1e6:
                 return apart <= near_s * 1e6
-        return abs(shot[3] - first[3]) <= alike * max(abs(first[3]), 1e-9)
+        if first[4] is None or shot[4] is None or len(first[4]) != len(shot[4]):
+            return False
+        a, b = (np.frombuffer(s[4], np.uint8).astype(float) for s in (first, shot))
+        return bool(a.std() >= 1e-3 and b.std() >= 1e-3 and np.corrcoef(a, b)[0, 1] >= alike)
 
     kinds = dict(shots.dtypes)
-    rows = shots.select(group, ts_us, item, ev, brightness)
+    look = likeness.packed(F.col(thumb)) if thumb else F.lit(None).cast("binary")
+    rows = shots.select(group, ts_us, item, ev, brightness, look.alias("_look"), *[F.col(c).alias(f"_shape{k}") for k, c in enumerate(shape)])
     return fold_sorted(rows, group, [F.asc_nulls_first(ts_us), item], f"{group} {kinds[group]}, {item} {kinds[item]}, task int, reference {kinds[item]}", lambda g: _Shots(g, same, window, forced))
 
 
@@ -210,6 +224,23 @@ def near_pairs(rows: DataFrame, *, group: str, ts_us: str, item: str, within_s:
     return a.join(b, ["g", "step"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("a_us") - F.col("b_us")) <= width)).select(F.col("g").alias(group), "a", "b", F.abs(F.col("a_us") - F.col("b_us")).alias("apart_us"))
 
 
+def scene_pairs(shots: DataFrame, *, group: str, ts_us: str, item: str, thumb: str = "thumb", shape: tuple[str, ...] = (), near_s: float = 3.0, far_s: float = 6.0, alike: float = ALIKE) -> DataFrame:
+    """``near_pairs`` of one scene: of one ``shape``, and taken within ``near_s`` or else with thumbnails that correlate. Shots without a time are in none.
+
+    Thumbnails are fetched for the pairs that time leaves open only.
+    """
+    plain = shots.select(group, ts_us, item)
+    pairs = near_pairs(plain.where(F.col(ts_us).isNotNull()), group=group, ts_us=ts_us, item=item, within_s=far_s)
+    looks = shots.select(item, F.struct(F.lit(0), *shape).alias("_shape"), thumb)
+    side = lambda c, with_thumb: looks.select(F.col(item).alias(c), F.col("_shape").alias(f"_shape_{c}"), *([F.col(thumb).alias(f"_thumb_{c}")] if with_thumb else []))
+    within = F.col("apart_us") <= int(near_s * 1e6)
+    same = F.col("_shape_a").eqNullSafe(F.col("_shape_b"))
+    sure = pairs.where(within).join(side("a", False), "a").join(side("b", False), "b").where(same)
+    asked = pairs.where(~within).join(side("a", True), "a").join(side("b", True), "b").where(same)
+    asked = asked.where(likeness.correlation(F.col("_thumb_a"), F.col("_thumb_b")) >= alike)
+    return sure.select(pairs.columns).unionByName(asked.select(pairs.columns))
+
+
 def greedy_boxes(boxes: DataFrame, *, group: str, item: str, limit: float = 0.3) -> DataFrame:
     """Boxes (x, y, w, h) that stay when each, largest first, drops those that overlap it by more than ``limit``.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shutterlake.catalog import query
 from shutterlake.functions import jsonops
 from shutterlake.measure_queries import _photo_sql, _photos, _rounded
-from shutterlake.operators import edges, likeness, measures, parts, regions, relational, scoring, statistics
+from shutterlake.operators import borders, edges, likeness, measures, parts, regions, relational, scoring, sessions, statistics
 from shutterlake.session import table
 
 N = 16
@@ -98,6 +98,31 @@ def mask_hole_rate(spark, sf):
     return _rounded(parts.hole_scores(mask, _mask_sizes(spark, sf)), 6)
 
 
+@query("""with px as (select distinct l_suppkey as photo_id, l_quantity::int - 1 as y, ((dayofyear(l_shipdate) - 1) // 7)::int as x from lineitem), o as (select * from px where y < 6 and x < 30),
+d as (select p.photo_id, p.y, p.x, greatest(abs(p.y - o.y), abs(p.x - o.x)) as hi, least(abs(p.y - o.y), abs(p.x - o.x)) as lo from px p join o using (photo_id)), m as (select photo_id, y, x, min((hi - lo) * 62587 + lo * 89738) as d from d group by all),
+c as (select photo_id, (select count(*) from o where o.photo_id = px.photo_id) as k, count(*) as n from px group by 1)
+select px.photo_id, count(*) as n, sum(px.y * 64 + px.x)::bigint as places from px join c using (photo_id) left join m using (photo_id, y, x) where k < 20 or c.n < 50 or m.d <= 8 * 65536 group by 1""")
+def strip_constraint(spark, sf):
+    """A strip ends where the opening is more than eight pixels off."""
+    mask = _mask(spark, sf)
+    kept = borders.within_reach(mask, mask.where("y < 6 and x < 30"), _mask_sizes(spark, sf), least_opening=20)
+    return kept.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * 64 + F.col("x")).cast("long").alias("places"))
+
+
+@query("""with recursive px as (select distinct l_suppkey as photo_id, l_quantity::int - 1 as y, ((dayofyear(l_shipdate) - 1) // 7)::int as x from lineitem where l_quantity::int % 10 > 0 or dayofyear(l_shipdate) % 3 > 0),
+grid as (select photo_id, y::int as y, x::int as x from (select distinct photo_id from px), range(50) t(y), range(53) u(x)), rest as (select * from grid anti join px using (photo_id, y, x)),
+out as (select photo_id, y, x from rest where y in (0, 49) or x in (0, 52) union select r.photo_id, r.y, r.x from out o join rest r on r.photo_id = o.photo_id and abs(r.y - o.y) + abs(r.x - o.x) = 1),
+f as (select * from grid anti join out using (photo_id, y, x)), q as (select photo_id, y - dy as y, x - dx as x, sum(1 << (dy * 2 + dx)::int)::int as q from f, range(2) a(dy), range(2) b(dx) group by all),
+l as (select photo_id, count(*) filter (where q in (3, 5, 10, 12)) + sqrt(2) * (count(*) filter (where q in (7, 11, 13, 14)) + 2 * count(*) filter (where q in (6, 9))) as len from q group by 1), n as (select photo_id, count(*) as n from px group by 1)
+select photo_id, round(len, 6) as length, round(case when n < 100 then 1 else greatest(0, least(1, 1 - (len * len / (4 * pi() * n) - 2) / 20)) end::double, 6) as score from n join l using (photo_id)""")
+def mask_smoothness(spark, sf):
+    """How long the outline of a mask is, and how smooth that makes it."""
+    d = F.dayofyear("l_shipdate")
+    rows = table(spark, sf, "lineitem").where((F.col("l_quantity").cast("int") % 10 > 0) | (d % 3 > 0))
+    mask, sizes = rows.select(F.col("l_suppkey").alias("photo_id"), (F.col("l_quantity").cast("int") - 1).alias("y"), F.floor((d - 1) / 7).cast("int").alias("x")), _mask_sizes(spark, sf)
+    return _rounded(borders.outlines(mask, sizes).join(borders.smoothness(mask, sizes), "photo_id"), 6)
+
+
 @query(f"with recursive {_MASK} select photo_id, round(case when sum(area) < 100 then 1 else max(area) / sum(area) end::double, 6) as score from p group by 1")
 def mask_orphans(spark, sf):
     return _rounded(regions.orphans(_parts(spark, sf)), 6)
@@ -222,6 +247,57 @@ def near_photos(spark, sf):
     return likeness.near_hashes(likeness.perceptual_hash(both, sizes, F.col("v")), 8)
 
 
+# Shipments of a supplier as a photo of 70 x 122, and the same with a little noise: two shots four seconds apart.
+_SHOT_H, _SHOT_W = 70, 122
+_THUMBS = """g as (select s_suppkey, y::int as y, x::int as x from supplier, range(70) t(y), range(122) u(x)),
+n as (select l_suppkey as s_suppkey, l_quantity::int - 1 + 20 * (l_linenumber % 2) as y, ((dayofyear(l_shipdate) - 1) // 3)::int as x, count(*) as n, sum(l_linenumber)::bigint as m, sum(l_quantity::bigint)::bigint as q from lineitem group by all),
+v as (select s_suppkey * 2 + k as photo_id, y, x, least(255, 60 * coalesce(n, 0) + k * ((y * 53 + x) % 11)) as b, least(255, 20 * coalesce(m, 0)) as g, least(255, 12 * coalesce(q, 0)) as r from g left join n using (s_suppkey, y, x), range(2) t(k)),
+wy as (select y, i, least(y + 1.0::double, (i + 1) * 70 / 64) - greatest(y + 0.0::double, i * 70 / 64) as w from range(70) a(y), range(64) b(i)), wx as (select x, j, least(x + 1.0::double, (j + 1) * 122 / 96) - greatest(x + 0.0::double, j * 122 / 96) as w from range(122) a(x), range(96) b(j)),
+t as (select photo_id, i, j, round_even(round(sum(b * wy.w * wx.w) * 6144 / 8540, 6), 0) as b, round_even(round(sum(g * wy.w * wx.w) * 6144 / 8540, 6), 0) as g, round_even(round(sum(r * wy.w * wx.w) * 6144 / 8540, 6), 0) as r
+  from v join wy on wy.y = v.y and wy.w > 1e-9 join wx on wx.x = v.x and wx.w > 1e-9 group by all),
+gr as (select photo_id, i, j, round_even((114 * b + 587 * g + 299 * r) / 1000, 0)::bigint as v from t),
+lo as (select photo_id, count(*) as lo from gr where v = (select min(z.v) from gr z where z.photo_id = gr.photo_id) group by 1), cu as (select *, count(*) over (partition by photo_id order by v) as c from gr),
+eq as (select photo_id, i, j, case when lo = 6144 then v else round_even((c - lo) * 255 / (6144 - lo), 0) end::bigint as v from cu join lo using (photo_id))"""
+
+
+def _shots(spark, sf):
+    """Signatures of the shots with group, time and exposure."""
+    grid = table(spark, sf, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(_SHOT_H - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(_SHOT_W - 1))))
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("s_suppkey"), (F.col("l_quantity").cast("int") - 1 + 20 * (F.col("l_linenumber") % 2)).alias("y"), F.floor((F.dayofyear("l_shipdate") - 1) / 3).cast("int").alias("x"), "l_linenumber", F.col("l_quantity").cast("long").alias("q")
+    )
+    n = lines.groupBy("s_suppkey", "y", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").alias("m"), F.sum("q").alias("q"))
+    level = lambda scale, c, more=0: F.least(F.lit(255), scale * F.coalesce(c, F.lit(0)) + more)
+    k = F.col("k")
+    both = grid.join(n, ["s_suppkey", "y", "x"], "left").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    pixels = both.select((F.col("s_suppkey") * 2 + k).alias("photo_id"), "y", "x", level(60, F.col("n"), k * ((F.col("y") * 53 + F.col("x")) % 11)).alias("b"), level(20, F.col("m")).alias("g"), level(12, F.col("q")).alias("r"))
+    shots = table(spark, sf, "supplier").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    shots = shots.select((F.col("s_suppkey") * 2 + k).alias("photo_id"), "s_nationkey", ((F.col("s_suppkey") * 2 + k * 4) * 1_000_000).alias("us"), (k - 0.5).alias("ev"), F.lit(_SHOT_H).alias("h"), F.lit(_SHOT_W).alias("w"))
+    return shots.drop("h", "w").join(likeness.signatures(pixels, shots.select("photo_id", "h", "w")), "photo_id")
+
+
+@query(f"with {_THUMBS}, br as (select photo_id, avg(greatest(b, g, r)) as brightness from v group by 1) select photo_id, round(brightness, 4) as brightness, sum(v)::bigint as total, sum(v * (i * 96 + j))::bigint as places from eq join br using (photo_id) group by all")
+def photo_thumbs(spark, sf):
+    """Equalised thumbnails and brightness of photos."""
+    sums = lambda weigh: F.aggregate(F.transform("thumb", weigh), F.lit(0).cast("long"), lambda s, v: s + v)
+    return _shots(spark, sf).select("photo_id", F.round("brightness", 4).alias("brightness"), sums(lambda v: v.cast("long")).alias("total"), sums(lambda v, i: v.cast("long") * i).alias("places"))
+
+
+@query(f"""with {_THUMBS}, sh as (select s_suppkey * 2 + k as photo_id, s_nationkey, s_suppkey * 2 + k * 4 as ts from supplier, range(2) t(k)),
+p as (select s_nationkey, a.photo_id as a, b.photo_id as b, abs(a.ts - b.ts) as apart from sh a join sh b using (s_nationkey) where a.photo_id < b.photo_id and abs(a.ts - b.ts) <= 6),
+c as (select p.a, p.b, corr(x.v, y.v) as c from p join eq x on x.photo_id = p.a join eq y on y.photo_id = p.b and y.i = x.i and y.j = x.j group by all)
+select s_nationkey, a, b from p join c using (a, b) where apart <= 3 or c >= 0.93""")
+def scene_pairs(spark, sf):
+    """Pairs of shots of one scene: by time, or by their thumbnails' correlation where time leaves it open."""
+    return sessions.scene_pairs(_shots(spark, sf), group="s_nationkey", ts_us="us", item="photo_id", shape=("h", "w")).select("s_nationkey", "a", "b")
+
+
+@query()
+def greedy_scan(spark, sf):
+    """Brackets by a scan that looks ahead; thumbnails decide where time doesn't."""
+    return sessions.greedy_brackets(_shots(spark, sf), group="s_nationkey", ts_us="us", item="photo_id", ev="ev", brightness="brightness", thumb="thumb", shape=("h", "w"))
+
+
 @query()
 def photo_verticals(spark, sf):
     """Scores of verticals from pixels: stripes that lean with a supplier's balance are found again as lines."""

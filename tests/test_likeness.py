@@ -79,3 +79,26 @@ def test_projection_keeps_lengths_and_angles(spark):
 def test_counter_normals_are_normal(spark):
     x = np.array([r[0] for r in spark.range(20_000).select(vectors.counter_normal(F.lit(5), F.col("id"))).collect()])
     assert abs(x.mean()) < 0.03 and abs(x.std() - 1) < 0.03 and abs((x**3).mean()) < 0.1 and abs((x**4).mean() - 3) < 0.25
+
+
+def test_signatures_follow_the_formula(spark):
+    r = np.random.default_rng(9)
+    shapes = {1: (64, 96), 2: (70, 122), 3: (130, 200), 4: (80, 100)}
+    photos = {k: r.integers(0, 256, (*s, 3)) for k, s in shapes.items()}
+    photos[4][:] = (9, 9, 9)
+    rows = [(k, y, x, *map(int, img[y, x])) for k, img in photos.items() for y in range(img.shape[0]) for x in range(img.shape[1])]
+    pixels = spark.createDataFrame(rows, "photo_id int, y int, x int, b int, g int, r int").repartition(4)
+    sizes = spark.createDataFrame([(k, *s) for k, s in shapes.items()], "photo_id int, h int, w int")
+    got = {x["photo_id"]: x for x in likeness.signatures(pixels, sizes).collect()}
+    for k, img in photos.items():
+        small = [np.rint(np.round(plain_reduced(img[..., c].astype(float), 64, 96), 6)) for c in range(3)]
+        grey = np.rint((114 * small[0] + 587 * small[1] + 299 * small[2]) / 1000).astype(int)
+        upto = np.cumsum(np.bincount(grey.ravel(), minlength=256))
+        least = upto[grey.min()]
+        want = grey if least == 6144 else np.rint((upto[grey] - least) * 255 / (6144 - least)).astype(int)
+        assert got[k]["thumb"] == want.ravel().tolist() and (got[k]["h"], got[k]["w"]) == shapes[k]
+        assert math.isclose(got[k]["brightness"], img.max(axis=2).mean())
+    both = spark.createDataFrame([(got[1]["thumb"], got[2]["thumb"]), (got[1]["thumb"], got[4]["thumb"])], "a array<short>, b array<short>")
+    c = [x[0] for x in both.select(likeness.correlation(F.col("a"), F.col("b"))).collect()]
+    assert math.isclose(c[0], np.corrcoef(got[1]["thumb"], got[2]["thumb"])[0, 1], abs_tol=1e-12) and c[1] is None
+    assert bytes(both.select(likeness.packed(F.col("a"))).first()[0]) == bytes(got[1]["thumb"])

@@ -54,6 +54,12 @@ def brute_scan(shots, same, window, forced):
     return out
 
 
+def statistics_of(a, b):
+    import statistics
+
+    return statistics.correlation(a, b)
+
+
 @pytest.mark.parametrize("forced", [False, True])
 def test_scan_against_the_rule_on_lists(spark, forced):
     import random
@@ -64,13 +70,24 @@ def test_scan_against_the_rule_on_lists(spark, forced):
         us, shots = 0, []
         for k in range(40):
             us += r.choice([500_000, 2_000_000, 4_000_000, 9_000_000])
-            shots.append((g * 100 + k, us, r.choice([None, 0.0, 0.5, 1.0, -1.0]), float(r.choice([100, 105, 120, 128, 150]))))
+            look = r.choice([[1, 5, 9, 255], [2, 5, 10, 250], [200, 3, 4, 8], [7, 7, 7, 7], None])
+            shots.append((g * 100 + k, us if r.random() < 0.9 else None, r.choice([None, 0.0, 0.5, 1.0, -1.0]), float(r.choice([100, 105, 120, 128, 150])), look, r.choice([60, 60, 60, 80])))
+        shots.sort(key=lambda s: (s[1] is not None, s[1] or 0, s[0]))
         rows += [(g, *s) for s in shots]
-        same = lambda a, b: b[1] - a[1] <= 3e6 or (b[1] - a[1] <= 6e6 and abs(a[3] - b[3]) <= 0.07 * a[3])
+
+        def same(a, b):
+            apart = None if a[1] is None or b[1] is None else b[1] - a[1]
+            looks = bool(a[4] and b[4] and len({*a[4]}) > 1 and len({*b[4]}) > 1 and statistics_of(a[4], b[4]) >= 0.93)
+            return a[5] == b[5] and (looks if apart is None else apart <= 3e6 or (apart <= 6e6 and looks))
+
         want.update({k: (g, *v) for k, v in brute_scan(shots, same, 3 if forced else 5, forced).items()})
-    frame = spark.createDataFrame(rows, "g int, i int, us long, ev double, light double")
-    out = sessions.greedy_brackets(frame, group="g", ts_us="us", item="i", ev="ev", brightness="light", window=3 if forced else 5, forced=forced)
+    frame = spark.createDataFrame(rows, "g int, i int, us long, ev double, light double, thumb array<short>, h int")
+    out = sessions.greedy_brackets(frame, group="g", ts_us="us", item="i", ev="ev", brightness="light", thumb="thumb", shape=("h",), window=3 if forced else 5, forced=forced)
     assert {x["i"]: (x["g"], x["task"], x["reference"]) for x in out.collect()} == want
+    pairs = sessions.scene_pairs(frame, group="g", ts_us="us", item="i", shape=("h",))
+    timed = [s for s in rows if s[2] is not None]
+    near = lambda a, b: a[0] == b[0] and a[1] < b[1] and abs(a[2] - b[2]) <= 6e6 and same(*sorted((a[1:], b[1:]), key=lambda s: s[1]))
+    assert sorted((x["a"], x["b"]) for x in pairs.collect()) == sorted((a[1], b[1]) for a in timed for b in timed if near(a, b))
 
 
 def test_a_box_stays_unless_it_overlaps_by_more_than_the_limit(spark):
