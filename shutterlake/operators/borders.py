@@ -84,8 +84,8 @@ def outlines(mask: DataFrame, sizes: DataFrame, by: str = "photo_id") -> DataFra
 
 
 def smoothness(mask: DataFrame, sizes: DataFrame, *, least: int = 100, by: str = "photo_id") -> DataFrame:
-    """``by, score`` from 0 to 1: how near outlines come to the shortest around the mask's pixels; 1 for masks of fewer than ``least``."""
+    """``by, length, score`` from 0 to 1: how near outlines come to the shortest around the mask's pixels; 1 for masks of fewer than ``least``."""
     n = mask.select(by, "y", "x").distinct().groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     ratio = F.col("length") * F.col("length") / (4 * math.pi * F.col("_n"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - (ratio - 2) / 20))
-    return n.join(outlines(mask, sizes, by), by, "left").select(by, F.when(F.col("_n") < least, 1.0).otherwise(score).alias("score"))
+    return n.join(outlines(mask, sizes, by), by, "left").select(by, "length", F.when(F.col("_n") < least, 1.0).otherwise(score).alias("score"))

@@ -60,7 +60,7 @@ def test_outlines_of_known_shapes(spark):
     got = dict(map(tuple, borders.outlines(rows(spark, masks), sizes).collect()))
     root = math.sqrt(2)
     assert got == pytest.approx({1: 36 * root, 2: 2 * (14 + 19), 3: 18, 4: 2 + root, 5: 2 * root, 6: 4 * 39})
-    scores = dict(map(tuple, borders.smoothness(rows(spark, masks), sizes).collect()))
+    scores = dict(map(tuple, borders.smoothness(rows(spark, masks), sizes).select("photo_id", "score").collect()))
     area = {k: int(m.sum()) for k, m in masks.items()}
     assert scores == pytest.approx({k: 1.0 if area[k] < 100 else min(1.0, max(0.0, 1 - (got[k] ** 2 / (4 * math.pi * area[k]) - 2) / 20)) for k in masks})
 
