@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.operators import scoring, statistics
+from shutterlake.operators import scoring
 
 
 def luma() -> Column:
@@ -16,8 +16,8 @@ def exposure(pixels: DataFrame) -> DataFrame:
     """``blown, crushed, span, score`` of each photo; one partial aggregation and exact percentiles."""
     g = F.rint(luma())
     m = pixels.groupBy("photo_id").agg(
-        F.avg((g >= 250).cast("int")).alias("blown"), F.avg((g <= 5).cast("int")).alias("crushed"), (F.percentile(g, 0.99) - F.percentile(g, 0.01)).alias("span")
-    )
+        F.avg((g >= 250).cast("int")).alias("blown"), F.avg((g <= 5).cast("int")).alias("crushed"), F.percentile(g, F.array(F.lit(0.01), F.lit(0.99))).alias("p")
+    ).select("photo_id", "blown", "crushed", (F.col("p")[1] - F.col("p")[0]).alias("span"))
     return m.withColumn("score", scoring.exposure_score(F.col("blown"), F.col("crushed"), F.col("span")))
 
 
@@ -33,7 +33,7 @@ def colour_cast(pixels: DataFrame) -> DataFrame:
 def tonal(pixels: DataFrame) -> DataFrame:
     """``median, spread`` of luma: the measures of composition and anchors."""
     g = luma()
-    return pixels.groupBy("photo_id").agg(statistics.median(g).alias("median"), (F.percentile(g, 0.9) - F.percentile(g, 0.1)).alias("spread"))
+    return pixels.groupBy("photo_id").agg(F.percentile(g, F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("p")).select("photo_id", F.col("p")[1].alias("median"), (F.col("p")[2] - F.col("p")[0]).alias("spread"))
 
 
 def bounding_boxes(pixels: DataFrame, inside: Column) -> DataFrame:
