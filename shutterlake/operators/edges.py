@@ -61,7 +61,7 @@ def edges(pixels: DataFrame, value: Column, low: float, high: float) -> DataFram
     found = settled(ridges(gradients(pixels, value), low), "ridges")
     runs = settled(parts.labelled(parts.runs(found), 1), "runs")
     strong = found.where(F.col("size") > high).select("photo_id", "y", F.col("x").alias("_x"))
-    kept = runs.join(strong, ["photo_id", "y"]).where(F.col("_x").between(F.col("x0"), F.col("x1"))).select("photo_id", "part").distinct()
+    kept = runs.join(strong.hint("merge"), ["photo_id", "y"]).where(F.col("_x").between(F.col("x0"), F.col("x1"))).select("photo_id", "part").distinct()
     return runs.join(kept, ["photo_id", "part"], "left_semi").select("photo_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
 
@@ -69,7 +69,7 @@ def grown(mask: DataFrame, sizes: DataFrame, reach: int = 1) -> DataFrame:
     """Pixels within ``reach`` lines and columns of a mask, inside the photo (``photo_id, h, w``)."""
     steps = lambda c: F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))
     wide = mask.select("photo_id", "y", steps("x").alias("x")).select("photo_id", steps("y").alias("y"), "x").distinct()
-    return wide.join(sizes, "photo_id").where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("h")) & (F.col("x") < F.col("w"))).select("photo_id", "y", "x")
+    return wide.join(sizes.hint("shuffle_hash"), "photo_id").where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") < F.col("h")) & (F.col("x") < F.col("w"))).select("photo_id", "y", "x")
 
 
 def alignment(mask: DataFrame, found: DataFrame, sizes: DataFrame, *, band: int = 8, least: int = 100) -> DataFrame:
@@ -80,11 +80,11 @@ def alignment(mask: DataFrame, found: DataFrame, sizes: DataFrame, *, band: int
     mask = mask.select("photo_id", "y", "x").distinct()
     pixel = ["photo_id", "y", "x"]
     # Beyond the photo's border nothing shrinks a mask.
-    missing = grown(mask, sizes).join(mask, pixel, "left_anti")
-    border = missing.unionByName(grown(missing, sizes).join(mask, pixel, "left_semi")).distinct()
+    missing = grown(mask, sizes).join(mask.hint("merge"), pixel, "left_anti")
+    border = missing.unionByName(grown(missing, sizes).join(mask.hint("merge"), pixel, "left_semi")).distinct()
     disc = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-band, band + 1) for dx in range(-band, band + 1) if dy * dy + dx * dx <= band * band])
     near = found.select("photo_id", "y", "x", F.explode(disc).alias("_o")).select("photo_id", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x")).distinct().withColumn("_near", F.lit(1))
-    met = border.join(near, pixel, "left").groupBy("photo_id").agg(F.avg(F.coalesce("_near", F.lit(0))).alias("_share"))
+    met = border.join(near.hint("merge"), pixel, "left").groupBy("photo_id").agg(F.avg(F.coalesce("_near", F.lit(0))).alias("_share"))
     n = mask.groupBy("photo_id").agg(F.count(F.lit(1)).alias("_n"))
     return n.join(met, "photo_id", "left").select("photo_id", F.when((F.col("_n") < least) | F.col("_share").isNull(), 1.0).otherwise(F.col("_share")).alias("score"))
 
@@ -122,7 +122,7 @@ def lines(found: DataFrame, *, votes_least: int = 120, length: float = 120, gap:
     found = settled(found.select("photo_id", "y", "x"), "edges")
     top = peaks(votes(found, angles), votes_least, angles).select("photo_id", "angle", "offset")
     turn = F.col("angle") * (math.pi / angles)
-    rows = found.join(top, "photo_id").where(F.abs(F.col("x") * F.cos(turn) + F.col("y") * F.sin(turn) - F.col("offset")) <= 1.0)
+    rows = found.join(top.hint("shuffle_hash"), "photo_id").where(F.abs(F.col("x") * F.cos(turn) + F.col("y") * F.sin(turn) - F.col("offset")) <= 1.0)
     rows = rows.withColumn("_t", F.col("y") * F.cos(turn) - F.col("x") * F.sin(turn))
     line = Window.partitionBy("photo_id", "angle", "offset").orderBy("_t", "y", "x")
     cut = F.coalesce((F.col("_t") - F.lag("_t").over(line) > gap).cast("int"), F.lit(0))

@@ -1,13 +1,16 @@
 """Connected parts and holes of masks, from runs of pixels.
 
 A mask is rows (photo_id, y, x).  Pixels of a line become runs; a run meets those of
-the line above that it touches; parts are found by contracting this graph: each round
+the line above that it touches.  Bands of lines are labelled each in a task; only links
+that lead from band to band are left, and parts are found by contracting these: each round
 hooks every run to its least neighbour, doubles the hooks until they end and keeps
 only the links between the ends, at most half as many.  All photos are worked on at once; a photo's lines may lie in many tasks.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,12 +20,14 @@ from shutterlake.session import settled
 BITS = 24
 #: Columns of a bucket within which runs of two lines are joined.
 BUCKET = 128
+#: Lines of a band that is labelled in one task.
+BAND = 64
 
 
 def runs(mask: DataFrame, by: str = "photo_id") -> DataFrame:
     """``by, y, x0, x1``: stretches of neighbouring pixels of a line. Repeated pixels count once."""
     line = Window.partitionBy(by, "y").orderBy("x")
-    placed = mask.select(by, "y", "x").distinct().withColumn("_g", F.col("x") - F.row_number().over(line))
+    placed = mask.select(by, "y", "x").repartition(by, "y").distinct().withColumn("_g", F.col("x") - F.row_number().over(line))
     return placed.groupBy(by, "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
 
 
@@ -40,10 +45,10 @@ def run_id() -> Column:
     return F.shiftleft(F.col("y").cast("long"), BITS) + F.col("x0")
 
 
-def touching(found: DataFrame, reach: int, by: str = "photo_id") -> DataFrame:
-    """``by, a, b``: ids of runs of neighbouring lines that touch; ``reach`` 1 counts corners, 0 doesn't."""
+def touching(found: DataFrame, reach: int, by: str = "photo_id", name: Column | None = None) -> DataFrame:
+    """``by, a, b``: ids of runs of neighbouring lines that touch, or what ``name`` calls them; ``reach`` 1 counts corners, 0 doesn't."""
     cells = F.explode(F.sequence(F.floor(F.greatest(F.col("x0") - reach, F.lit(0)) / BUCKET), F.floor((F.col("x1") + reach) / BUCKET))).alias("_cell")
-    rows = found.select(by, "y", "x0", "x1", run_id().alias("_id"), cells)
+    rows = found.select(by, "y", "x0", "x1", (run_id() if name is None else name).alias("_id"), cells)
     low = rows.select(by, F.col("y").alias("_y"), F.col("x0").alias("_from"), F.col("x1").alias("_to"), F.col("_id").alias("a"), "_cell").withColumn("y", F.col("_y") + 1)
     start = F.greatest(F.col("_from") - reach, F.col("x0"))
     # Of the cells that both lie in, the one where they begin to touch.
@@ -81,14 +86,44 @@ def _followed(hooks: DataFrame, onward: DataFrame, by: str) -> DataFrame:
 
 def labelled(found: DataFrame, reach: int = 1, by: str = "photo_id") -> DataFrame:
     """Runs with their ``part``: the id of its first run (line, then column)."""
-    found = settled(found)
-    roots = contracted(touching(found, reach, by), by)
-    rows = found.withColumn("id", run_id())
+    kinds = dict(found.dtypes)
+    runs_of = found.select(by, "y", "x0", "x1", F.floor(F.col("y") / BAND).alias("_band"))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (by, "y", "x0", "x1")) + ", id long"
+    rows = settled(runs_of.groupBy(by, "_band").applyInArrow(lambda band: _labelled_band(band, reach), schema), "bands")
+    last, first = F.col("y") % BAND == BAND - 1, F.col("y") % BAND == 0
+    # Between two lines of a band nothing is left to link: of the pairs that touch, those from a last line to a first one are.
+    links = touching(rows.where(last | first), reach, by, F.struct("id", first.alias("first")))
+    links = links.where("b.first and not a.first").select(by, F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    roots = contracted(links, by)
     if roots is None:
         return rows.withColumnRenamed("id", "part")
     return rows.join(roots, [by, "id"], "left").withColumn("part", F.coalesce("root", "id")).drop("id", "root")
 
 
+def _labelled_band(band: pa.Table, reach: int) -> pa.Table:
+    """Runs of a band with ``id``: that of the first run they hang together with."""
+    band = band.drop_columns("_band").sort_by([("y", "ascending"), ("x0", "ascending")])
+    y, x0, x1 = (band.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+    # Lines one behind the other: a run's partners on the next line are neighbours there.
+    width = x1.max() + 2 * reach + 3
+    begin, behind = (y + 1) * width + x0 - reach, (y + 1) * width + x1 + reach
+    low, high = np.searchsorted(y * width + x1, begin), np.searchsorted(y * width + x0, behind, "right")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(y)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    label = np.arange(len(y))
+    while True:
+        # Roots hook to the least root they touch, then all follow their roots.
+        least, hooked = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(hooked, label[a], least)
+        np.minimum.at(hooked, label[b], least)
+        while not np.array_equal(onward := hooked[hooked], hooked):
+            hooked = onward
+        if np.array_equal(hooked, label):
+            return band.append_column("id", pa.array((y[label] << BITS) + x0[label]))
+        label = hooked
+
+
 def parts(mask: DataFrame, reach: int = 1, by: str = "photo_id") -> DataFrame:
     """``by, part, area, y0, x0, y1, x1`` of each connected part of a mask; corners connect unless ``reach`` is 0. No pixels give none."""
     rows = labelled(runs(mask, by), reach, by)

@@ -231,7 +231,7 @@ def scene_pairs(shots: DataFrame, *, group: str, ts_us: str, item: str, thumb: s
     """
     plain = shots.select(group, ts_us, item)
     pairs = near_pairs(plain.where(F.col(ts_us).isNotNull()), group=group, ts_us=ts_us, item=item, within_s=far_s)
-    looks = shots.select(item, F.struct(F.lit(0), *shape).alias("_shape"), thumb)
+    looks = shots.select(item, F.struct(F.lit(0), *shape).alias("_shape"), thumb).hint("merge")
     side = lambda c, with_thumb: looks.select(F.col(item).alias(c), F.col("_shape").alias(f"_shape_{c}"), *([F.col(thumb).alias(f"_thumb_{c}")] if with_thumb else []))
     within = F.col("apart_us") <= int(near_s * 1e6)
     same = F.col("_shape_a").eqNullSafe(F.col("_shape_b"))
