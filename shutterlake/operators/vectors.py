@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.session import dealt
+
 #: Rows of a query set that may be sent to all executors.
 MAX_QUERIES = 10_000
 
@@ -43,7 +45,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_
     # Norms are taken once for each vector, not for each pair.
     asked = queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).alias("_query"), norm(F.col(vec_col)).alias("_query_norm"))
     rows = (vectors if keep is None else vectors.where(keep)).select(id_col, vec_col, norm(F.col(vec_col)).alias("_norm"))
-    small = queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES
+    n = queries.limit(MAX_QUERIES + 1).count()
+    small = n <= MAX_QUERIES
+    if small:
+        # A file of few rows would be one task; tasks are bounded by the pairs they make.
+        rows = dealt(rows, id_col, max(1, n))
     pairs = rows.join(F.broadcast(asked), F.lit(True)) if small else rows.hint("shuffle_replicate_nl").crossJoin(asked)
     size = F.col("_norm") * F.col("_query_norm")
     scored = pairs.select("query_id", id_col, F.round(F.when(size == 0, F.lit(0.0)).otherwise(dot(F.col(vec_col), F.col("_query")) / size), rounded).alias("score"))
