@@ -83,9 +83,12 @@ def projected(features: DataFrame, key: str, seed: Column, *, width: int = 256,
 
     The matrix of a key is made from ``seed`` (a column of ``features``, the same for all rows of
     a key), the feature's index and the place, so it is the same on every machine.  A key
-    whose features are all 0 gets zeros.
+    whose features are all 0 gets zeros; null keys get none.  Features are dealt by key over as
+    many tasks as bound the rows each makes; those of one key are in one task.
     """
-    rows = features.select(key, seed.alias("_seed"), F.col(index).alias("_i"), F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("place"))
+    rows = features.select(key, seed.alias("_seed"), F.col(index).alias("_i"), F.col(value).alias("_v"))
+    # Features are few bytes, so Spark would plan few tasks for them; each becomes ``width`` rows, and a key's rows stay where they are made.
+    rows = dealt(rows, key, width).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     sums = rows.groupBy(key, "place").agg(F.sum(F.col("_v") * counter_normal(F.col("_seed"), F.col("_i"), F.col("place"))).alias("value"))
-    size = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_size"))
-    return sums.join(size, key).select(key, "place", F.when(F.col("_size") > 0, F.col("value") / F.col("_size")).otherwise(0.0).alias("value"))
+    size = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(key)))
+    return sums.withColumn("_size", size).where(F.col(key).isNotNull()).select(key, "place", F.when(F.col("_size") > 0, F.col("value") / F.col("_size")).otherwise(0.0).alias("value"))
