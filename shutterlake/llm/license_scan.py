@@ -1,15 +1,16 @@
 """License scans by conditional compression.
 
-A block of text that may hold a license notice is compared with every template
-that shares enough words with it.  The exact differences in wording decide: a
-template is found where all its words stand in order but for a small share, and
-its numbers and names of variants never differ.  The block is compressed with each
-found template as a raw zstandard dictionary; the more of it the template already
-says, the greater the reduction that is reported.
+The words of a block that may hold a license notice are compressed alone and with the
+wording of each template as a raw zstandard dictionary.  Stretches of a template's
+length from which it saves enough bytes are candidates.  The exact differences in
+wording confirm them: a template is found where all its words stand in order but for a
+small share, and its numbers and names of variants never differ.  Of notices that
+overlap, the one from which its template saves the most bytes stays.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections import Counter
@@ -35,6 +36,8 @@ class LicenseParams:
     reach: int = 700
     max_missing: float = 0.1
     level: int = 9
+    #: Least bytes that a template saves from a candidate, as a share of those it saves from its own wording.
+    least_saved: float = 0.2
 
 
 def wording(text: str) -> list[str]:
@@ -46,18 +49,57 @@ def telling(words: list[str]) -> set[str]:
     return {w for w in words if w[0].isdigit() or w in ("nc", "nd", "sa", "mit", "apache", "lesser", "affero", "noncommercial", "sharealike", "mozilla")}
 
 
+#: Words of a notice are few bytes: frames without what they would only repeat.
+FRAME = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
+#: No match begins at a dictionary's first byte or in its last eight.
+PAD = b"\n" * 8
+
+
+def said_as(words: list[str]) -> bytes:
+    """Words as they are compressed, each after a space: without case, lines, marks of comments and punctuation."""
+    return "".join([" " + w for w in words]).encode()
+
+
+class Notice:
+    """A template as it is looked for: its wording, that wording as a dictionary, and what a place must keep of it."""
+
+    def __init__(self, name: str, wanted: list[str], p: LicenseParams):
+        import zstandard as zstd
+
+        own = said_as(wanted)
+        self.name, self.wanted, self.must, self.need = name, wanted, telling(wanted), Counter(wanted)
+        self.room = int(p.max_missing * len(wanted))
+        #: A notice begins with one of the first words, as many as may be missing and one more.
+        self.heads = set(wanted[: self.room + 1])
+        self.width = len(wanted) + max(2, len(wanted) // 10)
+        said = zstd.ZstdCompressionDict(PAD + own + PAD, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        self.given = zstd.ZstdCompressor(level=p.level, dict_data=said, **FRAME)
+        self.least = p.least_saved * (len(zstd.ZstdCompressor(level=p.level, **FRAME).compress(own)) - len(self.given.compress(own)))
+
+
+def apart(ranked: list, ends) -> list:
+    """Those that overlap none before them in the ranking; ``ends`` gives where one begins and stops."""
+    out, taken = [], []
+    for one in ranked:
+        a, b = ends(one)
+        at = bisect.bisect(taken, (a, b))
+        if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+            taken.insert(at, (a, b))
+            out.append(one)
+    return out
+
+
 class Scanner:
+    #: Words of a window from which on longer stretches are compressed first.
+    LONG = 16
+
     def __init__(self, p: LicenseParams):
         import zstandard as zstd
 
         self.p = p
-        plain = {"level": p.level, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
-        self.plain = zstd.ZstdCompressor(**plain)
+        self.plain = zstd.ZstdCompressor(level=p.level, **FRAME)
         self.templates = [(name, text, wording(text)) for name, text in p.templates]
-        self.needs = [Counter(wanted) for _, _, wanted in self.templates]
-        self.with_template = [
-            zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(text.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT), **plain) for _, text in p.templates
-        ]
+        self.notices = [Notice(name, wanted, p) for name, _, wanted in self.templates]
 
     def blocks(self, text: str) -> list[tuple[int, int]]:
         """Stretches within reach of triggers, of whole words and across lines; those that touch are one, also over white space and comment marks."""
@@ -78,66 +120,75 @@ class Scanner:
         """(start, end, license, reduction, words missing, words more in between) of each notice."""
         found = []
         for start, end in self.blocks(text):
-            block = text[start:end]
-            data = block.encode()
-            spots = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(block)]
-            words = [w for _, _, w in spots]
-            taken: list[tuple[int, int]] = []
-            good = []
-            size = 0
-            count = Counter(words)
-            for (name, _, wanted), need, c in zip(self.templates, self.needs, self.with_template, strict=True):
-                if sum(min(n, count[w]) for w, n in need.items()) < len(wanted) - int(self.p.max_missing * len(wanted)):
-                    continue
-                if places := self.compare(words, wanted):
-                    size = size or len(self.plain.compress(data))
-                    gain = 1 - len(c.compress(data)) / size
-                    good += [(missing - len(wanted), missing, name, a, b, gain, missing, more) for a, b, missing, more in places]
-            for _, _, name, a, b, gain, missing, more in sorted(good):
-                if all(b <= c or a >= d for c, d in taken):
-                    taken.append((a, b))
-                    found.append((start + spots[a][0], start + spots[b - 1][1], name, round(gain, 6), missing, more))
+            spots = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text[start:end])]
+            for a, b, missing, more, name, reduction in self.ranked([w for _, _, w in spots], self.notices):
+                found.append((start + spots[a][0], start + spots[b - 1][1], name, round(reduction, 6), missing, more))
         return sorted(found)
 
-    def compare(self, words: list[str], wanted: list[str]) -> list[tuple[int, int, int, int]]:
-        """(first word, last word + 1, missing, more) of every place where the template's wording stands.
+    def saved(self, words: list[str], low: int, stop: int, notice: Notice, alone: dict) -> tuple[int, int]:
+        """Bytes that the template saves from these words, and their bytes without it; ``alone`` keeps the latter for other templates."""
+        data = said_as(words[low:stop])
+        size = alone.get((low, stop)) or alone.setdefault((low, stop), len(self.plain.compress(data)))
+        return size - len(notice.given.compress(data)), size
+
+    def windows(self, words: list[str], notice: Notice, alone: dict) -> list[tuple[int, int]]:
+        """Stretches of the template's width, from one of its first words on, from which it saves enough bytes.
 
-        A notice begins with one of the first words, as many as may be missing and
-        one more.  A place is compared if it shares enough words with the template,
-        in whatever order; of places that overlap, the one with the least missing
-        words stays, then with the least more, then the first.
+        A long template has many first words, so stretches of twice its width are compressed before:
+        each window lies in one, and where the template saves too little from that, it says nothing
+        of its windows.  Short ones save too little from longer stretches to tell.
         """
-        room, must = int(self.p.max_missing * len(wanted)), telling(wanted)
-        heads = set(wanted[: room + 1])
-        width = len(wanted) + max(2, len(wanted) // 10)
-        need = Counter(wanted)
-        # Words shared with the template, repeats included, between a place and the place's end.
-        have: Counter = Counter()
-        shared = stop = 0
-        places = []
-        for head, first in enumerate(words):
-            while stop < len(words) and stop < head + width:
-                word = words[stop]
-                have[word] += 1
-                shared += have[word] <= need[word]
-                stop += 1
-            if first in heads and shared >= len(wanted) - room and all(have[w] for w in must):
-                span = words[head:stop]
-                same = [m for m in difflib.SequenceMatcher(None, wanted, span, autojunk=False).get_matching_blocks() if m.size]
-                hit = sum(m.size for m in same)
-                missing = len(wanted) - hit
-                kept = {wanted[m.a + k] for m in same for k in range(m.size)}
-                if hit and missing <= room and must <= kept:
-                    low, high = same[0].b, same[-1].b + same[-1].size
-                    if telling(span[low:high]) <= must:
-                        places.append((missing, high - low - hit, head + low, head + high))
-            shared -= have[first] <= need[first]
-            have[first] -= 1
-        out: list[tuple[int, int, int, int]] = []
-        for missing, more, a, b in sorted(set(places)):
-            if all(b <= c or a >= d for c, d, _, _ in out):
-                out.append((a, b, missing, more))
-        return sorted(out)
+        out = []
+        least, end = notice.least, len(words)
+        step = notice.width if notice.width >= self.LONG else max(1, end)
+        for low in range(0, end, step):
+            if step == notice.width and self.saved(words, low, min(low + 2 * step, end), notice, alone)[0] < least:
+                continue
+            for head in range(low, min(low + step, end)):
+                stop = min(head + notice.width, end)
+                if words[head] in notice.heads and self.saved(words, head, stop, notice, alone)[0] >= least:
+                    out.append((head, stop))
+        return out
+
+    def confirmed(self, words: list[str], head: int, stop: int, notice: Notice) -> tuple[int, int, int, int] | None:
+        """(missing, more, first word, last word + 1) of the template's wording in a window, if it stands there."""
+        span, wanted = words[head:stop], notice.wanted
+        if not notice.must <= set(span) or (Counter(span) & notice.need).total() < len(wanted) - notice.room:
+            return None
+        same = [m for m in difflib.SequenceMatcher(None, wanted, span, autojunk=False).get_matching_blocks() if m.size]
+        hit = sum(m.size for m in same)
+        kept = {wanted[m.a + k] for m in same for k in range(m.size)}
+        if not hit or len(wanted) - hit > notice.room or not notice.must <= kept:
+            return None
+        low, high = same[0].b, same[-1].b + same[-1].size
+        return (len(wanted) - hit, high - low - hit, head + low, head + high) if telling(span[low:high]) <= notice.must else None
+
+    def places(self, words: list[str], notice: Notice, alone: dict) -> list[tuple[int, int, int, int]]:
+        """(missing, more, first word, last word + 1) of the template's places among its windows.
+
+        Of those that overlap, the one with the least missing words stays, then with the least more, then the first.
+        """
+        found = {p for w in self.windows(words, notice, alone) if (p := self.confirmed(words, *w, notice))}
+        return apart(sorted(found), lambda p: p[2:])
+
+    def ranked(self, words: list[str], notices: list[Notice]) -> list[tuple[int, int, int, int, str, float]]:
+        """(first word, last word + 1, missing, more, license, reduction) of the notices.
+
+        Of those that overlap, the one from which its template saves the most bytes stays, then
+        the one with the least missing words, then the least more, then the lesser name.
+        """
+        alone: dict = {}
+        every = []
+        for notice in notices:
+            for missing, more, a, b in self.places(words, notice, alone):
+                gain, size = self.saved(words, a, b, notice, alone)
+                every.append((-gain, missing, more, notice.name, a, b, gain / size))
+        return sorted((a, b, missing, more, name, reduction) for _, missing, more, name, a, b, reduction in apart(sorted(every), lambda p: p[4:6]))
+
+    def compare(self, words: list[str], wanted: list[str]) -> list[tuple[int, int, int, int]]:
+        """(first word, last word + 1, missing, more) of every place where one wording stands."""
+        notice = next((n for n in self.notices if n.wanted == wanted), None) or Notice("", wanted, self.p)
+        return [place[:4] for place in self.ranked(words, [notice])]
 
 
 _scanners: dict = {}
@@ -153,8 +204,9 @@ def scan_licenses(docs: DataFrame, params: LicenseParams = LicenseParams(), *, i
     """A row for each notice: ``id_col, start, end, license, reduction, n_missing, n_more``; offsets in code points.
 
     Null and empty texts hold none; very long ones are scanned whole.  Of notices
-    that overlap, the one that accounts for most words stays, then the one with
-    fewer missing, then the lesser name.  A notice that has lost all trigger words
+    that overlap, the one from which its template saves the most bytes stays, then the
+    one with fewer missing words, then with fewer more, then the lesser name.  The
+    reduction is the share of the notice's compressed bytes that are saved.  A notice that has lost all trigger words
     (license, copyright, permission and the like) isn't looked for.  Rows that repeat an id each give their
     rows; no rows give none; other columns are not looked at.  No shuffle.
     """

@@ -585,6 +585,42 @@ def test_licenses_against_every_template_at_every_place():
             assert found <= may, (name, found - may)
 
 
+def test_compression_decides_which_license_stays():
+    """Two notices share a word: the first has nine words, the second five that its template saves more bytes of."""
+    long = "the intergovernmental standardisation consortium documentation"
+    many = "permission to do so as it is of the"
+    scanner = license_scan.Scanner(license_scan.LicenseParams(templates=(("many", many), ("long", long))))
+    assert [f[2] for f in scanner.scan(many)] == ["many"]
+    (got,) = scanner.scan(f"{many} {long[4:]}")
+    assert got[2] == "long" and 0 < got[3] < 1
+
+
+def test_compression_proposes_license_notices(monkeypatch):
+    """Wording confirms what saves bytes; what saves too few isn't compared."""
+    scanner = license_scan.Scanner(license_scan.LicenseParams())
+    words = license_scan.wording(license_scan.TEMPLATES[2][1])
+    assert scanner.compare(words, words) == [(0, len(words), 0, 0)]
+    monkeypatch.setattr(scanner, "saved", lambda *a: (0, 1))
+    assert scanner.compare(words, words) == []
+
+
+def test_compression_loses_no_license_notice():
+    """Notices with words lost, replaced and added, between prose and parts of other notices: as if wording were compared at every place."""
+    scanner = license_scan.Scanner(license_scan.LicenseParams())
+    every = license_scan.Scanner(license_scan.LicenseParams(least_saved=-100.0))
+    r = random.Random(3)
+    prose = "the river was wide and nobody knew how deep it might be at the other side of town".split()
+    pool = [w for _, text in license_scan.TEMPLATES for w in text.split()]
+    for name, text in license_scan.TEMPLATES * 8:
+        words = text.split()
+        for _ in range(r.choice([0, 1, 2, len(words) // 10])):
+            i = r.randrange(len(words))
+            words[i : i + 1] = r.choice([[], [r.choice(pool)], [r.choice(prose), words[i]], [r.choice(pool), words[i]]])
+        k = r.randrange(len(pool) - 30)
+        made = " ".join(pool[k : k + r.randrange(30)] + words + r.choices(prose, k=r.randrange(20)) + words)
+        assert scanner.scan(made) == every.scan(made), (name, made)
+
+
 TABLES = {
     "quality": lambda d, items: quality_rules.keep_good(d),
     "near_duplicates": lambda d, items: minhash_dedup.keep_one(d),
