@@ -91,7 +91,7 @@ def apart(ranked: list, ends) -> list:
 
 class Scanner:
     #: Words of a window from which on longer stretches are compressed first.
-    LONG = 16
+    LONG = 32
 
     def __init__(self, p: LicenseParams):
         import zstandard as zstd
