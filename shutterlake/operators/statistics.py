@@ -12,6 +12,15 @@ def median(c: Column | str) -> Column:
     return F.percentile(c, 0.5)
 
 
+def exact_mean(value: Column) -> Column:
+    """Aggregate: the mean of doubles from a decimal sum, the same in whatever order and tasks rows come, so equal means are equal.
+
+    Groups with a value that 12 places before and after the point don't hold (or one that isn't finite) take the sum of doubles.
+    """
+    held = value.try_cast("decimal(24,12)")
+    return F.when(F.bool_and(F.coalesce(held.cast("double") == value, value.isNull())), F.avg(held).cast("double")).otherwise(F.avg(value))
+
+
 def median_deviation(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``median, mad`` of each group, both exact: the second pass joins the first's row a group."""
     mid = rows.groupBy(*keys).agg(median(value).alias("median"))
