@@ -1,6 +1,7 @@
 """Borders that the standard tables don't reach."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shutterlake.functions import jsonops
@@ -182,6 +183,28 @@ def test_any_number_of_queries_is_searched(spark, monkeypatch):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_searches_give_what_each_pair_of_vectors_gives(spark, monkeypatch):
+    """Equal, zero, long, null and infinite vectors; blocks of two queries, in one set and in cells."""
+    made = [[float(i % 7 - 3), float(i % 5), float(i % 3)] for i in range(40)] + [[0.0, 0.0, 0.0], [1.0, 2.0], [], None, [1.0, None, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 0.0], [1e-30, 0.0, 0.0]]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(made)], "vec_id long, embedding array<double>").repartition(3)
+    asked = rows.where("vec_id % 3 = 0")
+    pairs = rows.crossJoin(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    scored = pairs.select("query_id", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    want = values(scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("rank <= 4"))
+    monkeypatch.setattr(vectors, "AT_ONCE", 2)
+    assert repr(values(vectors.top_k(rows, asked, 4))) == repr(want)
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 3)
+    monkeypatch.setattr(vectors, "ROWS", 5)
+    assert repr(values(vectors.top_k(rows, asked, 4))) == repr(want)
+    assert vectors.top_k(rows, rows.limit(0), 4).collect() == [] and vectors.top_k(rows.limit(0), asked, 4).collect() == []
+
+
+def test_searches_are_scored_as_matrices(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "vec_id long, embedding array<double>")
+    plan = vectors.top_k(rows, rows, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan
+
+
 def test_overlaps_of_masks_add_up(spark):
     masks = spark.createDataFrame([(1, "wall", *[1.0] * 6), (1, "floor", *[1.0] * 6), (2, "light", *[1.0] * 6)], "photo int, class string, " + ", ".join(f"{m} double" for m in scoring.MASK_METRICS))
     overlaps = spark.createDataFrame([(1, 0.05), (1, 0.06), (1, 0.2), (9, 0.5)], "photo int, iou double")
