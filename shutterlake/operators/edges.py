@@ -1,15 +1,17 @@
 """Edges with hysteresis and straight lines by votes, from pixel rows (photo_id, y, x).
 
 Gradients and ridges are windows over lines and columns of pixels.  Weak edges are kept
-where strong ones reach them, which is a question of connected parts.  Edge pixels vote
-for the angle and offset of lines in an aggregate that combines on the map side; peaks
-are looked for again among the pixels, and gaps cut them into segments.
+where strong ones reach them, which is a question of connected parts.  A photo's edge pixels
+go to one task, where they vote for the angle and offset of lines; peaks are looked for again
+among the pixels, and gaps cut them into segments.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ from shutterlake.session import settled
 
 #: Tangents of 22.5 and 67.5 degrees in 2**-15, between which a gradient is diagonal.
 LOW_SLOPE, HIGH_SLOPE = 13573, 13573 + (1 << 16)
+#: Pixels or lines of a photo that are worked on at once.
+SLICE = 1 << 12
+#: Angles and offsets around a line within which no other has more votes.
+ANGLE_REACH, OFFSET_REACH = 8, 6
 
 
 def _along(c: str):
@@ -94,39 +100,95 @@ def alignment(mask: DataFrame, found: DataFrame, sizes: DataFrame, *, band: int
 
 def votes(found: DataFrame, angles: int) -> DataFrame:
     """``photo_id, angle, offset, n``: how many edge pixels lie on each line. Angle a of ``angles`` is the normal's, a / angles of a half turn."""
-    rows = found.select("photo_id", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))).alias("angle"))
-    turn = F.col("angle") * (math.pi / angles)
-    offset = F.rint(F.round(F.col("x") * F.cos(turn) + F.col("y") * F.sin(turn), 9)).cast("int")
-    return rows.groupBy("photo_id", "angle", offset.alias("offset")).agg(F.count(F.lit(1)).alias("n"))
+    kind = dict(found.dtypes)["photo_id"]
 
+    def count(photo: pa.Table) -> pa.Table:
+        return _table(photo, dict(zip(("angle", "offset", "n"), voted(*_pixels(photo), angles), strict=True)))
 
-def peaks(counted: DataFrame, least: int, angles: int, *, angle_reach: int = 8, offset_reach: int = 6) -> DataFrame:
+    return found.select("photo_id", "y", "x").groupBy("photo_id").applyInArrow(count, f"photo_id {kind}, angle int, offset int, n long")
+
+
+def voted(y: np.ndarray, x: np.ndarray, angles: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Angles, offsets and votes of the lines that some of a photo's pixels lie on."""
+    turn = np.arange(angles) * (math.pi / angles)
+    far = math.ceil(math.hypot(np.abs(y).max(), np.abs(x).max())) + 1
+    n = np.zeros(angles * (2 * far + 1), np.int64)
+    for at in range(0, len(y), SLICE):
+        # Nine digits settle half-way values.
+        offset = np.rint(np.round(np.outer(np.cos(turn), x[at : at + SLICE]) + np.outer(np.sin(turn), y[at : at + SLICE]), 9)).astype(np.int64)
+        n += np.bincount((offset + far + np.arange(angles)[:, None] * (2 * far + 1)).ravel(), minlength=len(n))
+    found = np.flatnonzero(n)
+    return found // (2 * far + 1), found % (2 * far + 1) - far, n[found]
+
+
+def peaks(counted: DataFrame, least: int, angles: int, *, angle_reach: int = ANGLE_REACH, offset_reach: int = OFFSET_REACH) -> DataFrame:
     """Lines with ``least`` votes that none around them beats; ties go to the smaller angle, then offset.
 
     Half a turn on, a line has the negative offset, so the neighbourhood goes round.
     """
-    strong = settled(counted.where(F.col("n") >= least), "votes")
-    rank = F.struct(F.col("n"), (-F.col("angle")).alias("a"), (-F.col("offset")).alias("o"))
-    around = lambda c, k: F.explode(F.sequence(F.col(c) - k, F.col(c) + k))
-    told = strong.select("photo_id", around("angle", angle_reach).alias("_a"), "offset", rank.alias("_rank")).select("photo_id", "_a", around("offset", offset_reach).alias("_o"), "_rank")
-    over = (F.col("_a") < 0) | (F.col("_a") >= angles)
-    best = told.groupBy("photo_id", F.pmod("_a", F.lit(angles)).cast("int").alias("angle"), F.when(over, -F.col("_o")).otherwise(F.col("_o")).cast("int").alias("offset")).agg(F.max("_rank").alias("_best"))
-    return strong.join(best, ["photo_id", "angle", "offset"]).where(F.col("_best") == rank).drop("_best")
+    kind = dict(counted.dtypes)["photo_id"]
+
+    def best(photo: pa.Table) -> pa.Table:
+        columns = {c: photo.column(c).to_numpy() for c in ("angle", "offset", "n")}
+        top = unbeaten(*columns.values(), angles, angle_reach, offset_reach)
+        return _table(photo, {c: v[top] for c, v in columns.items()})
+
+    return counted.select("photo_id", "angle", "offset", "n").where(F.col("n") >= least).groupBy("photo_id").applyInArrow(best, f"photo_id {kind}, angle int, offset int, n long")
+
+
+def unbeaten(angle: np.ndarray, offset: np.ndarray, n: np.ndarray, angles: int, angle_reach: int, offset_reach: int) -> np.ndarray:
+    """Places of the lines that none around them beats."""
+    rank = np.empty(len(n), np.int64)
+    rank[np.lexsort((-offset, -angle, n))] = np.arange(len(n))
+    top = np.ones(len(n), bool)
+    for at in range(0, len(n), SLICE):
+        part = slice(at, at + SLICE)
+        apart = np.abs(angle[part, None] - angle)
+        near = (apart <= angle_reach) & (np.abs(offset[part, None] - offset) <= offset_reach)
+        near |= (apart >= angles - angle_reach) & (np.abs(offset[part, None] + offset) <= offset_reach)
+        top[part] = ~(near & (rank > rank[part, None])).any(1)
+    return np.flatnonzero(top)
 
 
 def lines(found: DataFrame, *, votes_least: int = 120, length: float = 120, gap: float = 15, angles: int = 360) -> DataFrame:
     """``photo_id, x1, y1, x2, y2``: segments along lines of edge pixels with enough votes, at least ``length`` long, without gaps above ``gap``.
 
-    Pixels within one of a peak's line belong to it.
+    Pixels within one of a peak's line belong to it.  A photo's edge pixels are in one task; votes are never rows.
     """
-    found = settled(found.select("photo_id", "y", "x"), "edges")
-    top = peaks(votes(found, angles), votes_least, angles).select("photo_id", "angle", "offset")
-    turn = F.col("angle") * (math.pi / angles)
-    rows = found.join(top.hint("shuffle_hash"), "photo_id").where(F.abs(F.col("x") * F.cos(turn) + F.col("y") * F.sin(turn) - F.col("offset")) <= 1.0)
-    rows = rows.withColumn("_t", F.col("y") * F.cos(turn) - F.col("x") * F.sin(turn))
-    line = Window.partitionBy("photo_id", "angle", "offset").orderBy("_t", "y", "x")
-    cut = F.coalesce((F.col("_t") - F.lag("_t").over(line) > gap).cast("int"), F.lit(0))
-    rows = rows.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(line))
-    end = lambda f: f(F.struct("x", "y"), F.col("_t"))
-    ends = rows.groupBy("photo_id", "angle", "offset", "_part").agg(end(F.min_by).alias("_a"), end(F.max_by).alias("_b"), (F.max("_t") - F.min("_t")).alias("_long"))
-    return ends.where(F.col("_long") >= length).select("photo_id", F.col("_a.x").alias("x1"), F.col("_a.y").alias("y1"), F.col("_b.x").alias("x2"), F.col("_b.y").alias("y2"))
+    kinds = dict(found.dtypes)
+
+    def segments(photo: pa.Table) -> pa.Table:
+        y, x = _pixels(photo)
+        angle, offset, n = (v for v in voted(y, x, angles))
+        strong = n >= votes_least
+        angle, offset, n = angle[strong], offset[strong], n[strong]
+        ends = [np.zeros((0, 4), np.int64)]
+        for k in unbeaten(angle, offset, n, angles, ANGLE_REACH, OFFSET_REACH):
+            turn = angle[k] * (math.pi / angles)
+            near = np.abs(x * math.cos(turn) + y * math.sin(turn) - offset[k]) <= 1.0
+            px, py = x[near], y[near]
+            t = py * math.cos(turn) - px * math.sin(turn)
+            order = np.lexsort((px, py, t))
+            px, py, t = px[order], py[order], t[order]
+            first = np.flatnonzero(np.r_[True, np.diff(t) > gap])
+            last = np.r_[first[1:], len(t)] - 1
+            # Of pixels beside each other at a segment's begin, the last.
+            begin = np.searchsorted(t, t[first], "right") - 1
+            long = t[last] - t[first] >= length
+            ends.append(np.stack([px[begin], py[begin], px[last], py[last]], 1)[long])
+        return _table(photo, dict(zip(("x1", "y1", "x2", "y2"), np.concatenate(ends).T, strict=True)), {"x1": "x", "y1": "y", "x2": "x", "y2": "y"})
+
+    schema = f"photo_id {kinds['photo_id']}, x1 {kinds['x']}, y1 {kinds['y']}, x2 {kinds['x']}, y2 {kinds['y']}"
+    return found.select("photo_id", "y", "x").groupBy("photo_id").applyInArrow(segments, schema)
+
+
+def _pixels(photo: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(photo.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+
+
+def _table(photo: pa.Table, columns: dict[str, np.ndarray], like: dict[str, str] | None = None) -> pa.Table:
+    """Rows of one photo; columns have the type of another if ``like`` names one."""
+    wide = {"n": pa.int64()} | {c: photo.schema.field(k).type for c, k in (like or {}).items()}
+    n = len(next(iter(columns.values())))
+    ids = photo.column("photo_id").take(pa.array(np.zeros(n, np.int64)))
+    return pa.table([ids, *[pa.array(v, wide.get(c, pa.int32())) for c, v in columns.items()]], names=["photo_id", *columns])

@@ -130,3 +130,12 @@ def test_no_pixels(spark):
     none = spark.createDataFrame([], "photo_id int, y int, x int, v int")
     assert edges.edges(none, F.col("v"), 1, 2).collect() == [] and edges.lines(none).collect() == []
     assert regions.vertical_scores(edges.lines(none), spark.createDataFrame([(1, "interior")], "photo_id int, scene string")).first()["n_lines"] == 0
+
+
+def test_votes_are_never_rows(spark):
+    """Edge pixels go to their photo's task once; nothing else is shuffled and no row becomes several."""
+    found = spark.createDataFrame([(1, y, 5) for y in range(40)] + [(2, 3, 3)], "photo_id int, y int, x int")
+    cut = edges.lines(found, votes_least=30, length=20, gap=3)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and plan.count("Exchange") == 1
+    assert cut.collect() == [(1, 5, 0, 5, 39)]
